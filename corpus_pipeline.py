@@ -1,11 +1,68 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
+STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a DataFrame, which the next one gets as
+docs. All but the last return the columns of docs. run() writes each stage's rows to the shared folder and reads them again, so
+a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyweave.llm import decontam, langid, packing, secret_scan, simhash
+from skyweave.llm.common import save, table
+
+#: Documents whose language is less certain are rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+#: Trained models and alignments are not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is found; without letters, or without a likely language, they go."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = langid.fit(docs.where(langid.learnable(F.col("doc_id"))), path)
+    return langid.predict(docs, model, path, least_score=LEAST_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest doc_id of each group of near copies; of rows that share that doc_id, one."""
+    found = simhash.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
+    kept, _ = save(kept)
+    rows = docs.join(kept.select("doc_id").distinct().withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # Only where a kept doc_id stands on several rows are rows compared.
+    if kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a test item, exact or edited."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in texts by a mark; all documents stay."""
+    return secret_scan.redact(docs, secret_scan.fit(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 4096 tokens."""
+    packed = packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs, _ = save(docs)
     return docs
