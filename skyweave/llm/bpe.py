@@ -7,61 +7,87 @@ Each distinct word is encoded by the tokenizers library once and remembered, up
 
 from __future__ import annotations
 
+import os
 import re
-
-import numpy as np
+from array import array
 
 #: Words that a worker remembers at most; the memory is emptied when full.
 REMEMBERED_WORDS = 400_000
 #: Words longer than this are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
-_SPACE = str.maketrans("\t\n\r", "   ")
 _BEYOND_LATIN = re.compile("[^\u0000-ɏ]")
-_made: dict[str, "WordEncoder"] = {}
+_END_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next letter from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder(dict):
     """Maps a word to its ids, as little-endian unsigned 32-bit integers."""
 
+    made: dict[str, "WordEncoder"] = {}
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokens, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.plain = False
+        self.plain = self._plain()
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
-        if path not in _made:
-            _made[path] = cls(path)
-        return _made[path]
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
+    def _plain(self) -> bool:
+        """Whether a lower-case run of letters, and of end marks, is one byte-level piece, so that the model alone encodes it."""
+        probes = ["qwertyzxv", "éàöñßøğ", "the", "straße"]
+        return all(self._model(w + e) == self._whole(w + e) for w in probes for e in ("", ".", ",;", "?!.:"))
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokens(piece)]).tobytes()
+
+    def _model(self, word: str) -> bytes:
+        stem = word.rstrip(_END_MARKS)
+        out = self._piece(stem) if stem else b""
+        return out + self[word[len(stem) :]] if len(stem) < len(word) else out
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain and (stem := word.rstrip(_END_MARKS)).isalpha() and stem == stem.lower() and not _BEYOND_LATIN.search(word):
+            out = self._model(word)
+        else:
+            out = self._whole(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = out
+        return out
 
     def _words(self, text: str) -> list[str]:
-        # Lower case is what the file's normaliser makes; below U+0250 both agree, so it may come first and words meet more often.
-        # "<|" may begin a special token, which is matched before lower-casing.
+        # "<|" may begin a special token, which is matched before lower-casing. Otherwise lower case is what the file's normaliser
+        # makes; below U+0250 both agree, so it may come first and words meet more often.
         if "<|" not in text and not _BEYOND_LATIN.search(text):
             text = text.lower()
-        return [w for w in text.translate(_SPACE).split(" ") if w]
+        # Not str.split(), which also splits where the file's pattern does not.
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self._words(x) for x in texts]
-        new = set().union(*words) - self.keys() if words else set()
-        kept = self
-        if len(self) + len(new) > REMEMBERED_WORDS:
-            self.clear()
-            new = set().union(*words)
-            if len(new) > REMEMBERED_WORDS:
-                kept = {}
-        order = list(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
-        if kept is self:
-            for w in [w for w in order if len(w) > LONGEST_REMEMBERED]:
-                del self[w]
-        return out
+        self[""] = b""
+        return [b"".join(map(self.__getitem__, self._words(t))) for t in texts]
 
 
 def chunks(items: list, size_of, most: int = 4_000_000):
