@@ -22,9 +22,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is found; without letters, or without a likely language, they go."""
+    """Keep documents whose language is found; without letters, or without a likely language, they go. If no row has a
+    language to learn from, all documents with a letter stay."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = langid.fit(docs.where(langid.learnable(F.col("doc_id"))), path)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.predict(docs, model, path, least_score=LEAST_LANGUAGE_SCORE)
 
 
