@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import save, smallest_hashes, table
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -120,7 +120,7 @@ def build(vectors: DataFrame, *, books: int = 8, words: int = 128, sample_rows:
     The codebooks are fitted to at most sample_rows unit vectors, those of smallest hash of vec_id.
     """
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(sample_rows).select("vector").toPandas()
+    sample = smallest_hashes(rows, sample_rows, "sample", "vec_id").select("vector").toPandas()
     if not len(sample):
         return rows.select("vec_id", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm")), np.zeros((0, 0, 0))
     # Vectors of another dimension than most of the sample's take no part.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest_hashes, table
 
 #: The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -207,10 +207,11 @@ def fit(docs: DataFrame, *, sample_docs: int = 300, reach: int = 25, rounds: int
     keyed = F.col("text").contains("AKIA")
     for k in KEYWORDS:
         keyed = keyed | low.contains(k)
-    h = F.xxhash64("doc_id", F.lit("secrets"))
-    some = lambda x: [r.text for r in x.orderBy(h, "doc_id").limit(sample_docs).select(F.substring("text", 1, 200_000).alias("text")).collect()]
+    t = t.withColumn("keyed", keyed)
+    total = {r.keyed: r.n for r in t.groupBy("keyed").agg(F.count("*").alias("n")).collect()}
+    some = lambda k: [r.text for r in smallest_hashes(t.where(F.col("keyed") == k), sample_docs, "secrets", total=total.get(k, 0)).select(F.substring("text", 1, 200_000).alias("text")).collect()]
     windows = []
-    for text in some(t.where(keyed)) + some(t.where(~keyed)):
+    for text in some(True) + some(False):
         words, tags = label(text)
         extra = text_features(words)
         marks = np.flatnonzero(tags).tolist()[:20] + [i for i, w in enumerate(words) if not tags[i] and any(map(str.isdigit, w))][:4] + [len(words) // 2] * bool(words)
