@@ -46,9 +46,11 @@ class Lattice:
         n = len(words[0])
         k = min(n, self.longest)
         out, get, none = np.full((len(words), n, k), self.unknown + 1, np.int32), self.vocab.get, self.unknown + 1
-        for w, row in zip(words, out):
-            for j in range(1, n + 1):
-                row[j - 1, : min(j, k)] = [get(w[j - m : j], none) for m in range(1, min(j, k) + 1)]
+        spans = [(j - m, j) for j in range(1, n + 1) for m in range(1, min(j, k) + 1)]
+        ends, sizes = np.array([(b - 1, b - a - 1) for a, b in spans]).T
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            out[i : i + 20_000, ends, sizes] = np.array([get(w[a:b], none) for w in some for a, b in spans], np.int32).reshape(len(some), -1)
         first = out[:, :, 0]
         first[first == none] = self.unknown
         return out
