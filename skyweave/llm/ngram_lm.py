@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def held_out(doc_id: int | None) -> bool | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and where each value stands among them; only the distinct ones are sorted."""
+    codes, values = pd.factorize(a)
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[codes]
+
+
 class Tokens:
     """A block's tokens as numbers into its sorted distinct word hashes, and its distinct bigrams."""
 
@@ -39,12 +49,12 @@ class Tokens:
         end = hashes([END])
         docs = [np.concatenate([hashes(words(t)), end]) for t in texts]
         self.sizes = np.array([len(d) for d in docs], np.int64)
-        self.vocab, self.word = np.unique(np.concatenate([end, *docs]), return_inverse=True)
+        self.vocab, self.word = _distinct(np.concatenate([end, *docs]))
         # An end stands before each document's first word.
         context, self.word = self.word[:-1], self.word[1:]
         self.held = [held_out(d) for d in self.ids]
         self.train = np.repeat(np.array([h is False for h in self.held], bool), self.sizes)
-        pairs, self.pair = np.unique(context.astype(np.int64) * len(self.vocab) + self.word, return_inverse=True)
+        pairs, self.pair = _distinct(context * len(self.vocab) + self.word)
         self.pair_context, self.pair_word = np.divmod(pairs, len(self.vocab))
         keys = mix(self.vocab[self.pair_context] * np.uint64(0x9E3779B97F4A7C15) + mix(self.vocab[self.pair_word]))
         self.order = np.argsort(keys)

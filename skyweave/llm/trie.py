@@ -43,11 +43,15 @@ class Mapped:
 
 
 class EliasFano:
-    """A sorted sequence of n numbers below `bound` in about 2 + log2(bound / n) bits each: the low bits plainly, the high ones in unary."""
+    """A sorted sequence of n numbers below `bound` in about 2 + log2(bound / n) bits each: the low bits plainly, the high ones in unary.
+
+    The low bits are whole bytes (0, 1, 2 or 4), so that one look-up reads them.
+    """
 
     def __init__(self, values: np.ndarray, bound: int, store: Mapped):
         n = self.n = len(values)
-        self.low_bits = max(0, int(bound // max(n, 1)).bit_length() - 1)
+        best = max(0, int(bound // max(n, 1)).bit_length() - 1)
+        self.low_bits = next(b for b in (0, 8, 16, 32) if b >= min(best, 32) - 3)
         high = (values >> self.low_bits).astype(np.int64)
         self.highs = int(bound >> self.low_bits) + 1
         bits = np.zeros(n + self.highs + 8, np.uint8)
@@ -56,9 +60,8 @@ class EliasFano:
         self.bytes = store.put(packed)
         self.zeros_before = store.put(np.concatenate([[0], np.cumsum(8 - _ONES[packed])]).astype(np.uint32 if len(bits) < 2**32 else np.uint64))
         self.ones_before = store.put(np.concatenate([[0], np.cumsum(_ONES[packed])]).astype(np.uint32 if len(bits) < 2**32 else np.uint64))
-        low = (values & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        planes = [np.packbits((low >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little") for b in range(self.low_bits)]
-        self.low = [store.put(p) for p in planes]  # one plane for each bit
+        kind = {0: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32}[self.low_bits]
+        self.low = store.put((values & ((1 << self.low_bits) - 1)).astype(kind))
 
     def _select(self, before: np.ndarray, k: np.ndarray, flip: int) -> np.ndarray:
         """Position of the k-th (from 0) one, or zero with flip 255."""
@@ -66,24 +69,23 @@ class EliasFano:
         return 8 * byte + _SELECT[self.bytes[byte] ^ np.uint8(flip), k - before[byte].astype(np.int64)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        out = (self._select(self.ones_before, i, 0) - i) << self.low_bits
-        for b, plane in enumerate(self.low):
-            out |= ((plane[i >> 3] >> (i & 7).astype(np.uint8)) & 1).astype(np.int64) << b
-        return out
+        return ((self._select(self.ones_before, i, 0) - i) << self.low_bits) | self.low[i]
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The index of the first value that is x or more; n where there is none."""
         if not self.n:
             return np.zeros(len(x), np.int64)
         high = np.minimum(x >> self.low_bits, self.highs)
-        # Elements before the high-th zero have a lower high part.
-        at = np.where(high > 0, self._select(self.zeros_before, np.maximum(high - 1, 0), 255) - high + 1, 0)
-        todo = np.flatnonzero(at < self.n)
-        while len(todo):
-            todo = todo[self.get(at[todo]) < x[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < self.n]
-        return at
+        # Elements before the high-th zero have a lower high part; up to the next zero it is equal, and the low bits decide by bisection.
+        lo = np.where(high > 0, self._select(self.zeros_before, np.maximum(high - 1, 0), 255) - high + 1, 0)
+        hi = np.minimum(self._select(self.zeros_before, high, 255) - high, self.n)
+        lo, low = np.minimum(lo, self.n), x & ((1 << self.low_bits) - 1)
+        while (todo := np.flatnonzero(lo < hi)).size:
+            mid = (lo[todo] + hi[todo]) // 2
+            less = self.low[mid] < low[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+        return lo
 
 
 class Trie:
@@ -110,7 +112,8 @@ class Trie:
 
     def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 P(word | context): by successor search within the context's range, else back-off weight times the word's own."""
-        lo, hi, base = self.pointers.get(context), self.pointers.get(context + 1), self.bases.get(context)
+        own, at = np.unique(context, return_inverse=True)
+        lo, hi, base = (x[at] for x in (self.pointers.get(own), self.pointers.get(own + 1), self.bases.get(own)))
         out = restore(self.backoff[context]) + restore(self.unigram[word])
         some = np.flatnonzero(lo < hi)
         at = self.successors.successor(base[some] + word[some])
