@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, chunks
-from .common import partitions, texts, workdir
+from .common import partitions, smallest_hashes, texts, workdir
 
 BLOCK = "part int, block int, first_doc bigint, last_doc bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary, dict_hash string"
 DICTIONARY = "dict_hash string, dictionary binary, tokenizer string, end_id bigint, width int"
@@ -38,7 +38,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_doc
 
     enc = WordEncoder.of(tokenizer)
     width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else 4
-    rows = texts(docs).where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.substring("text", 1, 20_000).alias("text")).collect()
+    rows = smallest_hashes(texts(docs), sample_docs, "dictionary").select(F.substring("text", 1, 20_000).alias("text")).collect()
     samples = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in enc.encode([r.text for r in rows])]
     samples = [x for x in samples if len(x) >= 16]
     try:
