@@ -314,6 +314,12 @@ def neighbour_counts(spark, d):
     return co.neighbour_pairs(q, 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT s.event_id AS a, count(*)::BIGINT AS n FROM points s JOIN points d ON s.event_id < d.event_id AND {HAVERSINE} <= 403.3 GROUP BY s.event_id")
+def neighbour_counts_all(spark, d):
+    """Neighbours within a distance, of every event."""
+    return co.neighbour_pairs(points(spark, d), 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
+
+
 UNEVEN = [(-80.0, -35.0), (-35.0, -5.0), (-5.0, 10.0), (20.0, 65.0)]
 
 
