@@ -1,7 +1,8 @@
 """Queries over the test tables, one for each operator, with equivalent SQL.
 
 The tables have no coordinates, so a view of `events` gives each row a place by integer arithmetic; it is whole: every event is a
-point. `stations`, a second point set, are the events of one in 500, as samples onto which the others are collocated.
+point. `stations`, a second point set, are the events of one in 500, as samples onto which the others are collocated; a query of
+stations has another of the same name and `_all` beside it, whose samples are all events.
 """
 
 from __future__ import annotations
@@ -260,7 +261,28 @@ def stations(p: DataFrame) -> DataFrame:
     return p.where("event_id % 500 = 0").select(F.col("event_id").alias("sample_id"), *COORDS)
 
 
+def every_event(p: DataFrame) -> DataFrame:
+    return p.select(F.col("event_id").alias("sample_id"), *COORDS)
+
+
 STATIONS = "stations AS (SELECT event_id AS sample_id, latitude, longitude, altitude, air_pressure, time FROM points WHERE event_id % 500 = 0)"
+EVERY_EVENT = "stations AS (SELECT event_id AS sample_id, latitude, longitude, altitude, air_pressure, time FROM points)"
+
+
+def sample_query(sql: str):
+    """Register f(spark, sf_dir, samples) under its name with the stations, and under its name and `_all` with every event as a sample."""
+
+    def keep(f):
+        for suffix, samples, text in (("", stations, sql), ("_all", every_event, sql.replace(STATIONS, EVERY_EVENT))):
+
+            def run(spark, d, samples=samples):
+                return f(spark, d, samples)
+
+            run.__name__ = f.__name__ + suffix
+            query(text)(run)
+        return f
+
+    return keep
 
 
 def box_query(name: str, kernel: str, variable: str, test: str, **separations) -> None:
@@ -275,12 +297,12 @@ def box_query(name: str, kernel: str, variable: str, test: str, **separations) -
         cols = KERNEL_SQL[kernel].format(v=variable)
         body = f"m AS (SELECT s.sample_id, d.{variable} FROM stations s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {cols} FROM m GROUP BY sample_id)"
 
-    def run(spark, d):
+    def run(spark, d, samples):
         p = points(spark, d)
-        return co.box(stations(p), p.select("event_id", *COORDS, variable), [variable], kernel, row_id="event_id", **separations).select("sample_id", *names)
+        return co.box(samples(p), p.select("event_id", *COORDS, variable), [variable], kernel, row_id="event_id", **separations).select("sample_id", *names)
 
     run.__name__ = name
-    query(f"{STATIONS}, {body} SELECT sample_id, {shown} FROM stations LEFT JOIN g USING (sample_id)")(run)
+    sample_query(f"{STATIONS}, {body} SELECT sample_id, {shown} FROM stations LEFT JOIN g USING (sample_id)")(run)
 
 
 box_query("box_h_mean", "mean", "v_m", "{h} <= 777.7", h_sep=777.7)
@@ -295,10 +317,10 @@ box_query("nn_p", "nn_p", "v", "{h} <= 1003.3", h_sep=1003.3)
 box_query("nn_t", "nn_t", "v_m", "{h} <= 1003.3", h_sep=1003.3)
 
 
-@query(f"{STATIONS}, m AS (SELECT s.sample_id, d.v_m AS v, row_number() OVER (PARTITION BY s.sample_id ORDER BY {HAVERSINE}, d.event_id) AS k FROM stations s CROSS JOIN points d WHERE d.v_m IS NOT NULL) SELECT sample_id, round(v, 8) AS v FROM m WHERE k = 1")
-def nn_horizontal_only(spark, d):
+@sample_query(f"{STATIONS}, m AS (SELECT s.sample_id, d.v_m AS v, row_number() OVER (PARTITION BY s.sample_id ORDER BY {HAVERSINE}, d.event_id) AS k FROM stations s CROSS JOIN points d WHERE d.v_m IS NOT NULL) SELECT sample_id, round(v, 8) AS v FROM m WHERE k = 1")
+def nn_horizontal_only(spark, d, samples):
     p = points(spark, d)
-    return co.nearest(stations(p), p.select("event_id", *COORDS, F.col("v_m").alias("v")), ["v"], row_id="event_id").select("sample_id", "v")
+    return co.nearest(samples(p), p.select("event_id", *COORDS, F.col("v_m").alias("v")), ["v"], row_id="event_id").select("sample_id", "v")
 
 
 @query(f"{STATIONS}, c AS (SELECT unnest(generate_series(0, 17))::INTEGER AS latitude_i), x AS (SELECT unnest(generate_series(0, 8))::INTEGER AS longitude_i), cells AS (SELECT latitude_i, longitude_i, -85.0 + 10 * latitude_i AS latitude, -160.0 + 40 * longitude_i AS longitude FROM c CROSS JOIN x), g AS (SELECT latitude_i, longitude_i, avg(d.v) AS v FROM cells s JOIN points d ON {HAVERSINE} <= 503.3 GROUP BY ALL) SELECT latitude_i, longitude_i, round(v, 8) AS v FROM cells LEFT JOIN g USING (latitude_i, longitude_i)")
@@ -350,29 +372,29 @@ CORNERS = "c AS (SELECT sample_id, y + a AS y, (x + b) % 12 AS x, (CASE WHEN a =
 LINEAR = f"{STATIONS}, {IP_GRID}, {PLACE}, {CORNERS} SELECT sample_id, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 8) AS v FROM c JOIN grid USING (y, x) GROUP BY sample_id"
 
 
-@query(LINEAR)
-def lin_grid_to_points(spark, d):
-    return ip.onto_points(stations(points(spark, d)), ip_grid(spark), ["v"], IP_AXES).select("sample_id", "v")
+@sample_query(LINEAR)
+def lin_grid_to_points(spark, d, samples):
+    return ip.onto_points(samples(points(spark, d)), ip_grid(spark), ["v"], IP_AXES).select("sample_id", "v")
 
 
-@query(f"{STATIONS}, {IP_GRID}, {PLACE} SELECT sample_id, round(v, 8) AS v FROM u JOIN grid ON grid.y = u.y + (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AND grid.x = (u.x + (CASE WHEN q > 0.5 THEN 1 ELSE 0 END)) % 12")
-def nn_grid_to_points(spark, d):
-    return ip.onto_points(stations(points(spark, d)), ip_grid(spark), ["v"], IP_AXES, "nn").select("sample_id", "v")
+@sample_query(f"{STATIONS}, {IP_GRID}, {PLACE} SELECT sample_id, round(v, 8) AS v FROM u JOIN grid ON grid.y = u.y + (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AND grid.x = (u.x + (CASE WHEN q > 0.5 THEN 1 ELSE 0 END)) % 12")
+def nn_grid_to_points(spark, d, samples):
+    return ip.onto_points(samples(points(spark, d)), ip_grid(spark), ["v"], IP_AXES, "nn").select("sample_id", "v")
 
 
 INNER = [Axis.of_points("latitude", [-45.0 + 15 * i for i in range(7)])]
 
 
-@query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round((1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1), 8) AS v FROM i")
-def lin_extrapolate(spark, d):
+@sample_query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round((1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1), 8) AS v FROM i")
+def lin_extrapolate(spark, d, samples):
     g = spine(spark, INNER).select("latitude_i", (F.col("latitude_i") * F.col("latitude_i")).cast("double").alias("v"))
-    return ip.onto_points(stations(points(spark, d)), g, ["v"], INNER, extrapolate=True).select("sample_id", "v")
+    return ip.onto_points(samples(points(spark, d)), g, ["v"], INNER, extrapolate=True).select("sample_id", "v")
 
 
-@query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round(CASE WHEN latitude BETWEEN -45 AND 45 AND y <> 2 AND y + 1 <> 2 THEN (1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1) END, 8) AS v FROM i")
-def lin_null_corner(spark, d):
+@sample_query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round(CASE WHEN latitude BETWEEN -45 AND 45 AND y <> 2 AND y + 1 <> 2 THEN (1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1) END, 8) AS v FROM i")
+def lin_null_corner(spark, d, samples):
     g = spine(spark, INNER).select("latitude_i", F.when(F.col("latitude_i") != 2, F.col("latitude_i") * F.col("latitude_i")).cast("double").alias("v"))
-    return ip.onto_points(stations(points(spark, d)), g, ["v"], INNER).select("sample_id", "v")
+    return ip.onto_points(samples(points(spark, d)), g, ["v"], INNER).select("sample_id", "v")
 
 
 TARGET = [Axis.of_points("latitude", [-80.0 + 20 * i for i in range(9)]), Axis.of_points("longitude", [-170.0 + 20 * i for i in range(18)])]
@@ -389,13 +411,13 @@ def nn_grid_to_grid(spark, d):
     return ip.onto_grid(ip_grid(spark), ["v"], IP_AXES, TARGET, "nn").select("cell", "v")
 
 
-@query(f"{STATIONS} SELECT sample_id, round(CASE WHEN altitude BETWEEN 200 + 10 * (latitude + 90) / 15 AND 9800 + 10 * (latitude + 90) / 15 THEN (altitude - 200 - 10 * (latitude + 90) / 15) / 1200 * 3 + (latitude + 90) / 15 END, 8) AS v FROM stations")
-def lin_hybrid_height(spark, d):
+@sample_query(f"{STATIONS} SELECT sample_id, round(CASE WHEN altitude BETWEEN 200 + 10 * (latitude + 90) / 15 AND 9800 + 10 * (latitude + 90) / 15 THEN (altitude - 200 - 10 * (latitude + 90) / 15) / 1200 * 3 + (latitude + 90) / 15 END, 8) AS v FROM stations")
+def lin_hybrid_height(spark, d, samples):
     """Heights of levels vary with latitude; the variable is linear in both, so that its interpolation is known."""
     lat = IP_AXES[:1]
     k, z = F.col("latitude_i"), F.col("level")
     levels = spine(spark, lat).crossJoin(F.broadcast(spark.range(9).select(F.col("id").cast("int").alias("level")))).select("latitude_i", "level", (F.lit(200.0) + 1200 * z + 10 * k).alias("height"), (F.lit(3.0) * z + k).alias("v"))
-    return ip.onto_points_hybrid(stations(points(spark, d)), levels, ["v"], lat, level="level", vertical="height", at="altitude").select("sample_id", "v")
+    return ip.onto_points_hybrid(samples(points(spark, d)), levels, ["v"], lat, level="level", vertical="height", at="altitude").select("sample_id", "v")
 
 
 # expressions

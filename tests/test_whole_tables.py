@@ -24,3 +24,19 @@ def test_neighbour_counts_of_every_event(spark):
     want = {int(i): int(n) for i, n in zip(ids, near.sum(1)) if n}
     assert any(i % 10 for i in want)
     assert {r.a: r.n for r in cat.QUERIES["neighbour_counts_all"](spark, SF).collect()} == want
+
+
+def test_every_event_is_a_sample(spark):
+    """Of each query of stations: a row an event. Two of them by brute force."""
+    ids, lat, lon = places(spark)
+    names = [n for n in cat.QUERIES if f"{n}_all" in cat.QUERIES and n != "neighbour_counts"]
+    assert len(names) == 16 and {f"{n}_all" for n in names} <= set(cat.SQL)
+    got = {n: {r.sample_id: r for r in cat.QUERIES[f"{n}_all"](spark, SF).collect()} for n in names}
+    assert all(set(rows) == set(ids.tolist()) for rows in got.values())
+    v = cat.points(spark, SF).select("event_id", "v_m").toPandas().sort_values("event_id").v_m.to_numpy(float)
+    far, there = distances(lat, lon), ~np.isnan(v)
+    for i, e in enumerate(ids.tolist()):
+        near = v[there & (far[i] <= 777.7)]
+        mean, nearest = got["box_h_mean"][e].v_m, v[there][far[i][there].argmin()]
+        assert abs(mean - near.mean()) < 1e-6 if len(near) else mean is None
+        assert abs(got["nn_horizontal_only"][e].v - nearest) < 1e-6
