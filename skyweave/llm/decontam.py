@@ -71,9 +71,9 @@ class Block:
                     if log_p[c[j : j + n]].sum() + 6 <= np.log10(rare):
                         found.setdefault(self._key(c[j : j + n]), []).append((k, j))
             self.keys[n], self.where[n] = np.array(sorted(found), np.int64), found
-        # Items too short or too plain for a seed are sought as a whole.
+        # Items too short or too plain for a seed are aligned with whole texts.
         seeded = {k for found in self.where.values() for at in found.values() for k, _ in at}
-        self.whole = {k for k in range(len(items)) if k not in seeded}
+        self.whole = {k: np.unique(self.coded[k], return_counts=True) for k in range(len(items)) if k not in seeded}
 
     def _key(self, gram) -> int:
         out = 0
@@ -106,9 +106,16 @@ class Block:
             for p, g in zip(at[hit].tolist(), grams[hit].tolist()):
                 for item, j in self.where[n][g]:
                     places.setdefault(item, []).append(p - j)
-        for item in self.whole:
-            places[item] = list(range(0, len(c), len(self.coded[item])))
         out = []
+        held = np.bincount(c, minlength=self.base) if self.whole else None
+        for item, (own, n) in self.whole.items():
+            size = len(self.coded[item])
+            # No alignment matches more words than item and text share.
+            if np.minimum(held[own], n).sum() < self.least_share * size:
+                continue
+            score, end = align(self.coded[item], c)
+            if score / (MATCH * size) >= self.least_share:
+                out.append((self.items[item][0], score / (MATCH * size), max(0, end - size), end, size))
         for item, at in places.items():
             own, best = self.coded[item], (0, 0, 0)
             pad, size = len(own) // 2 + 4, len(own)
@@ -122,7 +129,7 @@ class Block:
                 if score > best[0]:
                     best = score, max(lo, lo + end - size), lo + end
             share = best[0] / (MATCH * size)
-            if share >= (0.9 if item in self.whole else self.least_share):
+            if share >= self.least_share:
                 out.append((self.items[item][0], share, best[1], best[2], size))
         return sorted(out)
 

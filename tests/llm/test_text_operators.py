@@ -62,6 +62,29 @@ def test_contaminated_as_brute_force(spark, make):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(make(rows), bench, block_words=60).collect()} == want  # several blocks
 
 
+def test_items_without_seed_are_held_at_the_same_share(spark, make):
+    """In a small or hot corpus no n-gram is rare; edited copies count at least_share all the same."""
+    rng = np.random.default_rng(3)
+    item = " ".join(f"w{i}" for i in range(20))
+    small = [(1, f"a b c {edited(item, rng, 0.25)} d e"), (2, "some other words that are clean"), (3, item)]
+    loose = " ".join(f"w{i} x{i} y{i} w{i + 1}" if i % 2 == 0 else "" for i in range(20))  # wide gaps
+    hot = [(i, f"n{i} " * 20 + item) for i in range(40)] + [(100, f"{'z ' * 300}{edited(item, rng, 0.25)} {'z ' * 50}"), (101, loose)]
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    for rows in (small, hot):
+        block = decontam.Block([(7, decontam.words(item))], *_counts(rows), 0.5, 0.05)
+        assert block.whole
+        shares = {d: slow_share(decontam.words(item), decontam.words(t)) for d, t in rows}
+        want = {d: s for d, s in shares.items() if s >= 0.5}
+        assert any(s < 0.9 for s in want.values())
+        assert {r.doc_id: r.share for r in decontam.contaminated(make(rows), bench).collect()} == want
+        assert {r.doc_id for r in decontam.clean(make(rows), bench).collect()} == set(shares) - set(want)
+
+
+def _counts(rows):
+    n = Counter(w for _, t in rows for w in decontam.words(t))
+    return n, sum(n.values())
+
+
 def test_contaminated_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contaminated(make([(1, "a b c")]), none).count() == 0
