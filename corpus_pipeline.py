@@ -32,15 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each group of near copies; of rows that share that doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
-    kept, _ = save(kept)
-    rows = docs.join(kept.select("doc_id").distinct().withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # Only where a kept doc_id stands on several rows are rows compared.
-    if kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return rows
-    return rows.dropDuplicates(["doc_id"])
+    """Keep one row of each group of near copies, that of smallest doc_id; rows with null or repeated ids are judged by their text."""
+    return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,12 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     return p.join(q, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def link_components(fps: DataFrame, distance: int = 4, segments: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The links of distinct fingerprints, and (node, root) of those that have one."""
+    pairs, _ = save(links(fps, distance, segments))
+    return pairs, components(pairs)
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
     """One row a document: doc_id, fp, component_id (the smallest doc_id reachable over links), n_links (other fingerprints linked to its own).
 
@@ -75,8 +81,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments
     """
     fps, _ = save(fingerprints(docs, words))
     distinct, _ = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs, _ = save(links(distinct.select("fp"), distance, segments))
-    root = components(pairs)
+    pairs, root = link_components(distinct.select("fp"), distance, segments)
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     linked = distinct.join(root.withColumnRenamed("node", "fp"), "fp").join(degree, "fp")
     classes = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -85,6 +90,37 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
+def representatives(docs: DataFrame, distance: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
+    """One row of docs, all columns, of each class of near_duplicates: that of smallest doc_id (null last), then of smallest text hash.
+
+    Rows are judged by their own text, not by doc_id: those with null or repeated ids stay if no other row of their class does.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    fps = texts(docs).select("doc_id", "text", text_hash.alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())], names=["doc_id", "h", "fp"])
+
+    fps, _ = save(fps.mapInArrow(run, "doc_id bigint, h bigint, fp bigint"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first")
+    # The first row of each fingerprint, with the number of rows of that doc_id and text.
+    by_fp, _ = save(fps.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("fp").agg(first))
+    _, root = link_components(by_fp.select("fp"), distance, segments)
+    by_root = by_fp.join(root.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept, _ = save(by_root.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.h").alias("_kept_h"), F.col("first.n").alias("_n")))
+
+    def rows(kept: DataFrame) -> DataFrame:
+        own = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_h": text_hash})
+        return own.join(kept.drop("_n"), F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")), "left_semi")
+
+    # Only rows that share doc_id and text are compared.
+    out, again = rows(kept.where("_n = 1")), kept.where("_n > 1")
+    if not again.isEmpty():
+        out = out.unionByName(rows(again).dropDuplicates(["_own_id", "_own_h"]))
+    return out.drop("_own_id", "_own_h")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")

@@ -163,3 +163,18 @@ def test_near_duplicates_odd_rows(odd, make):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 12 and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert simhash.near_duplicates(make([])).count() == 0
+
+
+def test_representatives_of_null_and_repeated_ids(spark, make):
+    """One row of each class, whatever the ids: a null or shared doc_id joins no two texts and saves no copy."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    a, b, c, d, e, f = (" ".join(f"{x}{n}" for n in rng.integers(0, 10**9, 80)) for x in "abcdef")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (None, e), (None, f), (None, a), (8, f), (9, None), (None, ""), (11, c), (7, d)]
+    want = [(3, a), (5, b), (7, c), (7, d), (8, f), (9, None), (None, e)]
+    docs = make(rows)
+    got = cp.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert cp.near_duplicates(spark, make([]), None).count() == 0
