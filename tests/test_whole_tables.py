@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from skyweave.operators import collocate as co
 from skyweave.operators.collocate import EARTH_RADIUS
 from skyweave.plans import catalogue as cat
 
@@ -40,3 +41,17 @@ def test_every_event_is_a_sample(spark):
         mean, nearest = got["box_h_mean"][e].v_m, v[there][far[i][there].argmin()]
         assert abs(mean - near.mean()) < 1e-6 if len(near) else mean is None
         assert abs(got["nn_horizontal_only"][e].v - nearest) < 1e-6
+
+
+def test_nearest_of_each_variable(spark):
+    """A variable that is missing near a sample is found farther out; one without any value stays NULL."""
+    p = cat.points(spark, SF).selectExpr("event_id", "latitude", "longitude", "v", "CASE WHEN event_id % 250 = 0 THEN w END AS u", "CAST(NULL AS double) AS none")
+    samples = cat.stations(cat.points(spark, SF)).union(cat.every_event(cat.points(spark, SF)).where("sample_id in (1, 77, 333, 901)"))
+    ids, lat, lon = places(spark)
+    far, rows = distances(lat, lon), p.toPandas().sort_values("event_id")
+    for r in co.nearest(samples, p, ["v", "u", "none"], row_id="event_id").collect():
+        d = far[list(ids).index(r.sample_id)]
+        for c in ("v", "u"):
+            x = rows[c].to_numpy(float)
+            assert r[c] == x[np.where(np.isnan(x), np.inf, d).argmin()]
+        assert r.none is None
