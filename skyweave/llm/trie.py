@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 
 #: Log10-probabilities are kept as multiples of 1 / STEP, from 0 down.
-STEP = 2048
+STEP = 4096
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SELECT = np.full((256, 8), 8, np.int64)
@@ -25,7 +25,8 @@ def restore(q: np.ndarray) -> np.ndarray:
 
 
 class Mapped:
-    """Arrays in one memory-mapped file that has no name any more, so nothing is left behind when a worker is lost."""
+    """Arrays in one memory-mapped file of the task that made them. It has no name any more, so nothing is left behind when a worker is
+    lost, and nobody else reads it."""
 
     def __init__(self):
         self.file, self.at = tempfile.TemporaryFile(), 0
@@ -88,37 +89,64 @@ class EliasFano:
         return lo
 
 
-class Trie:
-    """Two levels over word numbers 0 .. words - 1.
-
-    Level 1: log10-probability and back-off weight of each word. Level 2: the successors of each word, all as one monotone
-    Elias-Fano sequence in which a word's successors are counted on from where the last word's end, and their log10-probabilities.
-    """
+class Level:
+    """The n-grams of one order: the successors of each entry of the level above (its parents), all as one monotone Elias-Fano sequence
+    in which a parent's successors are counted on from where the last parent's end; their log10-probabilities and back-off weights."""
 
-    def __init__(self, unigram: np.ndarray, backoff: np.ndarray, context: np.ndarray, word: np.ndarray, log10_p: np.ndarray):
-        """context, word: the bigrams, sorted; log10_p: theirs. unigram, backoff: log10, by word."""
-        store, self.words = Mapped(), len(unigram)
-        self.unigram, self.backoff = store.put(quantise(unigram)), store.put(quantise(backoff))
-        starts = np.searchsorted(context, np.arange(self.words + 1))
-        self.pointers = EliasFano(starts, len(context) + 1, store)
-        # A word's successors begin past the greatest successor of the word before it.
-        last = np.zeros(self.words, np.int64)
+    def __init__(self, parents: int, parent: np.ndarray, word: np.ndarray, log10_p: np.ndarray, backoff: np.ndarray, store: Mapped):
+        """parent, word: the entries, sorted. backoff may be empty, for the last level."""
+        starts = np.searchsorted(parent, np.arange(parents + 1))
+        self.pointers = EliasFano(starts, len(parent) + 1, store)
+        # A parent's successors begin past the greatest successor of the parent before it.
+        last = np.zeros(parents, np.int64)
         full = starts[1:] > starts[:-1]
         last[full] = word[starts[1:][full] - 1] + 1
         base = np.concatenate([[0], np.cumsum(last)])
         self.bases = EliasFano(base, int(base[-1]) + 1, store)
-        self.successors = EliasFano(base[context] + word, int(base[-1]) + 1, store)
-        self.p = store.put(quantise(log10_p))
+        self.successors = EliasFano(base[parent] + word, int(base[-1]) + 1, store)
+        self.p, self.backoff = store.put(quantise(log10_p)), store.put(quantise(backoff))
 
-    def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | context): by successor search within the context's range, else back-off weight times the word's own."""
-        own, at = np.unique(context, return_inverse=True)
+    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each entry, -1 where there is none: by successor search within the parent's range."""
+        out = np.full(len(parent), -1)
+        own, at = np.unique(parent, return_inverse=True)
         lo, hi, base = (x[at] for x in (self.pointers.get(own), self.pointers.get(own + 1), self.bases.get(own)))
-        out = restore(self.backoff[context]) + restore(self.unigram[word])
         some = np.flatnonzero(lo < hi)
         at = self.successors.successor(base[some] + word[some])
         near = (at >= lo[some]) & (at < hi[some])
         some, at = some[near], at[near]
         hit = self.successors.get(at) == base[some] + word[some]
-        out[some[hit]] = restore(self.p[at[hit]])
+        out[some[hit]] = at[hit]
+        return out
+
+
+class Trie:
+    """Levels over word numbers 0 .. words - 1. Level 1 has the log10-probability and back-off weight of each word; those below are Level's."""
+
+    def __init__(self, unigram: np.ndarray, backoff: np.ndarray, *levels: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+        """unigram, backoff: log10, by word. levels: (parent, word, log10_p, backoff), sorted; a parent is a place in the level above."""
+        store, parents = Mapped(), len(unigram)
+        self.unigram, self.backoff, self.levels = store.put(quantise(unigram)), store.put(quantise(backoff)), []
+        for level in levels:
+            self.levels.append(Level(parents, *level, store))
+            parents = len(level[0])
+
+    def place(self, *ngram: np.ndarray) -> np.ndarray:
+        """Where the n-grams stand in the level of their order; -1: nowhere."""
+        if len(ngram) == 1:
+            return ngram[0]
+        at = self.place(*ngram[:-1])
+        some = at >= 0
+        at[some] = self.levels[len(ngram) - 2].find(at[some], ngram[-1][some])
+        return at
+
+    def log10(self, *ngram: np.ndarray) -> np.ndarray:
+        """log10 P(last word | words before it): by successor search, else the context's back-off weight times the same without its first word."""
+        if len(ngram) == 1:
+            return restore(self.unigram[ngram[0]])
+        out, context = self.log10(*ngram[1:]), self.place(*(x.copy() for x in ngram[:-1]))
+        some = np.flatnonzero(context >= 0)
+        level, above = self.levels[len(ngram) - 2], self.levels[len(ngram) - 3].backoff if len(ngram) > 2 else self.backoff
+        at = level.find(context[some], ngram[-1][some])
+        out[some] = np.where(at >= 0, restore(level.p[np.maximum(at, 0)]) if len(level.p) else 0.0, out[some] + restore(above[context[some]]))
         return out
