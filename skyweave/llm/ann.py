@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, smallest_hashes, table
+from .common import kept, save, smallest_hashes, table
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -36,14 +36,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 class Additive:
     """Codebooks of shape (books, words, dimensions), and what encoding needs of them."""
 
-    made: tuple[str, "Additive"] | None = None
-
-    @classmethod
-    def of(cls, key: str, codebooks: np.ndarray) -> "Additive":
-        if cls.made is None or cls.made[0] != key:
-            cls.made = key, cls(codebooks)
-        return cls.made[1]
-
     def __init__(self, codebooks: np.ndarray):
         self.codebooks = codebooks
         self.norms = (codebooks**2).sum(2)
@@ -131,7 +123,7 @@ def build(vectors: DataFrame, *, books: int = 8, words: int = 128, sample_rows:
     key, shared = uuid.uuid4().hex, vectors.sparkSession.sparkContext.broadcast(codebooks)  # books x words x dimensions
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Additive.of(key, shared.value)
+        model = kept(key, lambda: Additive(shared.value))
         for b in batches:
             v = _matrix(b.column("vector"))
             codes = model.encode(v / np.linalg.norm(v, axis=1, keepdims=True))
@@ -162,7 +154,7 @@ def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: in
         shared = spark.sparkContext.broadcast((own.vec_id.to_numpy(), q, np.linalg.norm(q, axis=1)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = Additive.of(key, books.value)
+            model = kept(key, lambda: Additive(books.value))
             qid, q, q_norm = shared.value
             best_id, best = np.full((len(qid), 0), 0, np.int64), np.full((len(qid), 0), 0.0)
             for b in batches:

@@ -11,8 +11,10 @@ import os
 import re
 from array import array
 
-#: Words that a worker remembers at most; the memory is emptied when full.
-REMEMBERED_WORDS = 400_000
+from .common import kept
+
+#: Words that a worker remembers at most, some 150 bytes each; the memory is emptied when full.
+REMEMBERED_WORDS = 200_000
 #: Words longer than this are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -30,8 +32,6 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Maps a word to its ids, as little-endian unsigned 32-bit integers."""
 
-    made: dict[str, "WordEncoder"] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
@@ -44,9 +44,7 @@ class WordEncoder(dict):
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+        return kept(("words", path), lambda: cls(path))
 
     def _plain(self) -> bool:
         """Whether a lower-case run of letters, and of end marks, is one byte-level piece, so that the model alone encodes it."""

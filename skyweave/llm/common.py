@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,29 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+T = TypeVar("T")
+_kept: list[tuple[Hashable, object]] = []
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What make() gives, made once in a worker, which serves many tasks. A worker keeps one such thing: that of an earlier operator, and
+    the words it remembers, are dropped and their memory given back to the system before the next is made."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that Python's copies of texts stay small beside the batch."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
     gc.collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import kept, slices, table, texts
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -46,14 +46,6 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 class Block:
     """A block of items and its seeds; the same object serves all tasks of a worker."""
 
-    made: tuple[str, "Block"] | None = None
-
-    @classmethod
-    def of(cls, key: str, args: tuple) -> "Block":
-        if cls.made is None or cls.made[0] != key:
-            cls.made = key, cls(*args)
-        return cls.made[1]
-
     def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], total: int, least_share: float, rare: float):
         self.items, self.least_share = items, least_share
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
@@ -181,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_share: float =
     for key, shared in _blocks(docs, benchmark, least_share, rare, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block.of(key, shared.value)
-            for b in batches:
+            block = kept(key, lambda: Block(*shared.value))
+            for b in slices(batches):
                 rows = [(d.as_py(), *hit) for d, t in zip(b.column(0), b.column(1)) for hit in block.search(t.as_py())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -197,8 +189,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, least_share: float = 0.5, ra
     for key, shared in _blocks(docs, benchmark, least_share, rare, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block.of(key, shared.value)
-            for b in batches:
+            block = kept(key, lambda: Block(*shared.value))
+            for b in slices(batches):
                 yield b.filter(pa.array([not block.search(t) if t else True for t in b.column("text").to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, schema)

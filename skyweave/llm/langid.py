@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words up to this length are scored in groups; longer ones with scaling, one at a time.
 GROUPED = 40
-REMEMBERED_WORDS = 600_000
+#: Words that a worker remembers at most, some 150 bytes and 8 a language each.
+REMEMBERED_WORDS = 250_000
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -161,14 +162,7 @@ def fit(labelled: DataFrame, vocab_path: str, *, sample_docs: int = 400) -> tupl
 
 
 class Predictor:
-    #: The last one made in this worker, as it remembers words between tasks.
-    made: tuple[str, "Predictor"] | None = None
-
-    @classmethod
-    def of(cls, key: str, model: tuple) -> "Predictor":
-        if cls.made is None or cls.made[0] != key:
-            cls.made = key, cls(*model)
-        return cls.made[1]
+    """Predicts with one model; it remembers words between tasks."""
 
     def __init__(self, vocab_path: str, langs: list[str], p: np.ndarray):
         self.langs, self.p, self.lattice = langs, p, Lattice(vocabulary(vocab_path))
@@ -213,16 +207,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
     shared = docs.sparkSession.sparkContext.broadcast((vocab_path, *model))  # languages x 32,000 numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Predictor.of(key, shared.value)
-        for b in batches:
-            t = b.column("text")
-            for i in range(0, len(t), 1000):
-                part = b.slice(i, 1000)
-                found = own.predict(part.column("text").to_pylist())
-                if least_score is not None:
-                    yield part.filter(pa.array([x != "und" and s >= least_score for x, s in found], pa.bool_()))
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        own = kept(key, lambda: Predictor(*shared.value))
+        for part in slices(batches):
+            found = own.predict(part.column("text").to_pylist())
+            if least_score is not None:
+                yield part.filter(pa.array([x != "und" and s >= least_score for x, s in found], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     if least_score is not None:
         return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, chunks
-from .common import save, texts
+from .common import save, slices, texts
 
 PIECE = "part int, doc_id bigint, piece int, start bigint, length bigint, local bigint, ids_crc32 bigint, ids binary"
 
@@ -93,7 +93,7 @@ def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         names = [x.split()[0] for x in PIECE.split(", ")]
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for b in batches:
+        for b in slices(batches):
             for some in chunks(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), lambda r: len(r[1])):
                 out: list[list] = [[] for _ in names]
                 for (d, _), ids in zip(some, enc.encode([t for _, t in some])):

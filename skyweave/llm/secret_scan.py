@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes, table
+from .common import kept, slices, smallest_hashes, table
 
 #: The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -24,6 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Words that a worker remembers at most, some 250 bytes each.
+REMEMBERED_WORDS = 150_000
 KINDS = ("assign", "access", "hex", "crf")
 
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
@@ -90,20 +92,12 @@ def text_features(words: list[str]) -> tuple[str, ...]:
 class Field:
     """Weights by feature name: own, prev and next hold {feature: [O, B, I]}, text likewise; moves[from, to]."""
 
-    made: tuple[str, "Field"] | None = None
-
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         self.forget()
         # If O is ahead of the others by more than this everywhere, the best path is O throughout.
         self.sure = max(0.0, max(moves[a, x] + moves[x, b] - moves[a, 0] - moves[0, b] for a in range(3) for b in range(3) for x in (1, 2)))
 
-    @classmethod
-    def of(cls, key: str, model: tuple) -> "Field":
-        if cls.made is None or cls.made[0] != key:
-            cls.made = key, cls(*model)
-        return cls.made[1]
-
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.by_shape: dict[tuple, np.ndarray] = {}
@@ -117,7 +111,7 @@ class Field:
 
     def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Per text the score of each word and tag, without moves."""
-        if len(self.at) > 400_000:
+        if len(self.at) > REMEMBERED_WORDS:
             self.forget()
         new = list(set().union(*texts) - self.at.keys())
         first = len(self.at)
@@ -275,12 +269,10 @@ def scan(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray]) -> Da
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field.of(key, shared.value)
-        for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
-                found = _found(field, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[(KINDS[k], s, e) for s, k, e, _ in x] for x in found], kind)], names=["doc_id", "spans"])
+        field = kept(key, lambda: Field(*shared.value))
+        for part in slices(batches):
+            found = _found(field, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[(KINDS[k], s, e) for s, k, e, _ in x] for x in found], kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, spans {SPANS}")
 
@@ -295,21 +287,19 @@ def redact(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray], mar
     key, shared, schema = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field.of(key, shared.value)
-        for whole in batches:
-            for i in range(0, len(whole), 500):
-                b = whole.slice(i, 500)
-                texts = b.column("text").to_pylist()
-                new = []
-                for t, spans in zip(texts, _found(field, texts)):
-                    out, at = [], 0
-                    for value, end in sorted((v, e) for _, _, e, v in spans):
-                        if end > at:
-                            out += [t[at : max(at, value)], mark * (value >= at)]
-                            at = end
-                    new.append(t if t is None or not spans else "".join(out) + t[at:])
-                arrays = [pa.array(new, b.schema.field("text").type) if f == "text" else pa.array([None if o is None else n if x is t else len(x) for o, n, x, t in zip(b.column(f).to_pylist(), b.column(f).to_pylist(), new, texts)], b.schema.field(f).type) if f == "n_chars" else b.column(f) for f in b.schema.names]
-                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+        field = kept(key, lambda: Field(*shared.value))
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            new = []
+            for t, spans in zip(texts, _found(field, texts)):
+                out, at = [], 0
+                for value, end in sorted((v, e) for _, _, e, v in spans):
+                    if end > at:
+                        out += [t[at : max(at, value)], mark * (value >= at)]
+                        at = end
+                new.append(t if t is None or not spans else "".join(out) + t[at:])
+            arrays = [pa.array(new, b.schema.field("text").type) if f == "text" else pa.array([None if o is None else o if n == x else len(n) for o, n, x in zip(b.column(f).to_pylist(), new, texts)], b.schema.field(f).type) if f == "n_chars" else b.column(f) for f in b.schema.names]
+            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
     return docs.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, texts, unsigned_hex
+from .common import save, slices, texts, unsigned_hex
 from .graph import components
 
 BITS = 64
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
@@ -99,7 +99,7 @@ def representatives(docs: DataFrame, distance: int = 4, words: int = 4, segments
     fps = texts(docs).select("doc_id", "text", text_hash.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())], names=["doc_id", "h", "fp"])
 
     fps, _ = save(fps.mapInArrow(run, "doc_id bigint, h bigint, fp bigint"))

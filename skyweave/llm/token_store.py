@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, chunks
-from .common import partitions, smallest_hashes, texts, workdir
+from .common import partitions, slices, smallest_hashes, texts, workdir
 
 BLOCK = "part int, block int, first_doc bigint, last_doc bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary, dict_hash string"
 DICTIONARY = "dict_hash string, dictionary binary, tokenizer string, end_id bigint, width int"
@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2,
             block, start, held, size = block + 1, start + sum(n), [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _types)], names=_names)
 
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for some in chunks(rows, lambda r: len(r[1])):
                 for (d, _), ids in zip(some, enc.encode([t for _, t in some])):
