@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidCommandLineOptionError
 from ..functions.geo import EARTH_RADIUS, haversine, pressure_ratio, wrap_longitude, wrap_start
 from ..functions.names import STANDARD
+from ..scratch import save
 from . import kernels
 from .grid import Axis, cell_number, spine
 
@@ -110,19 +111,21 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
     """
     if kernel == "nn_horizontal_only":
         return nearest(sample, data, variables, key=key, row_id=row_id, missing_sample=missing_sample)
+    if kernel in kernels.NEAREST and h_sep is a_sep is p_sep is t_sep is None:
+        if kernels.NEAREST[kernel] == "h":
+            out = nearest(sample, data, variables, key=key, row_id=row_id, missing_sample=missing_sample)
+        else:
+            out = nearest_along(sample, data, variables, kernels.NEAREST[kernel], key=key, row_id=row_id, missing_sample=missing_sample)
+        return out.fillna(fill_value, variables) if fill_value is not None else out
     sample, data = fix_longitudes(sample, data)
     data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables))
     outs = kernels.output_names(kernel, variables)
     side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
     use = [c for c in STANDARD if c in sample.columns and c in data.columns]
     s = side.select(key, *use)
-    if h_sep is a_sep is p_sep is t_sep is None and kernel not in kernels.NEAREST:
+    if h_sep is a_sep is p_sep is t_sep is None:
         found = s.select(key).crossJoin(F.broadcast(data.agg(*kernels.data_only(kernel, variables, user_kernels))))  # one row
     else:
-        if h_sep is a_sep is p_sep is t_sep is None:
-            if kernels.NEAREST[kernel] == "h":
-                return nearest(sample, data, variables, key=key, row_id=row_id, missing_sample=missing_sample)
-            raise InvalidCommandLineOptionError(f"{kernel} needs a separation")
         near = pairs(s, data.select(*use, *variables, *([row_id] if row_id else [])), h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict)
         if kernel in kernels.NEAREST:
             far = {"h": lambda: haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), "a": lambda: F.abs(F.col("altitude") - F.col("s_altitude")), "p": lambda: pressure_ratio(F.col("air_pressure"), F.col("s_air_pressure")), "t": lambda: F.abs(F.col("time") - F.col("s_time"))}[kernels.NEAREST[kernel]]()
@@ -137,7 +140,7 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
 
 def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: str = "sample_id", row_id: str | None = None, missing_sample: str | None = None) -> DataFrame:
     """The horizontally nearest present value of each variable for each sample, however far, by rings: samples that lack one within a
-    radius try a larger one, until each variable that has any value is found."""
+    radius try a larger one, until each variable that has any value is found. Each ring's finds are written, so that none is made twice."""
     sample, data = fix_longitudes(sample, data)
     data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables)).select("latitude", "longitude", *variables, *([row_id] if row_id else []))
     side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
@@ -150,7 +153,7 @@ def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: st
         near = pairs(todo, data, h_sep=math.pi * EARTH_RADIUS * 1.01 if last else radius)
         got = near.groupBy(F.col(f"s_{key}").alias(key)).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), order())).alias(v) for v in variables])
         # A larger radius holds the rows of a smaller one too, so a sample's last round has all its values.
-        done = got if last else got.dropna(subset=present)
+        done, _ = save(got if last else got.dropna(subset=present))
         found = done if found is None else found.unionByName(done)
         if last:
             break
@@ -162,6 +165,42 @@ def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: st
     return base.join(found, key, "left") if found is not None else base.withColumns({v: F.lit(None).cast("double") for v in variables})
 
 
+#: How far apart two values of a vertical coordinate or of time are, and its column, by the letter of a nearest kernel.
+ALONG = {"a": ("altitude", lambda x, y: F.abs(x - y)), "p": ("air_pressure", pressure_ratio), "t": ("time", lambda x, y: F.abs(x - y))}
+
+
+def nearest_along(sample: DataFrame, data: DataFrame, variables: list[str], by: str, *, key: str = "sample_id", row_id: str | None = None, missing_sample: str | None = None) -> DataFrame:
+    """The value of each variable that is nearest in altitude (a), pressure ratio (p) or time (t), however far; ties to the smallest row_id.
+
+    Data are first reduced to one row for each value of the coordinate. These and the samples' values stand in one order, cut into
+    ranges; the last before and the first after each sample are found within its range, or are a range's last or first, of which
+    there is one row a range.
+    """
+    c, far = ALONG[by]
+    side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
+    asked = side.select(F.col(c).cast("double").alias("x")).where("x IS NOT NULL").distinct()
+    out = sample.drop(*[v for v in variables if v in sample.columns])
+    for v in variables:
+        rid = F.col(row_id).cast("string" if dict(data.dtypes).get(row_id) == "string" else "long") if row_id else F.lit(0).cast("long")
+        own = data.where(F.col(v).isNotNull() & F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.min(rid).alias("r"), F.min_by(v, rid).alias("v"))
+        both = own.select("x", F.struct("x", "r", "v").alias("e")).unionByName(asked.select("x", F.lit(None).alias("e")), allowMissingColumns=True)
+        parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both, _ = save(both.repartitionByRange(parts, "x").withColumn("b", F.spark_partition_id()))
+        ends = both.where("e IS NOT NULL").groupBy("b").agg(F.max_by("e", "x").alias("last"), F.min_by("e", "x").alias("first"))
+        ends = both.select("b").distinct().join(ends, "b", "left")  # a row a range
+        over = Window.orderBy("b")
+        ends = ends.select("b", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+        within = Window.partitionBy("b").orderBy("x")
+        before, after = F.last("e", True).over(within.rangeBetween(Window.unboundedPreceding, 0)), F.first("e", True).over(within.rangeBetween(0, Window.unboundedFollowing))
+        met = both.withColumns({"before": before, "after": after}).where("e IS NULL").join(F.broadcast(ends), "b")
+        ways = [F.coalesce("before", "earlier"), F.coalesce("after", "later")]
+        best = F.array_min(F.filter(F.array(*[F.when(w.isNotNull(), F.struct(far(F.col("x"), w["x"]).alias("far"), w["r"].alias("r"), w["v"].alias("v"))) for w in ways]), lambda s: s.isNotNull()))
+        out = out.join(met.select(F.col("x").alias("_x"), best["v"].alias(v)), F.col(c).cast("double") == F.col("_x"), "left").drop("_x")
+    if missing_sample is not None:
+        out = out.withColumns({v: F.when(F.col(missing_sample).isNotNull(), F.col(v)) for v in variables})
+    return out
+
+
 def bin_onto(data: DataFrame, variables: list[str], axes: list[Axis], kernel: str = "moments", *, missing_grid: DataFrame | None = None, row_id: str | None = None, user_kernels: dict | None = None) -> DataFrame:
     """The kernel of the data in each cell of a given grid, dense. Axes that data lacks are dropped; cells are half-open, and points in
     gaps between bounds are in none. missing_grid: (cell, missing) whose missing cells become NULL; it needs all axes in data.

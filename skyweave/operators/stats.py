@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
+
 
 def common(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pairs that are both present, as x and y."""
@@ -13,16 +15,11 @@ def common(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def average_ranks(pairs: DataFrame, column: str) -> DataFrame:
     """(column, rank): the average rank of each distinct value. Values are counted first; the running count is taken within ranges of
-    values, so no task sees all of them: the ranges' totals are added from a table of one row a range."""
+    values, so no task sees all of them: the ranges' totals are added from a table of one row a range. The counts are written with the
+    number of their range, which is the partition that Spark's range partitioner gave them."""
     n = pairs.groupBy(column).agg(F.count("*").alias("n"))
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = n.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(column) > c).cast("int")
-    n = n.withColumn("b", bucket)
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, _ = save(n.repartitionByRange(parts, column).withColumn("b", F.spark_partition_id()))
     totals = n.groupBy("b").agg(F.sum("n").alias("total"))
     before = totals.select("b", F.coalesce(F.sum("total").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -351,3 +351,25 @@ def test_units_names_geo(spark):
         names.find_coordinate(df, "t")
     row = spark.range(1).select(geo.wrap_longitude(F.lit(-190.0), -180.0).alias("a"), geo.wrap_longitude(F.lit(360.0), 0.0).alias("b"), geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("c")).first()
     assert (row.a, row.b) == (170, 0) and math.isclose(row.c, math.pi * 6378)
+
+
+@pytest.mark.parametrize("kernel, c", [("nn_a", "altitude"), ("nn_p", "air_pressure"), ("nn_t", "time")])
+def test_nearest_along_one_coordinate(spark, kernel, c):
+    """Nearest kernels without a separation see every row; against all pairs."""
+    rng = np.random.default_rng(4)
+    data = [(i, *map(float, rng.integers(1, 40, 3)), None if i % 5 == 0 else float(i), None if i < 90 else float(-i)) for i in range(100)]
+    d = spark.createDataFrame(data, "row_id int, altitude double, air_pressure double, time double, v double, u double")
+    rows = [(i, *map(float, rng.integers(1, 60, 3) + rng.choice([0, 0.5], 3))) for i in range(40)] + [(40, N, N, N)]
+    s = spark.createDataFrame(rows, "sample_id int, altitude double, air_pressure double, time double")
+    k = {"altitude": 1, "air_pressure": 2, "time": 3}[c]
+    far = (lambda a, b: max(a / b, b / a)) if c == "air_pressure" else lambda a, b: abs(a - b)
+    got = {r.sample_id: (r.v, r.u) for r in co.box(s, d, ["v", "u"], kernel, row_id="row_id").collect()}
+    for r in rows:
+        want = tuple(min(((far(r[k], x[k]), x[0], x[j]) for x in data if x[j] is not N))[2] if r[k] is not N else N for j in (4, 5))
+        assert got[r[0]] == want
+
+
+def test_means_with_zeros_and_negatives(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 4.0), (1, 9.0), (2, 4.0), (2, 9.0), (3, -4.0), (3, 9.0), (4, N)], "g int, v double")
+    for how, want in (("gmean", [0, 6, N, N]), ("hmean", [0, round(2 / (1 / 4 + 1 / 9), 6), N, N])):
+        assert values(df.groupBy("g").agg(*kernels.data_only(how, ["v"])), "g") == want
