@@ -11,7 +11,7 @@ from ..errors import CoordinateNotFoundError
 from ..functions.geo import wrap_longitude, wrap_start
 from ..functions.names import find_coordinate
 from . import kernels
-from .grid import Axis, cell_number, spine
+from .grid import Axis, cell_number, spine, with_axes
 
 #: Metres, of the sphere that areas are measured on.
 AREA_RADIUS = 6_367_470.0
@@ -56,7 +56,7 @@ def aggregate(df: DataFrame, variables: list[str], how: str = "moments", grid: d
     if dense:
         out = spine(df.sparkSession, axes).join(agg, "cell", "left") if axes else df.sparkSession.range(1).select(F.col("id").alias("cell")).join(agg, "cell", "left")
     else:
-        out = spine(df.sparkSession, axes, most=1 << 62).join(agg, "cell") if axes else agg
+        out = with_axes(agg, axes)
     if rest:
         ends = df.agg(*[f(c).alias(f"{c}{k}") for c in rest for k, f in (("_lo", F.min), ("_hi", F.max))])
         ends = ends.select("*", *[(F.col(f"{c}_lo") + (F.col(f"{c}_hi") - F.col(f"{c}_lo")) / 2).alias(c) for c in rest])

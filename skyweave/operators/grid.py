@@ -92,7 +92,12 @@ def spine(spark: SparkSession, axes: list[Axis], most: int = MOST_CELLS) -> Data
     n = math.prod(map(len, axes))
     if n > most:
         raise InconsistentDimensionsError(f"a dense grid of {n} cells; ask for a sparse one, or allow it by `most`")
-    out, stride = spark.range(n).withColumnRenamed("id", "cell"), n
+    return with_axes(spark.range(n).withColumnRenamed("id", "cell"), axes)
+
+
+def with_axes(cells: DataFrame, axes: list[Axis]) -> DataFrame:
+    """cells (a column of row-major numbers among others) with <name>_i, <name>, <name>_lo and <name>_hi of each axis."""
+    out, stride = cells, math.prod(map(len, axes))
     for a in axes:
         stride //= len(a)
         i = F.floor(F.col("cell") / stride).cast("long") % len(a)

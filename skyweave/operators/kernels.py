@@ -18,6 +18,18 @@ def _moments(v: str) -> list[Column]:
     return [F.avg(v).alias(v), F.stddev_samp(v).alias(f"{v}_std_dev"), F.when(n > 0, n).alias(f"{v}_num_points")]
 
 
+def _gmean(v: str) -> Column:
+    """0 if a value is 0, NULL if one is negative."""
+    least = F.min(v)
+    return F.when(least > 0, F.exp(F.avg(F.when(F.col(v) > 0, F.ln(v))))).when(least == 0, F.lit(0.0)).alias(v)
+
+
+def _hmean(v: str) -> Column:
+    """0 if a value is 0, NULL if one is negative."""
+    least = F.min(v)
+    return F.when(least > 0, F.count(v) / F.sum(F.try_divide(F.lit(1.0), F.col(v)))).when(least == 0, F.lit(0.0)).alias(v)
+
+
 def spline_peak(values: np.ndarray, steps: int = 100) -> float | None:
     """The maximum of the not-a-knot cubic spline through the values at 0, 1, 2, ...; with under four, of the polynomial."""
     y = np.asarray(values, float)
@@ -63,8 +75,8 @@ DATA_ONLY: dict[str, Callable[[str], list[Column]]] = {
     "max": lambda v: [F.max(v).alias(v)],
     "sum": lambda v: [F.sum(v).alias(v)],
     "median": lambda v: [F.median(v).alias(v)],
-    "gmean": lambda v: [F.exp(F.avg(F.ln(v))).alias(v)],
-    "hmean": lambda v: [(F.count(v) / F.sum(F.try_divide(F.lit(1.0), F.col(v)))).alias(v)],
+    "gmean": lambda v: [_gmean(v)],
+    "hmean": lambda v: [_hmean(v)],
     "RMS": lambda v: [F.sqrt(F.avg(F.col(v) * F.col(v))).alias(v)],
 }
 #: Kernels of the nearest point, by what is nearest.

@@ -1,8 +1,7 @@
 """Queries over the test tables, one for each operator, with equivalent SQL.
 
 The tables have no coordinates, so a view of `events` gives each row a place by integer arithmetic; it is whole: every event is a
-point. `stations`, a second point set, are the events of one in 500, as samples onto which the others are collocated; a query of
-stations has another of the same name and `_all` beside it, whose samples are all events.
+point, and every event is a sample where points are collocated onto points. Grids to interpolate from are means of the events.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from ..operators import collocate as co
 from ..operators import evaluate as ev
 from ..operators import interpolate as ip
 from ..operators import maths, stats
-from ..operators.grid import Axis, cell_number, spine
+from ..operators.grid import Axis, spine
 from ..operators.subset import subset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,12 +34,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         k.cast("long").alias("event_id"), ((k * 7919) % 179999 / F.lit(1000.0) - 90).alias("latitude"), ((k * 104729) % 359987 / F.lit(1000.0) - 180).alias("longitude"), ((k % 101) * F.lit(100.0)).alias("altitude"), (F.lit(1000.0) - (k % 90) * 10).alias("air_pressure"),
         tm.std_time(F.col("ts")).alias("time"), F.col("value").alias("v"), F.col("user_id").cast("double").alias("w"), F.when(k % 7 != 0, F.col("value")).alias("v_m"),
+        F.when((k % 97 == 0) & (((k * 7919) % 179999).between(90000, 120000)), F.lit(0.0)).otherwise(F.col("value")).alias("v_0"),
     )
 
 
 POINTS = """points AS (SELECT event_id::BIGINT AS event_id, ((event_id * 7919) % 179999) / 1000.0::DOUBLE - 90 AS latitude, ((event_id * 104729) % 359987) / 1000.0::DOUBLE - 180 AS longitude,
  (event_id % 101) * 100.0::DOUBLE AS altitude, 1000.0::DOUBLE - (event_id % 90) * 10 AS air_pressure, (epoch_us(ts) - epoch_us(TIMESTAMP '1600-01-01')) / 86400e6::DOUBLE AS time,
- value AS v, user_id::DOUBLE AS w, CASE WHEN event_id % 7 <> 0 THEN value END AS v_m FROM events)"""
+ value AS v, user_id::DOUBLE AS w, CASE WHEN event_id % 7 <> 0 THEN value END AS v_m, CASE WHEN event_id % 97 = 0 AND (event_id * 7919) % 179999 BETWEEN 90000 AND 120000 THEN 0.0::DOUBLE ELSE value END AS v_0 FROM events)"""
 HAVERSINE = "2 * 6378.0 * asin(sqrt(least(1.0, greatest(0.0, sin(radians(d.latitude - s.latitude) / 2) ** 2 + cos(radians(s.latitude)) * cos(radians(d.latitude)) * sin(radians(d.longitude - s.longitude) / 2) ** 2))))"
 
 
@@ -83,12 +83,13 @@ def decode_fill_range_scale(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", decode.scale_cf(decode.valid_range(decode.fill(x, 13.0), 2, 49), 0.5, 3).alias("cf"), decode.scale_modis(decode.fill(x, 13.0), 0.5, 3).alias("modis"), decode.scale_cloudsat(decode.missing_where(x, "<=", 5), 4, 3).alias("cloudsat"), decode.scale_caliop(x, 4, 3).alias("caliop"))
 
 
-@query("SELECT event_id, round(time, 6) AS time, true AS back, round(time + 0.25, 6) AS mid FROM points")
+@query("SELECT event_id::BIGINT AS event_id, round(p.time, 6) AS time, abs(round(p.time * 86400e6::DOUBLE)::BIGINT - (epoch_us(e.ts) - epoch_us(TIMESTAMP '1600-01-01'))) <= 4 AS back, round(p.time + 0.25, 6) AS mid FROM points p JOIN events e USING (event_id)")
 def std_time_roundtrip(spark, d):
-    """A day's double resolves four microseconds."""
-    p = points(spark, d).join(spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts"), "event_id")
-    back = F.abs(F.unix_micros(tm.to_timestamp(F.col("time"))) - F.unix_micros(F.col("ts").cast("timestamp"))) <= 4
-    return p.select("event_id", "time", back.alias("back"), tm.mid_time(F.col("time"), F.col("time") + 0.5).alias("mid"))
+    """To days and back: whether within four microseconds, which is what a day's double resolves."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    time = tm.std_time(F.col("ts"))
+    back = F.abs(F.unix_micros(tm.to_timestamp(time)) - F.unix_micros(F.col("ts").cast("timestamp"))) <= 4
+    return e.select(F.col("event_id").cast("long").alias("event_id"), time.alias("time"), back.alias("back"), tm.mid_time(time, time + 0.5).alias("mid"))
 
 
 @query("""SELECT 'v' AS variable, count(*)::BIGINT AS total, count(v)::BIGINT AS present, round(min(v), 8) AS least, round(max(v), 8) AS greatest FROM points
@@ -155,7 +156,7 @@ def mask_where(spark, d):
 
 # aggregation
 
-KERNEL_SQL = {"mean": "avg({v}) AS {v}", "moments": "avg({v}) AS {v}, stddev_samp({v}) AS {v}_std_dev, nullif(count({v}), 0) AS {v}_num_points", "stddev": "stddev_samp({v}) AS {v}", "min": "min({v}) AS {v}", "max": "max({v}) AS {v}", "sum": "sum({v}) AS {v}", "median": "median({v}) AS {v}", "gmean": "exp(avg(ln({v}))) AS {v}", "hmean": "count({v}) / sum(1.0 / {v}) AS {v}", "RMS": "sqrt(avg({v} * {v})) AS {v}"}
+KERNEL_SQL = {"mean": "avg({v}) AS {v}", "moments": "avg({v}) AS {v}, stddev_samp({v}) AS {v}_std_dev, nullif(count({v}), 0) AS {v}_num_points", "stddev": "stddev_samp({v}) AS {v}", "min": "min({v}) AS {v}", "max": "max({v}) AS {v}", "sum": "sum({v}) AS {v}", "median": "median({v}) AS {v}", "gmean": "CASE WHEN min({v}) > 0 THEN exp(avg(CASE WHEN {v} > 0 THEN ln({v}) END)) WHEN min({v}) = 0 THEN 0.0 END AS {v}", "hmean": "CASE WHEN min({v}) > 0 THEN count({v}) / sum(CASE WHEN {v} <> 0 THEN 1.0 / {v} END) WHEN min({v}) = 0 THEN 0.0 END AS {v}", "RMS": "sqrt(avg({v} * {v})) AS {v}"}
 LETTERS = {"y": ("latitude", -90.0, 90.0, 10.0), "x": ("longitude", -180.0, 180.0, 20.0), "z": ("altitude", 0.0, 10000.0, 2500.0), "t": ("time", 154863.0, 154893.0, 1.0), "p": ("air_pressure", 100.0, 1100.0, 250.0)}
 
 
@@ -193,7 +194,7 @@ def aggregation(name: str, how: str, letters: str, variables: list[str], axes: l
 
 for _name, _how, _letters, _vars in (
     ("agg_mean_xy", "mean", "yx", ["v"]), ("agg_moments_xy", "moments", "yx", ["v_m"]), ("agg_min_x", "min", "x", ["v"]), ("agg_max_y", "max", "y", ["v"]), ("agg_sum_t", "sum", "t", ["w"]), ("agg_stddev_xyz", "stddev", "yxz", ["v"]),
-    ("agg_missing", "moments", "yxz", ["v_m"]), ("agg_multi_var", "moments", "yx", ["v", "w", "v_m"]), ("agg_time_p1d", "mean", "t", ["v"]), ("agg_median_p", "median", "p", ["v"]), ("agg_gmean_y", "gmean", "y", ["v"]), ("agg_hmean_y", "hmean", "y", ["v"]), ("agg_rms_z", "RMS", "z", ["v"]),
+    ("agg_missing", "moments", "yxz", ["v_m"]), ("agg_multi_var", "moments", "yx", ["v", "w", "v_m"]), ("agg_time_p1d", "mean", "t", ["v"]), ("agg_median_p", "median", "p", ["v"]), ("agg_gmean_y", "gmean", "y", ["v_0"]), ("agg_hmean_y", "hmean", "y", ["v_0"]), ("agg_rms_z", "RMS", "z", ["v"]),
 ):
     aggregation(_name, _how, _letters, _vars)
 aggregation("agg_overhang", "moments", "", ["v"], [("longitude", -125.0, 20.0, 40.0)])
@@ -234,8 +235,8 @@ collapse_query("col_mean_x", "mean", ["longitude"], "round(avg(v), 8) AS v")
 collapse_query("col_mean_xy_weighted", "mean", ["latitude", "longitude"], _mean)
 collapse_query("col_rms", "RMS", ["latitude"], f"round(sqrt(sum(CASE WHEN v IS NOT NULL THEN {WEIGHT} END * v * v) / sum(CASE WHEN v IS NOT NULL THEN {WEIGHT} END)), 8) AS v")
 collapse_query("col_median", "median", ["longitude"], "round(median(v), 8) AS v")
-collapse_query("col_gmean", "gmean", ["longitude"], "round(exp(avg(ln(v))), 8) AS v")
-collapse_query("col_hmean", "hmean", ["longitude"], "round(count(v) / sum(1 / v), 8) AS v")
+collapse_query("col_gmean", "gmean", ["longitude"], "round(CASE WHEN min(v) > 0 THEN exp(avg(CASE WHEN v > 0 THEN ln(v) END)) WHEN min(v) = 0 THEN 0.0 END, 8) AS v")
+collapse_query("col_hmean", "hmean", ["longitude"], "round(CASE WHEN min(v) > 0 THEN count(v) / sum(CASE WHEN v <> 0 THEN 1 / v END) WHEN min(v) = 0 THEN 0.0 END, 8) AS v")
 collapse_query("col_min", "min", ["longitude"], "round(min(v), 8) AS v")
 collapse_query("col_max", "max", ["latitude"], "round(max(v), 8) AS v")
 collapse_query("col_stddev", "stddev", ["longitude"], "round(stddev_samp(v), 8) AS v")
@@ -257,32 +258,11 @@ def col_peak(spark, d):
 # collocation of points
 
 
-def stations(p: DataFrame) -> DataFrame:
-    return p.where("event_id % 500 = 0").select(F.col("event_id").alias("sample_id"), *COORDS)
-
-
-def every_event(p: DataFrame) -> DataFrame:
+def samples(p: DataFrame) -> DataFrame:
     return p.select(F.col("event_id").alias("sample_id"), *COORDS)
 
 
-STATIONS = "stations AS (SELECT event_id AS sample_id, latitude, longitude, altitude, air_pressure, time FROM points WHERE event_id % 500 = 0)"
-EVERY_EVENT = "stations AS (SELECT event_id AS sample_id, latitude, longitude, altitude, air_pressure, time FROM points)"
-
-
-def sample_query(sql: str):
-    """Register f(spark, sf_dir, samples) under its name with the stations, and under its name and `_all` with every event as a sample."""
-
-    def keep(f):
-        for suffix, samples, text in (("", stations, sql), ("_all", every_event, sql.replace(STATIONS, EVERY_EVENT))):
-
-            def run(spark, d, samples=samples):
-                return f(spark, d, samples)
-
-            run.__name__ = f.__name__ + suffix
-            query(text)(run)
-        return f
-
-    return keep
+SAMPLES = "samples AS (SELECT event_id AS sample_id, latitude, longitude, altitude, air_pressure, time FROM points)"
 
 
 def box_query(name: str, kernel: str, variable: str, test: str, **separations) -> None:
@@ -292,17 +272,17 @@ def box_query(name: str, kernel: str, variable: str, test: str, **separations) -
     test = test.format(**sep)
     if kernel.startswith("nn"):
         far = sep[kernel[3]]
-        body = f"m AS (SELECT s.sample_id, d.{variable}, row_number() OVER (PARTITION BY s.sample_id ORDER BY {far}, d.event_id) AS k FROM stations s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {variable} FROM m WHERE k = 1)"
+        body = f"m AS (SELECT s.sample_id, d.{variable}, row_number() OVER (PARTITION BY s.sample_id ORDER BY {far}, d.event_id) AS k FROM samples s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {variable} FROM m WHERE k = 1)"
     else:
         cols = KERNEL_SQL[kernel].format(v=variable)
-        body = f"m AS (SELECT s.sample_id, d.{variable} FROM stations s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {cols} FROM m GROUP BY sample_id)"
+        body = f"m AS (SELECT s.sample_id, d.{variable} FROM samples s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {cols} FROM m GROUP BY sample_id)"
 
-    def run(spark, d, samples):
+    def run(spark, d):
         p = points(spark, d)
         return co.box(samples(p), p.select("event_id", *COORDS, variable), [variable], kernel, row_id="event_id", **separations).select("sample_id", *names)
 
     run.__name__ = name
-    sample_query(f"{STATIONS}, {body} SELECT sample_id, {shown} FROM stations LEFT JOIN g USING (sample_id)")(run)
+    query(f"{SAMPLES}, {body} SELECT sample_id, {shown} FROM samples LEFT JOIN g USING (sample_id)")(run)
 
 
 box_query("box_h_mean", "mean", "v_m", "{h} <= 777.7", h_sep=777.7)
@@ -317,27 +297,20 @@ box_query("nn_p", "nn_p", "v", "{h} <= 1003.3", h_sep=1003.3)
 box_query("nn_t", "nn_t", "v_m", "{h} <= 1003.3", h_sep=1003.3)
 
 
-@sample_query(f"{STATIONS}, m AS (SELECT s.sample_id, d.v_m AS v, row_number() OVER (PARTITION BY s.sample_id ORDER BY {HAVERSINE}, d.event_id) AS k FROM stations s CROSS JOIN points d WHERE d.v_m IS NOT NULL) SELECT sample_id, round(v, 8) AS v FROM m WHERE k = 1")
-def nn_horizontal_only(spark, d, samples):
+@query(f"{SAMPLES}, m AS (SELECT s.sample_id, d.v_m AS v, row_number() OVER (PARTITION BY s.sample_id ORDER BY {HAVERSINE}, d.event_id) AS k FROM samples s CROSS JOIN points d WHERE d.v_m IS NOT NULL) SELECT sample_id, round(v, 8) AS v FROM m WHERE k = 1")
+def nn_horizontal_only(spark, d):
     p = points(spark, d)
     return co.nearest(samples(p), p.select("event_id", *COORDS, F.col("v_m").alias("v")), ["v"], row_id="event_id").select("sample_id", "v")
 
 
-@query(f"{STATIONS}, c AS (SELECT unnest(generate_series(0, 17))::INTEGER AS latitude_i), x AS (SELECT unnest(generate_series(0, 8))::INTEGER AS longitude_i), cells AS (SELECT latitude_i, longitude_i, -85.0 + 10 * latitude_i AS latitude, -160.0 + 40 * longitude_i AS longitude FROM c CROSS JOIN x), g AS (SELECT latitude_i, longitude_i, avg(d.v) AS v FROM cells s JOIN points d ON {HAVERSINE} <= 503.3 GROUP BY ALL) SELECT latitude_i, longitude_i, round(v, 8) AS v FROM cells LEFT JOIN g USING (latitude_i, longitude_i)")
+@query(f"{SAMPLES}, c AS (SELECT unnest(generate_series(0, 17))::INTEGER AS latitude_i), x AS (SELECT unnest(generate_series(0, 8))::INTEGER AS longitude_i), cells AS (SELECT latitude_i, longitude_i, -85.0 + 10 * latitude_i AS latitude, -160.0 + 40 * longitude_i AS longitude FROM c CROSS JOIN x), g AS (SELECT latitude_i, longitude_i, avg(d.v) AS v FROM cells s JOIN points d ON {HAVERSINE} <= 503.3 GROUP BY ALL) SELECT latitude_i, longitude_i, round(v, 8) AS v FROM cells LEFT JOIN g USING (latitude_i, longitude_i)")
 def box_onto_grid(spark, d):
     axes = [Axis.regular("latitude", -90, 90, 10), Axis.regular("longitude", -180, 180, 40)]
     return co.box_onto_grid(points(spark, d), ["v"], axes, "mean", h_sep=503.3).select("latitude_i", "longitude_i", "v")
 
 
-@query(f"q AS (SELECT event_id, latitude, longitude FROM points WHERE event_id % 10 = 0) SELECT s.event_id AS a, count(*)::BIGINT AS n FROM q s JOIN q d ON s.event_id < d.event_id AND {HAVERSINE} <= 403.3 GROUP BY s.event_id")
-def neighbour_counts(spark, d):
-    """Neighbours within a distance, of one sample set onto itself."""
-    q = points(spark, d).where("event_id % 10 = 0")
-    return co.neighbour_pairs(q, 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT s.event_id AS a, count(*)::BIGINT AS n FROM points s JOIN points d ON s.event_id < d.event_id AND {HAVERSINE} <= 403.3 GROUP BY s.event_id")
-def neighbour_counts_all(spark, d):
+def neighbour_counts(spark, d):
     """Neighbours within a distance, of every event."""
     return co.neighbour_pairs(points(spark, d), 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
 
@@ -356,67 +329,81 @@ def bin_missing_sample(spark, d):
     return co.bin_onto(points(spark, d), ["w"], GRID_AXES, "max", missing_grid=mask).select("latitude_i", "longitude_i", "w")
 
 
-# interpolation from a full analytic grid with a few missing cells
+# interpolation from a grid of means of the events, with some cells missing
 
 IP_AXES = [Axis.of_points("latitude", [-90.0 + 15 * i for i in range(13)]), Axis.of_points("longitude", [-180.0 + 30 * i for i in range(12)], cyclic=True)]
-IP_GRID = "grid AS (SELECT y::INTEGER AS y, x::INTEGER AS x, CASE WHEN (y * 12 + x) % 37 <> 5 THEN y * y + 3.0::DOUBLE * x END AS v FROM generate_series(0, 12) AS a(y), generate_series(0, 11) AS b(x))"
+NEAR_Y, NEAR_X = "floor((latitude + 97.5) / 15)::INTEGER", "(floor((longitude + 195) / 30)::INTEGER % 12)"
+IP_GRID = f"grid AS (SELECT y, x, CASE WHEN (y * 12 + x) % 37 <> 5 THEN v END AS v FROM (SELECT {NEAR_Y} AS y, {NEAR_X} AS x, avg(v) AS v FROM points GROUP BY ALL))"
+INNER_GRID = f"line AS (SELECT {NEAR_Y} - 3 AS y, avg(v) AS v FROM points WHERE {NEAR_Y} BETWEEN 3 AND 9 GROUP BY ALL)"
 
 
-def ip_grid(spark) -> DataFrame:
+def near(name: str, start: float, step: float):
+    """The number of the axis point nearest to each event."""
+    return F.floor((F.col(name) - start + step / 2) / step).cast("int")
+
+
+def ip_grid(spark, d) -> DataFrame:
     y, x = F.col("latitude_i"), F.col("longitude_i")
-    return spine(spark, IP_AXES).select("latitude_i", "longitude_i", F.when((y * 12 + x) % 37 != 5, y * y + F.lit(3.0) * x).alias("v"))
+    cells = points(spark, d).groupBy(near("latitude", -90.0, 15.0).alias("latitude_i"), (near("longitude", -180.0, 30.0) % 12).alias("longitude_i")).agg(F.avg("v").alias("v"))
+    return cells.select("latitude_i", "longitude_i", F.when((y * 12 + x) % 37 != 5, F.col("v")).alias("v"))
+
 
+def inner_line(spark, d) -> DataFrame:
+    cells = points(spark, d).groupBy((near("latitude", -90.0, 15.0) - 3).alias("latitude_i")).agg(F.avg("v").alias("v"))
+    return cells.where("latitude_i BETWEEN 0 AND 6")
 
-PLACE = "i AS (SELECT sample_id, latitude, longitude, least(greatest(ceil((latitude + 90) / 15) - 1, 0), 11)::INTEGER AS y, least(greatest(ceil((longitude + 180) / 30) - 1, 0), 11)::INTEGER AS x FROM stations), u AS (SELECT *, (latitude + 90) / 15 - y AS p, (longitude + 180) / 30 - x AS q FROM i)"
+
+PLACE = "i AS (SELECT sample_id, latitude, longitude, least(greatest(ceil((latitude + 90) / 15) - 1, 0), 11)::INTEGER AS y, least(greatest(ceil((longitude + 180) / 30) - 1, 0), 11)::INTEGER AS x FROM samples), u AS (SELECT *, (latitude + 90) / 15 - y AS p, (longitude + 180) / 30 - x AS q FROM i)"
 CORNERS = "c AS (SELECT sample_id, y + a AS y, (x + b) % 12 AS x, (CASE WHEN a = 1 THEN p ELSE 1 - p END) * (CASE WHEN b = 1 THEN q ELSE 1 - q END) AS k FROM u, (VALUES (0), (1)) AS s(a), (VALUES (0), (1)) AS t(b))"
-LINEAR = f"{STATIONS}, {IP_GRID}, {PLACE}, {CORNERS} SELECT sample_id, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 8) AS v FROM c JOIN grid USING (y, x) GROUP BY sample_id"
+LINEAR = f"{SAMPLES}, {IP_GRID}, {PLACE}, {CORNERS} SELECT sample_id, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 8) AS v FROM c JOIN grid USING (y, x) GROUP BY sample_id"
 
 
-@sample_query(LINEAR)
-def lin_grid_to_points(spark, d, samples):
-    return ip.onto_points(samples(points(spark, d)), ip_grid(spark), ["v"], IP_AXES).select("sample_id", "v")
+@query(LINEAR)
+def lin_grid_to_points(spark, d):
+    return ip.onto_points(samples(points(spark, d)), ip_grid(spark, d), ["v"], IP_AXES).select("sample_id", "v")
 
 
-@sample_query(f"{STATIONS}, {IP_GRID}, {PLACE} SELECT sample_id, round(v, 8) AS v FROM u JOIN grid ON grid.y = u.y + (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AND grid.x = (u.x + (CASE WHEN q > 0.5 THEN 1 ELSE 0 END)) % 12")
-def nn_grid_to_points(spark, d, samples):
-    return ip.onto_points(samples(points(spark, d)), ip_grid(spark), ["v"], IP_AXES, "nn").select("sample_id", "v")
+@query(f"{SAMPLES}, {IP_GRID}, {PLACE} SELECT sample_id, round(v, 8) AS v FROM u JOIN grid ON grid.y = u.y + (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AND grid.x = (u.x + (CASE WHEN q > 0.5 THEN 1 ELSE 0 END)) % 12")
+def nn_grid_to_points(spark, d):
+    return ip.onto_points(samples(points(spark, d)), ip_grid(spark, d), ["v"], IP_AXES, "nn").select("sample_id", "v")
 
 
 INNER = [Axis.of_points("latitude", [-45.0 + 15 * i for i in range(7)])]
+BETWEEN = f"{SAMPLES}, {INNER_GRID}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5)::INTEGER AS y FROM samples), e AS (SELECT sample_id, latitude, i.y, (latitude + 45) / 15 - i.y AS u, a.v AS lo, b.v AS hi FROM i JOIN line a ON a.y = i.y JOIN line b ON b.y = i.y + 1)"
 
 
-@sample_query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round((1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1), 8) AS v FROM i")
-def lin_extrapolate(spark, d, samples):
-    g = spine(spark, INNER).select("latitude_i", (F.col("latitude_i") * F.col("latitude_i")).cast("double").alias("v"))
-    return ip.onto_points(samples(points(spark, d)), g, ["v"], INNER, extrapolate=True).select("sample_id", "v")
+@query(f"{BETWEEN} SELECT sample_id, round((1 - u) * lo + u * hi, 8) AS v FROM e")
+def lin_extrapolate(spark, d):
+    return ip.onto_points(samples(points(spark, d)), inner_line(spark, d), ["v"], INNER, extrapolate=True).select("sample_id", "v")
 
 
-@sample_query(f"{STATIONS}, i AS (SELECT sample_id, latitude, least(greatest(ceil((latitude + 45) / 15) - 1, 0), 5) AS y FROM stations) SELECT sample_id, round(CASE WHEN latitude BETWEEN -45 AND 45 AND y <> 2 AND y + 1 <> 2 THEN (1 - ((latitude + 45) / 15 - y)) * y * y + ((latitude + 45) / 15 - y) * (y + 1) * (y + 1) END, 8) AS v FROM i")
-def lin_null_corner(spark, d, samples):
-    g = spine(spark, INNER).select("latitude_i", F.when(F.col("latitude_i") != 2, F.col("latitude_i") * F.col("latitude_i")).cast("double").alias("v"))
+@query(f"{BETWEEN} SELECT sample_id, round(CASE WHEN latitude BETWEEN -45 AND 45 AND y <> 2 AND y + 1 <> 2 THEN (1 - u) * lo + u * hi END, 8) AS v FROM e")
+def lin_null_corner(spark, d):
+    g = inner_line(spark, d).withColumn("v", F.when(F.col("latitude_i") != 2, F.col("v")))
     return ip.onto_points(samples(points(spark, d)), g, ["v"], INNER).select("sample_id", "v")
 
 
 TARGET = [Axis.of_points("latitude", [-80.0 + 20 * i for i in range(9)]), Axis.of_points("longitude", [-170.0 + 20 * i for i in range(18)])]
-TARGET_SQL = "stations AS (SELECT (y * 18 + x)::BIGINT AS sample_id, -80.0::DOUBLE + 20 * y AS latitude, -170.0::DOUBLE + 20 * x AS longitude FROM generate_series(0, 8) AS a(y), generate_series(0, 17) AS b(x))"
+TARGET_SQL = "samples AS (SELECT (y * 18 + x)::BIGINT AS sample_id, -80.0::DOUBLE + 20 * y AS latitude, -170.0::DOUBLE + 20 * x AS longitude FROM generate_series(0, 8) AS a(y), generate_series(0, 17) AS b(x))"
 
 
 @query(f"{TARGET_SQL}, {IP_GRID}, {PLACE}, {CORNERS} SELECT sample_id AS cell, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 8) AS v FROM c JOIN grid USING (y, x) GROUP BY sample_id")
 def lin_grid_to_grid(spark, d):
-    return ip.onto_grid(ip_grid(spark), ["v"], IP_AXES, TARGET).select("cell", "v")
+    return ip.onto_grid(ip_grid(spark, d), ["v"], IP_AXES, TARGET).select("cell", "v")
 
 
 @query(f"{TARGET_SQL}, {IP_GRID}, {PLACE} SELECT sample_id AS cell, round(v, 8) AS v FROM u JOIN grid ON grid.y = u.y + (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AND grid.x = (u.x + (CASE WHEN q > 0.5 THEN 1 ELSE 0 END)) % 12")
 def nn_grid_to_grid(spark, d):
-    return ip.onto_grid(ip_grid(spark), ["v"], IP_AXES, TARGET, "nn").select("cell", "v")
+    return ip.onto_grid(ip_grid(spark, d), ["v"], IP_AXES, TARGET, "nn").select("cell", "v")
 
 
-@sample_query(f"{STATIONS} SELECT sample_id, round(CASE WHEN altitude BETWEEN 200 + 10 * (latitude + 90) / 15 AND 9800 + 10 * (latitude + 90) / 15 THEN (altitude - 200 - 10 * (latitude + 90) / 15) / 1200 * 3 + (latitude + 90) / 15 END, 8) AS v FROM stations")
-def lin_hybrid_height(spark, d, samples):
-    """Heights of levels vary with latitude; the variable is linear in both, so that its interpolation is known."""
+@query(f"{SAMPLES}, line AS (SELECT {NEAR_Y} AS y, avg(v) AS v FROM points GROUP BY ALL), i AS (SELECT *, least(greatest(ceil((latitude + 90) / 15) - 1, 0), 11)::INTEGER AS y FROM samples), e AS (SELECT sample_id, altitude, latitude, (1 - ((latitude + 90) / 15 - i.y)) * a.v + ((latitude + 90) / 15 - i.y) * b.v AS base FROM i JOIN line a ON a.y = i.y JOIN line b ON b.y = i.y + 1) SELECT sample_id, round(CASE WHEN altitude BETWEEN 200 + 10 * (latitude + 90) / 15 AND 9800 + 10 * (latitude + 90) / 15 THEN (altitude - 200 - 10 * (latitude + 90) / 15) / 1200 * 3 + base END, 8) AS v FROM e")
+def lin_hybrid_height(spark, d):
+    """Heights of levels vary with latitude; the variable is a mean of the events at each latitude, and rises by 3 a level."""
     lat = IP_AXES[:1]
     k, z = F.col("latitude_i"), F.col("level")
-    levels = spine(spark, lat).crossJoin(F.broadcast(spark.range(9).select(F.col("id").cast("int").alias("level")))).select("latitude_i", "level", (F.lit(200.0) + 1200 * z + 10 * k).alias("height"), (F.lit(3.0) * z + k).alias("v"))
+    line = points(spark, d).groupBy(near("latitude", -90.0, 15.0).alias("latitude_i")).agg(F.avg("v").alias("base"))
+    levels = line.crossJoin(F.broadcast(spark.range(9).select(F.col("id").cast("int").alias("level")))).select("latitude_i", "level", (F.lit(200.0) + 1200 * z + 10 * k).alias("height"), (F.lit(3.0) * z + F.col("base")).alias("v"))
     return ip.onto_points_hybrid(samples(points(spark, d)), levels, ["v"], lat, level="level", vertical="height", at="altitude").select("sample_id", "v")
 
 
@@ -496,8 +483,7 @@ def point_separations(spark, d):
     return points(spark, d).select("event_id", geo.pressure_ratio(F.lit(500.0), F.col("air_pressure")).alias("ratio"), lat.alias("lat"), lon.alias("lon"))
 
 
-@query("SELECT (floor((latitude + 90) / 10) * 18 + floor((longitude + 180) / 20))::BIGINT AS cell, count(*)::BIGINT AS n FROM points GROUP BY 1")
+@query("SELECT (floor((latitude + 90) / 10) * 18 + floor((longitude + 180) / 20))::BIGINT AS cell, floor((latitude + 90) / 10)::INTEGER AS latitude_i, round(-170.0::DOUBLE + 20 * floor((longitude + 180) / 20), 8) AS longitude, nullif(count(v_m), 0)::BIGINT AS n FROM points GROUP BY ALL")
 def sparse_cells(spark, d):
-    p = points(spark, d)
-    cell = cell_number(GRID_AXES, {a.name: a.index(F.col(a.name)) for a in GRID_AXES})
-    return p.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    out = ag.aggregate(points(spark, d), ["v_m"], "moments", {"y": (-90, 90, 10), "x": (-180, 180, 20)}, dense=False)
+    return out.select("cell", "latitude_i", "longitude", F.col("v_m_num_points").alias("n"))
