@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import decontam, langid, packing, secret_scan, simhash
-from skyweave.llm.common import save, table
+from skyweave.llm.common import release, save, table
 
 #: Documents whose language is less certain are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs, _ = save(docs)
+            release(spark)  # the stage's shuffle files and broadcasts
     return docs
