@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, slices, table
 
-WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words up to this length are scored in groups; longer ones with scaling, one at a time.
 GROUPED = 40
@@ -26,13 +26,21 @@ GROUPED = 40
 REMEMBERED_WORDS = 250_000
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters (Unicode's L classes) of a text, in lower case; numerals such as one half or a Roman eight are no letters."""
+    found = _RUN.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
+
+
 def vocabulary(path: str) -> dict[str, int]:
     """The lower-case pieces of a sentencepiece model that hold letters only, after an optional word start."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    kept = sorted({p for p in pieces if p == START or (p.lower() == p and WORD.fullmatch(p.removeprefix(START)))})
+    kept = sorted({p for p in pieces if p == START or (p.lower() == p and p.removeprefix(START).isalpha())})
     return {p: i for i, p in enumerate(kept)}
 
 
@@ -130,7 +138,8 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, vocab_path: str, *, sample_docs: int = 400) -> tuple[list[str], np.ndarray]:
-    """Learn from the whole texts of at most sample_docs rows a language, those of smallest hash of doc_id. Rows: doc_id, text, lang."""
+    """Learn from the whole texts of at most sample_docs rows a language, those of smallest hash of doc_id. Rows: doc_id, text, lang.
+    A word of over GROUPED - 1 letters is learned from in stretches of so many."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -148,9 +157,9 @@ def fit(labelled: DataFrame, vocab_path: str, *, sample_docs: int = 400) -> tupl
         for b in batches:
             seen: dict[tuple[str, str], int] = {}
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                for w in WORD.findall(t.lower()):
-                    if len(w) < GROUPED:
-                        seen[lang, w] = seen.get((lang, w), 0) + 1
+                for w in words_of(t):
+                    for x in (w,) if len(w) < GROUPED else (w[i : i + GROUPED - 1] for i in range(0, len(w), GROUPED - 1)):
+                        seen[lang, x] = seen.get((lang, x), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
 
     found = sample.mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
@@ -173,7 +182,7 @@ class Predictor:
         self.rows = np.zeros((1024, len(self.langs)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         if len(self.at) > REMEMBERED_WORDS:
             self.forget()
         new = sorted(set().union(*words) - self.at.keys()) if words and self.langs else []
@@ -200,7 +209,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
     """doc_id, lang_pred, score: the likeliest language of each whole text and its posterior probability under equal priors.
 
     `und` with score 0 where a text is null or has no letter, or nothing was learned. With least_score, instead the rows
-    of docs, all columns, whose language is found with that score at least. Repeated doc_ids: each row is returned.
+    of docs, all columns, whose language is found with that score at least. Null or repeated doc_ids: each row is returned.
     Ties: the first language by name. Empty table: no rows.
     """
     key = uuid.uuid4().hex
@@ -225,4 +234,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     out = predict(docs, fit(docs.where(learnable(F.col("doc_id"))), path), path)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    # A null doc_id is neither learned from nor held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
