@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, save, smallest_hashes, table
+from .common import kept, save, smallest_hashes, table, workdir
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -102,6 +102,12 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where((F.size("vector") > 0) & F.coalesce(fine, F.lit(False)) & F.exists("vector", lambda x: x != 0))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows divided by their norms; first by their greatest component, so that no square leaves the range of doubles."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
@@ -109,24 +115,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def build(vectors: DataFrame, *, books: int = 8, words: int = 128, sample_rows: int = 10_000) -> tuple[DataFrame, np.ndarray]:
     """Index every usable vector: (vec_id, vector, codes binary, norm of the coded vector), written; and the codebooks.
 
-    The codebooks are fitted to at most sample_rows unit vectors, those of smallest hash of vec_id.
+    The codebooks are fitted to at most sample_rows unit vectors, those of smallest hash of vec_id. All vectors of an index have one
+    dimension, the sample's most common one (the lesser, if equal); those of another cannot be compared with them and take no part.
     """
     rows = usable(vectors)
     sample = smallest_hashes(rows, sample_rows, "sample", "vec_id").select("vector").toPandas()
     if not len(sample):
         return rows.select("vec_id", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm")), np.zeros((0, 0, 0))
-    # Vectors of another dimension than most of the sample's take no part.
     dimensions = int(sample.vector.map(len).mode()[0])
     rows = rows.where(F.size("vector") == dimensions)
     x = np.array([v for v in sample.vector if len(v) == dimensions], np.float64)
-    codebooks = Additive.fit(x / np.linalg.norm(x, axis=1, keepdims=True), books, min(words, 256)).codebooks
+    codebooks = Additive.fit(unit(x), books, min(words, 256)).codebooks
     key, shared = uuid.uuid4().hex, vectors.sparkSession.sparkContext.broadcast(codebooks)  # books x words x dimensions
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(key, lambda: Additive(shared.value))
         for b in batches:
             v = _matrix(b.column("vector"))
-            codes = model.encode(v / np.linalg.norm(v, axis=1, keepdims=True))
+            codes = model.encode(unit(v))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(np.linalg.norm(model.decode(codes), axis=1))], names=["vec_id", "vector", "codes", "norm"])
 
     return save(rows.mapInArrow(encode, "vec_id bigint, vector array<double>, codes binary, norm double"))[0], codebooks
@@ -135,35 +141,33 @@ def build(vectors: DataFrame, *, books: int = 8, words: int = 128, sample_rows:
 def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: int = 5, rerank: int = 64, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller vec_id, its own vec_id left out.
 
-    queries: vec_id, vector. They are taken in blocks of `block`, each broadcast and met by every part of the index; a part ranks
-    exactly the `rerank` best by look-up of each chunk of its rows and passes on k a query. Repeated vec_ids are candidates each.
+    queries: vec_id, vector. They are taken in blocks of about `block`, each broadcast, met by every part of the index, written and
+    released before the next; a part ranks exactly the `rerank` best by look-up of each chunk of its rows and passes on k a query.
+    Repeated vec_ids are candidates each.
     """
-    spark = index.sparkSession
-    schema = "query_id bigint, vec_id bigint, score double"
+    spark, path, books = index.sparkSession, workdir(index.sparkSession), index.sparkSession.sparkContext.broadcast(codebooks)
+    key, schema, result = uuid.uuid4().hex, "query_id bigint, vec_id bigint, score double", "query_id bigint, rank int, vec_id bigint, score double"
     if not codebooks.size:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    key, books = uuid.uuid4().hex, spark.sparkContext.broadcast(codebooks)
+        return spark.createDataFrame([], result)
     ids = queries.select("vec_id", "vector")
-    n = ids.count()
-    blocks, found = max(1, -(-n // block)), None
+    blocks = max(1, -(-ids.count() // block))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for i in range(blocks):
         own = ids.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()  # about `block` rows
-        if not len(own):
-            continue
-        q = np.array(own.vector.tolist(), np.float64)
-        shared = spark.sparkContext.broadcast((own.vec_id.to_numpy(), q, np.linalg.norm(q, axis=1)))
+        q = unit(np.array(own.vector.tolist(), np.float64)) if len(own) else np.zeros((0, codebooks.shape[2]))
+        shared = spark.sparkContext.broadcast((own.vec_id.to_numpy(np.int64), q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = kept(key, lambda: Additive(books.value))
-            qid, q, q_norm = shared.value
+            qid, q = shared.value
             best_id, best = np.full((len(qid), 0), 0, np.int64), np.full((len(qid), 0), 0.0)
             for b in batches:
                 for at in range(0, len(b), 4096):
                     part = b.slice(at, 4096)
                     part = part.take(pa.compute.sort_indices(part.column("vec_id")))
-                    vid, v = part.column("vec_id").to_numpy(), _matrix(part.column("vector"))
+                    vid, v = part.column("vec_id").to_numpy(), unit(_matrix(part.column("vector")))
                     codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(part), -1)
-                    norm, v_norm = part.column("norm").to_numpy(), np.linalg.norm(v, axis=1)
+                    norm = part.column("norm").to_numpy()
                     new_id, new = [], []
                     for j in range(0, len(qid), 512):
                         some = slice(j, j + 512)
@@ -171,23 +175,21 @@ def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: in
                         near[qid[some, None] == vid] = -np.inf
                         # Equal products stand in order of vec_id.
                         top = np.argsort(-near, axis=1, kind="stable")[:, :rerank]
-                        exact = (q[some, None, :] * v[top]).sum(2) / (q_norm[some, None] * v_norm[top])
+                        exact = (q[some, None, :] * v[top]).sum(2)
                         exact[qid[some, None] == vid[top]] = -np.inf
                         order = np.lexsort((vid[top], -exact), axis=1)[:, :k]
                         new_id.append(np.take_along_axis(vid[top], order, 1))
                         new.append(np.take_along_axis(exact, order, 1))
-                    best_id, best = np.hstack([best_id, np.vstack(new_id)]), np.hstack([best, np.vstack(new)])
-                    order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                    best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+                    if new:
+                        best_id, best = np.hstack([best_id, np.vstack(new_id)]), np.hstack([best, np.vstack(new)])
+                        order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                        best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
             ok = best > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], best.shape)[ok]), pa.array(best_id[ok]), pa.array(best[ok])], names=["query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        index.mapInArrow(run, schema).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(result).parquet(path)
 
 
 def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,11 @@ def test_search_odd_vectors(spark):
     index, books = ann.build(df)
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(index, books, index.where("vec_id % 50 = 0").select("vec_id", "vector")).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0), (0, 4, 7, 0.707106781), (0, 5, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0), (50, 4, 2, 0.0), (50, 5, 7, -0.707106781)]
+    # Components whose squares are no doubles.
+    far = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [2.0, 0.0]), (3, [0.0, 1e-200])], "vec_id bigint, embedding array<double>")
+    index, books = ann.build(far)
+    got = [(r.vec_id, round(r.score, 6)) for r in ann.search(index, books, index.where("vec_id = 0").select("vec_id", "vector"), block=1).orderBy("rank").collect()]
+    assert got == [(2, 1.0), (1, 0.707107), (3, 0.0)]
     index, books = ann.build(df.limit(0))
     assert ann.search(index, books, index.select("vec_id", "vector")).count() == 0
 
