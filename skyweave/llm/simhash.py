@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,25 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+def cheapest_segments(n: int, distance: int) -> int:
+    """The number of segments that asks for the fewest look-ups and candidates a fingerprint among n of them, spread evenly."""
+
+    def cost(segments: int) -> float:
+        sizes = [BITS * (i + 1) // segments - BITS * i // segments for i in range(segments)]
+        return sum(sum(comb(b, r) for r in range(distance // segments + 1)) * (1 + n / 2**b) for b in sizes)
+
+    return min(range(1, distance + 2), key=cost)
+
+
+def links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """Pairs a < b of the distinct fingerprints `fp` that differ in at most `distance` bits, each once.
 
     Of `segments` segments one differs in at most distance // segments bits, so each fingerprint looks up the
     Hamming ball of that radius round each of its segments. Of two that differ in a segment only the one with the
     greater value asks. The whole distance is a condition of the join, so near misses are never passed on.
-    Fewer segments suit more fingerprints: three have buckets of one at 2 million, two at 4 billion.
+    segments: by default as many as cost least for their number, fewer for more fingerprints; the links are the same.
     """
+    segments = segments or cheapest_segments(fps.count(), distance)
     radius, cuts = distance // segments, [BITS * i // segments for i in range(segments + 1)]
     held, asked = [], []
     for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
@@ -66,13 +78,13 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     return p.join(q, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_components(fps: DataFrame, distance: int = 4, segments: int = 3) -> tuple[DataFrame, DataFrame]:
+def link_components(fps: DataFrame, distance: int = 4, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The links of distinct fingerprints, and (node, root) of those that have one."""
     pairs, _ = save(links(fps, distance, segments))
     return pairs, components(pairs)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments: int | None = None) -> DataFrame:
     """One row a document: doc_id, fp, component_id (the smallest doc_id reachable over links), n_links (other fingerprints linked to its own).
 
     Equal fingerprints are linked without pairs: everything after the scan works on distinct ones.
@@ -80,17 +92,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments
     smallest unless alone; empty table: no rows; other columns are ignored.
     """
     fps, _ = save(fingerprints(docs, words))
-    distinct, _ = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct, _ = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     pairs, root = link_components(distinct.select("fp"), distance, segments)
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     linked = distinct.join(root.withColumnRenamed("node", "fp"), "fp").join(degree, "fp")
     classes = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(classes, "root").select("fp", "component_id", "n_links")
     by_fp = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
+    by_fp, _ = save(by_fp.join(distinct.select("fp", "rows"), "fp"))
+    # A fingerprint of many rows would meet in one task. Those with a 500th of all rows are 500 at most, so they are broadcast.
+    many = F.col("rows") * 500 >= F.lit(by_fp.agg(F.sum("rows")).first()[0] or 0)
+    hot = F.broadcast(by_fp.where(many).drop("rows"))
+    out = fps.join(hot, "fp").unionByName(fps.join(hot.select("fp"), "fp", "left_anti").join(by_fp.where(~many).drop("rows"), "fp"))
+    return out.select("doc_id", "fp", "component_id", "n_links")
 
 
-def representatives(docs: DataFrame, distance: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, distance: int = 4, words: int = 4, segments: int | None = None) -> DataFrame:
     """One row of docs, all columns, of each class of near_duplicates: that of smallest doc_id (null last), then of smallest text hash.
 
     Rows are judged by their own text, not by doc_id: those with null or repeated ids stay if no other row of their class does.
