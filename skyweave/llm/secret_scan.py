@@ -95,8 +95,11 @@ class Field:
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         self.forget()
-        # If O is ahead of the others by more than this everywhere, the best path is O throughout.
-        self.sure = max(0.0, max(moves[a, x] + moves[x, b] - moves[a, 0] - moves[0, b] for a in range(3) for b in range(3) for x in (1, 2)))
+        # What a word gains in moves by another tag than O: between two words, as the first and as the last. If O is ahead by more
+        # everywhere, setting a word to O always gains, so the best path is O throughout.
+        into, out = (moves[:, 1:] - moves[:, :1]).max(), (moves[1:] - moves[:1]).max()
+        between = max(moves[a, x] + moves[x, b] - moves[a, 0] - moves[0, b] for a in range(3) for b in range(3) for x in (1, 2))
+        self.sure = max(0.0, into, out, between)
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
@@ -193,9 +196,26 @@ def label(text: str) -> tuple[list[str], np.ndarray]:
     return [text[s:e] for s, e in at], tags
 
 
-def fit(docs: DataFrame, *, sample_docs: int = 300, reach: int = 25, rounds: int = 80) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Train the field on windows round the base patterns' finds, and round other words with digits, in a bounded sample:
-    the sample_docs texts with and as many without a keyword, those of smallest hash. Empty table: all O."""
+def _chosen(places: np.ndarray, most: int) -> list[int]:
+    """At most `most` of these places, by a hash of the place, so that they lie all over the text."""
+    h = places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.sort(places[np.argsort(h ^ (h >> np.uint64(29)))[:most]]).tolist()
+
+
+def windows_of(text: str, reach: int, tagged: int, plain: int) -> list[tuple[list[str], list[int], list[str]]]:
+    """Words, tags and the whole text's features of windows round at most `tagged` tagged words, `plain` untagged ones with digits and
+    one in the middle."""
+    words, tags = label(text)
+    extra = list(text_features(words))
+    digits = np.array([i for i, w in enumerate(words) if not tags[i] and any(map(str.isdigit, w))], np.int64)
+    marks = _chosen(np.flatnonzero(tags), tagged) + _chosen(digits, plain) + [len(words) // 2] * bool(words)
+    return [(words[max(0, k - reach) : k + reach], tags[max(0, k - reach) : k + reach].tolist(), extra) for k in marks]
+
+
+def fit(docs: DataFrame, *, sample_docs: int = 300, reach: int = 25, tagged: int = 20, plain: int = 4, rounds: int = 80) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Train the field on windows round the base patterns' finds, and round other words with digits, in a bounded sample of labelled
+    rows: the sample_docs texts with and as many without a keyword, those of smallest hash, and of each whole text at most tagged + plain
+    + 1 windows of 2 * reach words, by a hash of their places. Empty table: all O."""
     t = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     low = F.lower("text")
     keyed = F.col("text").contains("AKIA")
@@ -203,14 +223,16 @@ def fit(docs: DataFrame, *, sample_docs: int = 300, reach: int = 25, rounds: int
         keyed = keyed | low.contains(k)
     t = t.withColumn("keyed", keyed)
     total = {r.keyed: r.n for r in t.groupBy("keyed").agg(F.count("*").alias("n")).collect()}
-    some = lambda k: [r.text for r in smallest_hashes(t.where(F.col("keyed") == k), sample_docs, "secrets", total=total.get(k, 0)).select(F.substring("text", 1, 200_000).alias("text")).collect()]
-    windows = []
-    for text in some(True) + some(False):
-        words, tags = label(text)
-        extra = text_features(words)
-        marks = np.flatnonzero(tags).tolist()[:20] + [i for i, w in enumerate(words) if not tags[i] and any(map(str.isdigit, w))][:4] + [len(words) // 2] * bool(words)
-        for k in marks:
-            windows.append((words[max(0, k - reach) : k + reach], tags[max(0, k - reach) : k + reach], extra))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 50):
+            rows = [w for t in b.column(0).to_pylist() for w in windows_of(t, reach, tagged, plain)]
+            yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in rows], kind) for k, kind in enumerate((pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["words", "tags", "extra"])
+
+    some = lambda k: smallest_hashes(t.where(F.col("keyed") == k), sample_docs, "secrets", total=total.get(k, 0)).select("text")
+    found = some(True).unionByName(some(False)).mapInArrow(cut, "words array<string>, tags array<bigint>, extra array<string>")
+    # The rows come in any order; sums of their gradients shall not depend on it.
+    windows = [(w, np.array(y, np.int64), x) for w, y, x in sorted((r.words, r.tags, r.extra) for r in found.collect())]
     moves = np.zeros((3, 3))
     if not windows:
         return {"own:prose": np.array([9.0, 0, 0]), "own:mixed": np.array([9.0, 0, 0])}, moves

@@ -161,6 +161,24 @@ def test_viterbi_is_the_best_path():
             assert math.isclose(total(path if path is not None else [0] * len(words)), best, abs_tol=1e-9)
 
 
+def test_passed_over_texts_have_no_better_path():
+    """Margins of O just above and below the bound, at the ends of texts too, against all paths."""
+    rng, skipped = np.random.default_rng(11), 0
+    for _ in range(400):
+        moves = rng.normal(size=(3, 3)) * 2
+        field = secret_scan.Field({}, moves)
+        n = int(rng.integers(1, 5))
+        e = np.zeros((n, 3))
+        e[:, 0] = field.sure + rng.choice([1e-6, 1e-6, -0.5], n)
+        field.scores = lambda texts, e=e: [e]
+        path = field.tag([["x"] * n])[0]
+        total = lambda p, e=e, m=moves: sum(e[i, x] for i, x in enumerate(p)) + sum(m[a, b] for a, b in itertools.pairwise(p))
+        best = max(map(total, itertools.product(range(3), repeat=n)))
+        skipped += path is None
+        assert math.isclose(total(path if path is not None else [0] * n), best, abs_tol=1e-9)
+    assert skipped > 50
+
+
 def test_scan_and_redact(spark, make, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     model = secret_scan.fit(docs)
@@ -220,6 +238,48 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(lattice.log_likelihood(["▁" + "ab" * 5000], p)).all()
 
 
+def test_letters_only():
+    assert langid.words_of("½ ² Ⅷ 12_3 x² Straße l'été ab٣cd") == ["x", "straße", "l", "été", "ab", "cd"]
+    model = (["en", "fr"], np.vstack([np.full((langid.Lattice(langid.vocabulary(PIECES)).unknown + 1, 2), 1e-4), np.zeros((1, 2))]))
+    assert langid.Predictor(PIECES, *model).predict(["½ ² Ⅷ", None, "", "42", "é"]) == [("und", 0.0)] * 4 + [("en", 0.5)]
+
+
+def test_fit_and_prediction_as_brute_force(spark, make):
+    """EM and posterior by enumeration of all segmentations."""
+    train = [(1, "abba ab ba", "aa"), (2, "ab ab aba", "aa"), (3, "cd dc cdc cd", "cc"), (4, "a" * 45, "cc")]
+    vocab = langid.vocabulary(PIECES)
+    words, langs = Counter(), ["aa", "cc"]
+    for _, t, lang in train[:3]:
+        for w in t.split():
+            words["▁" + w, lang] += 1
+
+    def ways(w):  # pieces of each segmentation
+        if not w:
+            yield []
+        for k in range(1, len(w) + 1):
+            i = vocab.get(w[:k], len(vocab) if k == 1 else None)
+            if i is not None:
+                for rest in ways(w[k:]):
+                    yield [i, *rest]
+
+    p = {lang: np.full(len(vocab) + 1, 1 / (len(vocab) + 1)) for lang in langs}
+    for _ in range(3):
+        for lang in langs:
+            seen = np.full(len(vocab) + 1, 0.05)
+            for (w, own), n in words.items():
+                if own == lang:
+                    of = [(s, np.prod(p[lang][s])) for s in ways(w)]
+                    for s, x in of:
+                        np.add.at(seen, s, n * x / sum(y for _, y in of))
+            p[lang] = seen / seen.sum()
+    found, q = langid.fit(make(train[:3]), PIECES)
+    assert found == langs and np.allclose(q[:-1], np.stack([p[x] for x in langs], 1), rtol=1e-9)
+    assert (langid.fit(make(train), PIECES)[1][vocab["aa"]] > q[vocab["aa"]]).any()  # a word of 45 letters is learned from
+    like = [math.prod(sum(np.prod(p[x][s]) for s in ways("▁" + w)) for w in ("ab", "cd", "abc")) for x in langs]
+    got = langid.predict(make([(9, "Ab cd, abc")]), (found, q), PIECES).first()
+    assert got.lang_pred == langs[int(np.argmax(like))] and math.isclose(got.score, max(like) / sum(like), rel_tol=1e-9)
+
+
 def test_language_held_out(spark, make, odd):
     out = langid.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r.held_out]
