@@ -40,12 +40,19 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.plain = False
+        if not self._splits():
+            raise ValueError(f"{path}: its pieces reach across white space, so texts cannot be encoded word by word")
         self.plain = self._plain()
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
         return kept(("words", path), lambda: cls(path))
 
+    def _splits(self) -> bool:
+        """Whether probes of several words, with all kinds of white space, encode as their words do, joined."""
+        probes = ["The old man's dog, (12.5) x", "a  b\tc\nd\r\ne ", " éà ÇA  straße. 日本 語", "x\n\n\ny = [1, 2];"]
+        return all(b"".join(map(self._whole, p.split())) == self._whole(p) for p in probes)
+
     def _plain(self) -> bool:
         """Whether a lower-case run of letters, and of end marks, is one byte-level piece, so that the model alone encodes it."""
         probes = ["qwertyzxv", "éàöñßøğ", "the", "straße"]

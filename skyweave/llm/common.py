@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
@@ -15,27 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def workdir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, local mode) a local one is made, and removed at exit.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="skyweave-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/skyweave/{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, path: str | None = None, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation of it."""
-    spark = df.sparkSession
-    path = path or workdir(spark)
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+from ..scratch import save, workdir
 
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that save() wrote, through Hadoop's file system, so that any store works."""
@@ -97,3 +73,6 @@ def partitions(spark: SparkSession) -> int:
 def unsigned_hex(c: Column) -> Column:
     """A 64-bit number as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+__all__ = ["drop", "kept", "partitions", "release", "save", "slices", "smallest_hashes", "table", "texts", "unsigned_hex", "workdir"]

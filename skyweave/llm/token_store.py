@@ -14,6 +14,7 @@ consecutive documents in ascending doc_id order; `start` counts the ids before a
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,18 +30,28 @@ BLOCK = "part int, block int, first_doc bigint, last_doc bigint, start bigint, d
 DICTIONARY = "dict_hash string, dictionary binary, tokenizer string, end_id bigint, width int"
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 400, dict_bytes: int = 65_536) -> tuple[bytes, int]:
-    """A zstandard dictionary trained on the id arrays of a bounded sample: the sample_docs documents of smallest hash.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 400, sample_ids: int = 8192, dict_bytes: int = 65_536) -> tuple[bytes, int]:
+    """A zstandard dictionary trained on the id arrays of a bounded sample: of the sample_docs documents of smallest hash, sample_ids ids
+    each at most, from a place in the whole text that a hash tells.
 
     It only affects size, never content. Returns (dictionary, id width in bytes). Too little text: an empty dictionary.
     """
     import zstandard
 
-    enc = WordEncoder.of(tokenizer)
-    width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else 4
-    rows = smallest_hashes(texts(docs), sample_docs, "dictionary").select(F.substring("text", 1, 20_000).alias("text")).collect()
-    samples = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in enc.encode([r.text for r in rows])]
-    samples = [x for x in samples if len(x) >= 16]
+    width = 2 if max(WordEncoder.of(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else 4
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = WordEncoder.of(tokenizer)
+        for b in slices(batches, 50):
+            out = []
+            for x in enc.encode(b.column(0).to_pylist()):
+                a = np.frombuffer(x, "<u4").astype(f"<u{width}")
+                at = zlib.crc32(x) % max(1, len(a) - sample_ids + 1)
+                out.append(a[at : at + sample_ids].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    rows = smallest_hashes(texts(docs), sample_docs, "dictionary").select("text").mapInArrow(ids, "ids binary").collect()
+    samples = sorted(bytes(r.ids) for r in rows if len(r.ids) >= 16)
     try:
         return (zstandard.train_dictionary(dict_bytes, samples).as_bytes() if len(samples) >= 32 else b""), width
     except zstandard.ZstdError:

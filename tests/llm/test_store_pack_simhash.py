@@ -47,6 +47,15 @@ def test_store_of_an_empty_table(spark, make):
     assert token_store.read_tokens(spark, path).count() == 0
 
 
+def test_tokenizers_that_join_words_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_segments_by_cost():
+    assert [simhash.cheapest_segments(n, 4) for n in (10, 10**5, 10**7, 10**12)] == sorted((simhash.cheapest_segments(n, 4) for n in (10, 10**5, 10**7, 10**12)), reverse=True)
+
+
 def test_store_dictionary_is_shared(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     path = workdir(spark)
