@@ -4,12 +4,15 @@
     subset    VARS:FILES[:product=P] LIMITS -o OUT            x=[a,b],t=[2024-01],shape=WKT
     aggregate VARS:FILES[:kernel=K] GRID -o OUT               x=[a,b,step],y=[a,b,step]
     collapse  VARS:FILES[:kernel=K] DIMS -o OUT               x,y (a long-form grid)
-    collocate VARS:FILES SAMPLES:METHOD[OPTIONS],kernel=K -o OUT    points.csv:box[h_sep=500km,t_sep=P1D]
-    eval      VARS:FILES EXPRESSION UNITS -o [NAME:]OUT [-a k=v,...]
+    collocate VARS:FILES SAMPLES:METHOD[OPTIONS],kernel=K -o OUT    points.csv:box[h_sep=500km,t_sep=P1D], grid:bin, points.csv:lin
+    eval      VARS:FILES [VARS:FILES ...] EXPRESSION UNITS -o [NAME:]OUT [-a k=v,...]
     stats     VAR:FILES [VAR:FILES]
+    plot      VARS:FILES [VARS:FILES ...] --type KIND -o OUT                 the figure's tables, one folder each
     version
 
 A variable may be given an alias, VAR=ALIAS; a colon in a name is written \\:. Longitude limits must increase and span 360 at most.
+A folder with cells and axes is a grid. Samples: points by box (default), lin or nn (default lin, of a grid); grids by bin (default),
+box, lin or nn.
 """
 
 from __future__ import annotations
@@ -18,20 +21,20 @@ import argparse
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import __version__
+from .dataset import Dataset, read_data_list
 from .errors import EngineError, InvalidCommandLineOptionError
 from .functions.names import coordinates, find_coordinate
 from .functions.time import parse_datetime, parse_duration, to_days
 from .functions.units import parse_length
 from .operators import aggregate as ag
-from .operators import collocate as co
 from .operators import evaluate as ev
+from .operators import plotdata
 from .operators import stats as st
 from .operators.subset import require_rows, subset
 from .sources import read, variables
-from .sources.sinks import save
+from .sources.sinks import axes_of, save, save_grid
 
 ALIASES = {"col": "collocate", "sub": "subset", "agg": "aggregate"}
 
@@ -141,16 +144,34 @@ def _load(spark: SparkSession, text: str) -> tuple[DataFrame, list[str], dict]:
     return df, [c for c in df.columns if c not in coordinates(df)], options
 
 
+def _dataset(spark: SparkSession, text: str) -> Dataset:
+    names, aliases, files, options = parse_group(text)
+    return read_data_list(spark, files, names, product=options.get("product"), aliases=aliases)
+
+
+def _samples(spark: SparkSession, files: str) -> Dataset:
+    """The points, or the grid, of files; the variables in them are left aside."""
+    paths = split_outside(files, ",")
+    if len(paths) == 1 and axes_of(spark, paths[0]):
+        return read_data_list(spark, paths, "*")
+    from .sources.products import find_product
+
+    df = find_product(spark, paths[0]).scan(spark, paths)
+    return Dataset(df.select(*coordinates(df)), ())
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skyweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"info": ["data"], "subset": ["data", "limits"], "aggregate": ["data", "grid"], "collapse": ["data", "dims"], "collocate": ["data", "samples"], "eval": ["data", "expression", "units"], "stats": ["data"], "version": []}.items():
+    for name, args in {"info": ["data"], "subset": ["data", "limits"], "aggregate": ["data", "grid"], "collapse": ["data", "dims"], "collocate": ["data", "samples"], "eval": ["data", "expression", "units"], "stats": ["data"], "plot": ["data"], "version": []}.items():
         s = sub.add_parser(name, aliases=[a for a, n in ALIASES.items() if n == name])
         for a in args:
-            s.add_argument(a, nargs="+" if name == "stats" else None)
+            s.add_argument(a, nargs="+" if name in ("stats", "eval", "plot") and a == "data" else None)
         if name not in ("info", "stats", "version"):
             s.add_argument("-o", "--output", required=True)
         s.add_argument("--overwrite", action="store_true")
+        if name == "plot":
+            s.add_argument("--type", default="line")
         if name == "eval":
             s.add_argument("-a", "--attributes", default="")
     return p
@@ -170,27 +191,56 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
+def _plot(tables: dict[str, DataFrame], a: argparse.Namespace) -> int:
+    for name, table in tables.items():
+        save(table, f"{a.output}/{name}", overwrite=a.overwrite)
+    return 0
+
+
 def run(command: str, a: argparse.Namespace, spark: SparkSession) -> int:
     if command == "info":
         if ":" not in a.data.replace("://", ""):
             print("\n".join(variables(spark, a.data)))
             return 0
         df, names, _ = _load(spark, a.data)
-        st.info(df, names).show(truncate=False)
+        st.describe(df, names).show(truncate=False)
         return 0
-    if command == "stats":
+    if command == "plot" and len(a.data) == 1:
+        return _plot(_dataset(spark, a.data[0]).figure(a.type), a)
+    if command in ("stats", "eval", "plot"):
         df, names, _ = _load(spark, a.data[0])
-        for more in a.data[1:]:
+        for i, more in enumerate(a.data[1:], 2):
             other, found, _ = _load(spark, more)
-            clash = {n: f"{n}_2" for n in found if n in names}
+            clash = {n: f"{n}_{i}" for n in found if n in names}
             df, names = ev.align(df, other.withColumnsRenamed(clash), coordinates(other)), names + [clash.get(n, n) for n in found]
+    if command == "plot":
+        return _plot(plotdata.figure(a.type, df, names), a)
+    if command == "stats":
         if len(names) != 2:
             raise InvalidCommandLineOptionError("stats compares exactly two variables")
         for k, v in st.stats(df, *names).first().asDict().items():
             print(f"{k}: {v}")
         return 0
-    df, names, options = _load(spark, a.data)
     output = a.output
+    if command == "collocate":
+        files, _, method = a.samples.rpartition(":")
+        parts = split_outside(method, ",")
+        how, opts = parse_method(parts[0]) if "=" not in parts[0].split("[")[0] else ("", {})
+        more = parse_options(",".join(parts[bool(how) :])) if parts[bool(how) :] else {}
+        data, sample = _dataset(spark, a.data), _samples(spark, files)
+        keys = {k: v for k, v in opts.items() if k in ("extrapolate",)}
+        options = separations(opts) | {k: v.lower() == "true" for k, v in keys.items()}
+        if (kernel := more.get("kernel")) and data.gridded:
+            raise InvalidCommandLineOptionError("interpolation takes no kernel")
+        out = sample.sampled_from(data, how or None, kernel, **options)
+        names = [v for v in sample.variables if v in out.df.columns and v not in out.variables]
+        if out.gridded:
+            save_grid(out.df.drop(*names), list(out.axes), output, overwrite=a.overwrite)
+        else:
+            save(out.df.drop("sample_id", *names), output, overwrite=a.overwrite)
+        return 0
+    if command != "eval":
+        df, names, options = _load(spark, a.data)
     if command == "subset":
         out = require_rows(subset(df, **parse_limits(a.limits)))
     elif command == "aggregate":
@@ -198,17 +248,6 @@ def run(command: str, a: argparse.Namespace, spark: SparkSession) -> int:
     elif command == "collapse":
         dims = coordinates(df)
         out = ag.collapse(df, names, dims, [find_coordinate(df, d) for d in a.dims.split(",")], options.get("kernel", "moments"))
-    elif command == "collocate":
-        files, _, method = a.samples.rpartition(":")
-        how, opts = parse_method(split_outside(method, ",")[0])
-        more = parse_options(",".join(split_outside(method, ",")[1:])) if "," in method and len(split_outside(method, ",")) > 1 else {}
-        if how != "box":
-            raise InvalidCommandLineOptionError(f"points are collocated onto points by box, not {how!r}")
-        from .sources.products import find_product
-
-        sample = find_product(spark, files).scan(spark, [files])
-        sample = sample.select(*coordinates(sample)).withColumn("sample_id", F.monotonically_increasing_id())
-        out = co.box(sample, df, names, more.get("kernel", "moments"), **separations(opts)).drop("sample_id")
     else:
         name, _, path = output.rpartition(":") if not re.match(r"\w+://", output) else ("", "", output)
         output = path

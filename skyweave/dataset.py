@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import fnmatch
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InconsistentDimensionsError, InvalidDataTypeError, InvalidVariableError
+from .errors import CoordinateNotFoundError, InconsistentDimensionsError, InvalidDataTypeError, InvalidVariableError
 from .functions.geo import wrap_longitude
 from .functions.names import coordinates
 from .functions.time import to_timestamp
@@ -16,6 +17,7 @@ from .operators import aggregate as ag
 from .operators import collocate as co
 from .operators import evaluate as ev
 from .operators import interpolate as ip
+from .operators import plotdata
 from .operators import stats as st
 from .operators.grid import Axis
 from .operators.subset import subset, subset_grid
@@ -71,8 +73,39 @@ class Dataset:
         out = ag.collapse(self.df, list(self.variables), [*keys, *[f"{d}_i" for d in dims]], [f"{d}_i" for d in dims], how, weight=weight)
         return self._with(out, f"collapse {dims} {how}", [c for c in out.columns if c not in keys], keep)
 
+    def copy(self) -> "Dataset":
+        return replace(self)
+
+    def __getitem__(self, rows: slice) -> "Dataset":
+        """Rows by position: those whose row_id lies in start:stop, as a table has no order of its own."""
+        if "row_id" not in self.df.columns:
+            raise InvalidDataTypeError("a positional slice needs a column row_id")
+        if rows.step not in (None, 1):
+            raise InvalidDataTypeError("a positional slice has no step")
+        df = self.df
+        for bound, test in ((rows.start, F.col("row_id").__ge__), (rows.stop, F.col("row_id").__lt__)):
+            df = df if bound is None else df.where(test(bound))
+        return self._with(df, f"rows {rows.start}:{rows.stop}")
+
+    def with_same_coordinates(self, name: str, values: Column, units: str = "1", **attributes) -> "Dataset":
+        """A new variable alone, at the same points."""
+        keep = [c for c in self.df.columns if c not in self.variables]
+        return self._with(self.df.select(*keep, values.alias(name, metadata={"units": units, **attributes})), f"new variable {name}", [name])
+
+    def figure(self, kind: str) -> dict[str, DataFrame]:
+        """The tables that a plot of this kind shows."""
+        return plotdata.figure(kind, self.df, list(self.variables), list(self.axes))
+
+    def describe(self) -> DataFrame:
+        return st.describe(self.df, list(self.variables))
+
     def sampled_from(self, data: "Dataset", how: str | None = None, kernel: str | None = None, *, key: str = "sample_id", missing_data_for_missing_sample: bool = False, **options) -> "Dataset":
         """data's variables at this dataset's points or cells: box, bin, lin or nn, by default what suits the two kinds."""
+        lacking = [a.name for a in data.axes if not self.gridded and a.name not in self.df.columns]
+        if lacking or not (self.gridded or self.coords):
+            raise CoordinateNotFoundError(f"the sample has no {lacking or 'coordinates'}")
+        if not self.gridded and key not in self.df.columns:
+            return replace(self, df=self.df.withColumn(key, F.monotonically_increasing_id())).sampled_from(data, how, kernel, key=key, missing_data_for_missing_sample=missing_data_for_missing_sample, **options)
         how = how or {(False, False): "box", (False, True): "lin", (True, False): "bin", (True, True): "lin"}[self.gridded, data.gridded]
         missing = self.variables[0] if missing_data_for_missing_sample and self.variables else None
         values = list(data.variables)
@@ -91,7 +124,7 @@ class Dataset:
             if how != "box":
                 raise InvalidDataTypeError(f"points are sampled from points by box, not {how!r}")
             out = co.box(self.df, data.df, values, kernel, key=key, missing_sample=missing, **options)
-        elif how == "bin":
+        elif how in ("bin", "cell"):
             mask = self.df.select("cell", F.col(missing).isNull().alias("missing")) if missing else None
             out = co.bin_onto(data.df, values, list(self.axes), kernel, missing_grid=mask, **options)
         else:
@@ -130,6 +163,17 @@ class Dataset:
 
 
 def read_data_list(spark: SparkSession, paths, variables, product: str | None = None, aliases: list[str] | None = None) -> Dataset:
+    """Points, or the grid that save_grid() wrote under the path."""
+    found = products._paths(paths)
+    if len(found) == 1 and product is None and (axes := sinks.axes_of(spark, found[0])):
+        cells = spark.read.parquet(f"{found[0]}/cells")
+        names = [n for p in ([variables] if isinstance(variables, str) else variables) for n in fnmatch.filter([c for c in cells.columns if c not in axis_columns(axes)], p)]
+        if not names:
+            raise InvalidVariableError(f"no variable matches {variables!r}")
+        if aliases:
+            cells = cells.withColumnsRenamed(dict(zip(names, aliases)))
+        out = aliases or names
+        return Dataset(cells.select(*[c for c in cells.columns if c in axis_columns(axes)], *out), tuple(out), tuple(axes))
     df = products.read(spark, paths, variables, product=product, aliases=aliases)
     return Dataset(df, tuple(c for c in df.columns if c not in coordinates(df)))
 
@@ -141,5 +185,9 @@ def read_data(spark: SparkSession, paths, variable: str, product: str | None = N
     return out
 
 
-def get_variables(spark: SparkSession, paths, product: str | None = None) -> list[str]:
-    return products.variables(spark, paths, product=product)
+def axis_columns(axes) -> list[str]:
+    return ["cell", *[f"{a.name}{s}" for a in axes for s in ("_i", "", "_lo", "_hi")]]
+
+
+def get_variables(spark: SparkSession, paths, product: str | None = None, type: str | None = None) -> list[str]:
+    return products.variables(spark, paths, product=product, type=type)

@@ -64,11 +64,24 @@ def broadcast_profile(profiles: DataFrame, levels: DataFrame) -> DataFrame:
     return profiles.crossJoin(F.broadcast(levels))
 
 
-def densify_track(df: DataFrame, order: str, columns: list[str], times: int = 5, group: list[str] = ()) -> DataFrame:
+def equal_including_missing(a: Column, b: Column) -> Column:
+    """Whether two values are equal; NaN equals NaN and NULL equals NULL."""
+    return a.eqNullSafe(b) | F.coalesce(F.isnan(a.cast("double")) & F.isnan(b.cast("double")), F.lit(False))
+
+
+def same_values(a: DataFrame, b: DataFrame, key: str, column: str) -> bool:
+    """Whether a column is equal, row by row, in two tables with the same keys."""
+    met = a.select(key, F.col(column).alias("_a"), F.lit(1).alias("_in_a")).join(b.select(key, F.col(column).alias("_b"), F.lit(1).alias("_in_b")), key, "full")
+    return met.where(F.col("_in_a").isNull() | F.col("_in_b").isNull() | ~equal_including_missing(F.col("_a"), F.col("_b"))).isEmpty()
+
+
+def densify_track(df: DataFrame, order: str, columns: list[str], times: int, group: list[str]) -> DataFrame:
     """`times` points from each along a track, linear between neighbours and centred on it; the last is extrapolated.
 
-    Adds `sub` (0 .. times - 1). group: keys of separate tracks.
+    Adds `sub` (0 .. times - 1). group: keys of separate tracks (a granule, say), of which each is in one task; at least one is needed.
     """
+    if not group:
+        raise ValueError("tracks need a key")
     w = Window.partitionBy(*group).orderBy(order)
     out = df
     for c in columns:
@@ -84,4 +97,8 @@ def ingest(df: DataFrame, coords: list[str], variables: list[str]) -> DataFrame:
     """NaN to NULL in coordinates and variables; rows with a missing coordinate go."""
     types = dict(df.dtypes)
     clean = {c: no_nan(F.col(c)) for c in [*coords, *variables] if types[c] in ("float", "double")}
-    return (df.withColumns(clean) if clean else df).dropna(subset=list(coords)) if coords else df.withColumns(clean)
+    out = df.withColumns(clean) if clean else df
+    for c in clean:
+        if df.schema[c].metadata:
+            out = out.withMetadata(c, df.schema[c].metadata)
+    return out.dropna(subset=list(coords)) if coords else out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column
@@ -67,5 +66,25 @@ def antipode(lat: Column, lon: Column) -> tuple[Column, Column]:
     return -lat, wrap_longitude(lon + 180, -180.0)
 
 
-def reach_degrees(h_km: float) -> float:
-    return math.degrees(h_km / EARTH_RADIUS)
+def separation(kind: str, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How far apart two points are: h (km), a or t (absolute difference) or p (ratio, 1 or more). a, b: coordinates by name."""
+    return {
+        "h": lambda: haversine(a["latitude"], a["longitude"], b["latitude"], b["longitude"]),
+        "a": lambda: F.abs(a["altitude"] - b["altitude"]),
+        "t": lambda: F.abs(a["time"] - b["time"]),
+        "p": lambda: pressure_ratio(a["air_pressure"], b["air_pressure"]),
+    }[kind]()
+
+
+def nearer(kind: str, to: dict[str, Column], p: dict[str, Column], q: dict[str, Column]) -> Column:
+    """Whether p is nearer to a point than q is."""
+    return separation(kind, to, p) < separation(kind, to, q)
+
+
+def same_place(a: dict[str, Column], b: dict[str, Column], names: tuple[str, ...] = ("latitude", "longitude", "altitude", "air_pressure")) -> Column:
+    """Whether two points have equal coordinates, missing ones alike."""
+    out = F.lit(True)
+    for n in names:
+        if n in a and n in b:
+            out = out & a[n].eqNullSafe(b[n])
+    return out

@@ -92,13 +92,35 @@ class PartialDateTime:
 
 
 def parse_datetime(text: str) -> PartialDateTime:
-    """YYYY[-MM[-DD[(T| |:)hh[:mm[:ss]]]]]."""
+    """YYYY[-MM[-DD[(T| |:)hh[:mm[:ss]]]]], also with / between the parts of the date, YYYYMMDD[Thhmm[ss]], or 31 Jan 2010."""
+    text = text.strip()
+    if m := re.fullmatch(r"(\d{4})(\d\d)(\d\d)(?:T(\d\d)(\d\d)(\d\d)?)?Z?", text):
+        return PartialDateTime(*(int(x) if x else None for x in m.groups()))
+    if (m := re.fullmatch(r"(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4})", text)) and m[2].title() in calendar.month_abbr:
+        return PartialDateTime(int(m[3]), list(calendar.month_abbr).index(m[2].title()), int(m[1]))
+    text = re.sub(r"^(\d{4})/(\d{1,2})(?:/(\d{1,2}))?", lambda m: "-".join(x for x in m.groups() if x), text)
     m = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2})(?:[T :](\d{1,2})(?::(\d{1,2})(?::(\d{1,2})(?:\.0*)?)?)?)?)?)?Z?", text.strip())
     if not m:
         raise ValueError(f"not a date and time: {text!r}")
     return PartialDateTime(*(int(x) if x else None for x in m.groups()))
 
 
+def parse_number_or_datetime(text: str) -> float | PartialDateTime:
+    """A number, or a date and time."""
+    try:
+        return float(text)
+    except ValueError:
+        return parse_datetime(text)
+
+
+def parse_number_or_days(text: str) -> float:
+    """A number, or a duration as days."""
+    try:
+        return float(text)
+    except ValueError:
+        return parse_duration(text) / dt.timedelta(days=1)
+
+
 def parse_duration(text: str) -> dt.timedelta:
     """PnYnMnDTnHnMnS in either case, T also a space or colon; a year has 365 days and a month 30."""
     m = re.fullmatch(r"P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:[T :](?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?", text.strip(), re.I)

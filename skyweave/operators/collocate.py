@@ -8,7 +8,10 @@ Each pair meets in one cell; the exact separation tests are conditions of the jo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +67,19 @@ def _horizontal_keys(data: DataFrame, sample: DataFrame, h_km: float) -> tuple[D
     return data, sample.withColumn("_c", F.explode(ids))
 
 
-def pairs(sample: DataFrame, data: DataFrame, *, h_sep: float | None = None, a_sep: float | None = None, p_sep: float | None = None, t_sep: float | None = None, strict: bool = False) -> DataFrame:
+def pairs(sample: DataFrame, data: DataFrame, *, h_sep: float | None = None, a_sep: float | None = None, p_sep: float | None = None, t_sep: float | None = None, strict: bool = False, where: Column | None = None, salts: int = 1) -> DataFrame:
     """Sample rows (columns named s_<name>) with the data rows within all separations: haversine <= h_sep km (strict: <), altitude and
-    time differences < a_sep and t_sep, pressure ratio < p_sep. At least one is needed."""
+    time differences < a_sep and t_sep, pressure ratio < p_sep. At least one is needed. where: a further condition over s_<name> and
+    <name>. salts: data of one cell are dealt to so many tasks, each with all of the cell's samples; for data from a few places, beyond
+    what adaptive execution splits."""
     s = sample.select([F.col(c).alias(f"s_{c}") for c in sample.columns])
     tests, keys = [], []
+    if salts > 1:
+        data = data.withColumn("_salt", F.pmod(F.xxhash64(*data.columns), F.lit(salts)))
+        s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        salted = ["_salt"]
+    else:
+        salted = []
     if h_sep is not None:
         data, s = _horizontal_keys(data, s, h_sep)
         keys += ["_r", "_c"]
@@ -93,8 +104,9 @@ def pairs(sample: DataFrame, data: DataFrame, *, h_sep: float | None = None, a_s
     if not tests:
         raise ValueError("no separation given")
     if not keys:  # a pressure ratio of 1 or less is never undercut
-        return s.join(data.limit(0))
-    on = tests[0]
+        return s.join(data.limit(0)).drop(*salted)
+    keys += salted
+    on = tests[0] if where is None else tests[0] & where
     for t in tests[1:]:
         on = on & t
     left, right = s.alias("_s"), data.alias("_d")
@@ -103,12 +115,41 @@ def pairs(sample: DataFrame, data: DataFrame, *, h_sep: float | None = None, a_s
     return left.join(right, on).drop(*keys)
 
 
-def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str = "moments", *, key: str = "sample_id", row_id: str | None = None, h_sep: float | None = None, a_sep: float | None = None, p_sep: float | None = None, t_sep: float | None = None, missing_sample: str | None = None, fill_value: float | None = None, user_kernels: dict | None = None, strict: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class PythonKernel:
+    """fn(sample: dict, matches: pandas.DataFrame, variable) gives a value for each suffix of the output's name, or one value. It is called
+    once a sample; a sample's matches are in one task."""
+
+    fn: Callable[[dict, pd.DataFrame, str], object]
+    suffixes: tuple[str, ...] = ("",)
+
+    def outputs(self, variables: list[str]) -> list[str]:
+        return [f"{v}{s}" for v in variables for s in self.suffixes]
+
+    def apply(self, near: DataFrame, key: str, variables: list[str]) -> DataFrame:
+        names = self.outputs(variables)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            sample, row = {c[2:]: pdf[c].iloc[0] for c in pdf.columns if c.startswith("s_")}, [pdf[f"s_{key}"].iloc[0]]
+            for v in variables:
+                got = self.fn(sample, pdf[pdf[v].notna()], v)
+                row += list(got) if len(self.suffixes) > 1 else [got]
+            return pd.DataFrame([row], columns=[key, *names])
+
+        kind = near.schema[f"s_{key}"].dataType.simpleString()
+        return near.groupBy(f"s_{key}").applyInPandas(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str = "moments", *, key: str = "sample_id", row_id: str | None = None, h_sep: float | None = None, a_sep: float | None = None, p_sep: float | None = None, t_sep: float | None = None, missing_sample: str | None = None, fill_value: float | None = None, user_kernels: dict | None = None, strict: bool = False, where: Column | None = None, salts: int = 1) -> DataFrame:
     """Every sample row with the kernel of the data within its separations; NULL where there are none.
 
     Rows of data whose variables are all missing are left out. key: a unique column of sample. row_id: breaks ties of nearest kernels,
     the smallest wins. missing_sample: a column of sample whose NULL forces NULL outputs. Without a separation every data row is within.
+    where: a user's constraint, beside a separation. user_kernels: by name, functions of a variable that give Columns, or PythonKernels.
     """
+    own = (user_kernels or {}).get(kernel)
+    if (where is not None or isinstance(own, PythonKernel)) and h_sep is a_sep is p_sep is t_sep is None:
+        raise InvalidCommandLineOptionError("a constraint, and a kernel that sees the sample, need a separation to join by")
     if kernel == "nn_horizontal_only":
         return nearest(sample, data, variables, key=key, row_id=row_id, missing_sample=missing_sample)
     if kernel in kernels.NEAREST and h_sep is a_sep is p_sep is t_sep is None:
@@ -119,21 +160,22 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
         return out.fillna(fill_value, variables) if fill_value is not None else out
     sample, data = fix_longitudes(sample, data)
     data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables))
-    outs = kernels.output_names(kernel, variables)
+    outs = own.outputs(variables) if isinstance(own, PythonKernel) else kernels.output_names(kernel, variables)
     side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
     use = [c for c in STANDARD if c in sample.columns and c in data.columns]
     s = side.select(key, *use)
     if h_sep is a_sep is p_sep is t_sep is None:
         found = s.select(key).crossJoin(F.broadcast(data.agg(*kernels.data_only(kernel, variables, user_kernels))))  # one row
     else:
-        near = pairs(s, data.select(*use, *variables, *([row_id] if row_id else [])), h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict)
+        near = pairs(s, data.select(*use, *variables, *([row_id] if row_id else [])), h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict, where=where, salts=salts)
         if kernel in kernels.NEAREST:
             far = {"h": lambda: haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), "a": lambda: F.abs(F.col("altitude") - F.col("s_altitude")), "p": lambda: pressure_ratio(F.col("air_pressure"), F.col("s_air_pressure")), "t": lambda: F.abs(F.col("time") - F.col("s_time"))}[kernels.NEAREST[kernel]]()
             order = F.struct(far, F.col(row_id) if row_id else F.lit(0))
             cols = [F.min_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in variables]
-        else:
+        elif not isinstance(own, PythonKernel):
             cols = kernels.data_only(kernel, variables, user_kernels)
-        found = near.groupBy(F.col(f"s_{key}").alias(key)).agg(*cols)
+            outs += [n for n in near.groupBy().agg(*cols).columns if n not in outs]
+        found = own.apply(near, key, variables) if isinstance(own, PythonKernel) else near.groupBy(F.col(f"s_{key}").alias(key)).agg(*cols)
     out = sample.drop(*[o for o in outs if o in sample.columns]).join(found, key, "left")
     return out.fillna(fill_value, outs) if fill_value is not None else out
 
@@ -235,6 +277,35 @@ def box_onto_grid(data: DataFrame, variables: list[str], axes: list[Axis], kerne
     return box(cells, data, variables, kernel, key="cell", **separations)
 
 
+def within(sample: DataFrame, data: DataFrame, h_sep: float, key: str = "sample_id", row_id: str = "row_id") -> DataFrame:
+    """key, row_id, distance (km) of the data within h_sep km of each sample: a sparse matrix of distances; count it for numbers of
+    neighbours between two sets. With h_sep of half the circumference (20,038 km) or more it is the whole matrix."""
+    near = pairs(sample.select(key, "latitude", "longitude"), data.select(row_id, "latitude", "longitude"), h_sep=h_sep)
+    return near.select(F.col(f"s_{key}").alias(key), row_id, haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")).alias("distance"))
+
+
+def nearest_k(sample: DataFrame, data: DataFrame, k: int, key: str = "sample_id", row_id: str = "row_id", h_sep: float | None = None) -> DataFrame:
+    """key, rank (from 1), row_id, distance of each sample's k nearest data, fewer if there are fewer (within h_sep km, if given); ties to
+    the smaller row_id. Samples with fewer than k within a radius try a larger one; each ring's finds are written."""
+    n, found = data.count(), None
+    furthest = math.pi * EARTH_RADIUS * 1.01 if h_sep is None else h_sep
+    radius, todo = min(furthest, 2 * EARTH_RADIUS * math.sqrt(4 * k / max(n, 1))), sample.select(key, "latitude", "longitude")
+    order = Window.partitionBy(key).orderBy("distance", row_id)
+    while n:
+        got, _ = save(within(todo, data, radius, key, row_id).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", row_id, "distance"))
+        last = radius >= furthest
+        full = got.groupBy(key).count().where(F.col("count") >= k).select(key)
+        done = got if last else got.join(full, key, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            break
+        todo = todo.join(full, key, "left_anti")
+        if todo.isEmpty():
+            break
+        radius = min(radius * 4, furthest)
+    return found if found is not None else within(sample.limit(0), data, 1.0, key, row_id).select(key, F.lit(1).alias("rank"), row_id, "distance")
+
+
 def neighbour_pairs(points: DataFrame, h_sep: float, key: str) -> DataFrame:
     """Pairs a < b of points within h_sep km of each other, from a self-join on cells; count them for a number of neighbours."""
     p = points.select(key, "latitude", "longitude")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InconsistentDimensionsError
+
 
 def unit_of(df: DataFrame, name: str) -> str:
     return (df.schema[name].metadata or {}).get("units", "1")
@@ -32,6 +34,13 @@ def _same(df: DataFrame, a: str, b: str) -> str:
     return unit_of(df, a)
 
 
+def side_by_side(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Variables of two sources for arithmetic: the result has a's rows and no more, so `on` must be unique in b."""
+    if not b.groupBy(*on).count().where("count > 1").isEmpty():
+        raise InconsistentDimensionsError(f"several rows share {on}; the result would have more rows than its left side")
+    return a.join(b, on, "left")
+
+
 def add(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return _put(df, out, F.col(a) + F.col(b), _same(df, a, b))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import STANDARD
 from ..scratch import save
 
 
@@ -59,6 +60,18 @@ def taylor(df: DataFrame, variables: list[str], extend: float = 0.0, fold: bool
     return out.withColumn("corr", F.greatest("corr", F.lit(-abs(extend)))) if extend else out
 
 
+def bin_edges(df: DataFrame, variable: str, bins: int = 10, log: bool = False) -> list[float]:
+    """The edges of equal bins from the least to the greatest value, or of bins equal in the logarithm."""
+    a, b = df.agg(F.min(variable).cast("double"), F.max(variable).cast("double")).first()
+    if a is None:
+        return []
+    if log:
+        if a <= 0:
+            raise ValueError("logarithmic bins need positive values")
+        return [a * (b / a) ** (i / bins) for i in range(bins + 1)]
+    return [a + (b - a) * i / bins for i in range(bins + 1)]
+
+
 def histogram(df: DataFrame, variable: str, bins: int = 10, group: tuple = ()) -> DataFrame:
     """bin, bin_lo, bin_hi, n: counts in equal bins from least to greatest value, the last one closed; empty bins are absent."""
     v = df.select(F.col(variable).cast("double").alias("v"), *group).where("v IS NOT NULL AND NOT isnan(v)")
@@ -76,6 +89,15 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return p.crossJoin(ends).groupBy(k("x", "a", "b").alias("x_bin"), k("y", "c", "d").alias("y_bin")).agg(F.count("*").alias("n"))
 
 
+def describe(df: DataFrame, variables: list[str]) -> DataFrame:
+    """info() with each variable's metadata and the coordinates that it has."""
+    meta = {v: df.schema[v].metadata or {} for v in variables}
+    coords = ", ".join(c for c in STANDARD if c in df.columns)
+    rows = [(v, df.schema[v].dataType.simpleString(), *(None if meta[v].get(k) is None else str(meta[v][k]) for k in ("long_name", "units", "missing_value", "history")), coords) for v in variables]
+    known = df.sparkSession.createDataFrame(rows, "variable string, type string, long_name string, units string, missing_value string, history string, coordinates string")
+    return info(df, variables).join(F.broadcast(known), "variable")  # a row a variable
+
+
 def info(df: DataFrame, variables: list[str]) -> DataFrame:
     """variable, total, present, least, greatest of each variable, from one pass."""
     wide = df.agg(F.count("*").alias("total"), *[f(v).alias(f"{k}_{v}") for v in variables for k, f in (("n", F.count), ("a", F.min), ("b", F.max))])

@@ -59,11 +59,15 @@ class Hyperpoints(Product):
 
 
 class Aeronet(Product):
-    """Station files: some lines of text, a header line, then rows with dates as dd:mm:yyyy. One file is a station."""
+    """Station files, and cruises (Maritime Aerosol Network) at sea level: some lines of text, a header line, then rows with dates as
+    dd:mm:yyyy or dd-mm-yyyy. Repeated names are numbered from 0; wavelengths of which only the first column is named are counted in
+    the first row."""
 
     name, signatures, priority = "Aeronet", (r".*\.lev20", r".*\.lev15", r".*\.ONEILL_.*", r".*\.all", r"All_Sites_Times.*dat"), 20
     #: What stands for a missing value.
-    missing = ("N/A", "-999", "-999.0", "-999.000000", "-10000", "-10000.0")
+    missing = ("N/A", "-999", "-999.", "-999.0", "-999.000000", "-10000", "-10000.", "-10000.0")
+    #: Characters that names lose.
+    deleted = r"""~!@#$%^&*=+\|]}[{'; /?.>,<"""
 
     def scan(self, spark, paths):
         out = None
@@ -74,24 +78,30 @@ class Aeronet(Product):
 
     def _file(self, spark, path):
         head = [r.value for r in spark.read.text(path).limit(12).collect()]
-        at = next((i for i, line in enumerate(head) if re.match(r"(AERONET_Site[^,]*,)?Date\(dd[:-]mm[:-]yy", line, re.I)), None)
+        at = next((i for i, line in enumerate(head) if re.match(r"(AERONET_Site[^,]*,)?Date_?\(dd[:-]mm[:-]yy", line, re.I)), None)
         if at is None:
             raise FileFormatError(f"{path}: no line of column names in the first {len(head)}")
         names = [n.strip() for n in head[at].split(",")]
-        names = [n if names.index(n) == i else f"{n}_{i}" for i, n in enumerate(names)]
+        first = head[at + 1].split(",") if at + 1 < len(head) else []
+        if re.match(r"Exact_Wavelengths_for_Input_AOD", names[-1], re.I) and len(first) >= len(names) - 1:
+            names += names[-1:] * (int(float(first[len(names) - 2])) - 1)
+        names = [f"{n}{names[:i].count(n)}" if names.count(n) > 1 else n for i, n in enumerate(names)]
+        names = [n.translate({ord(c): None for c in self.deleted}) for n in names]
         place = {k.lower(): float(v) for k, v in re.findall(r"(long|lat|elev)\w*\s*=\s*([-+.\d]+)", ",".join(head[:at]), re.I)}
-        raw = spark.read.text(path).where(F.col("value").rlike(r"^([^,]*,)?\d{1,2}:\d{1,2}:\d{4},"))
+        if "Maritime Aerosol Network" in head[0]:
+            place["elev"] = 0.0
+        raw = spark.read.text(path).where(F.col("value").rlike(r"^([^,]*,)?\d{1,2}[:-]\d{1,2}[:-]\d{4},"))
         cells = F.split("value", ",")
         get = lambda i: F.trim(F.try_element_at(cells, F.lit(i + 1)))
         value = lambda i: F.when(~get(i).isin(*self.missing), get(i)).try_cast("double")
         find = lambda pattern: next((i for i, n in enumerate(names) if re.match(pattern, n, re.I)), None)
-        day, clock = find(r"Date\(dd"), find(r"Time\(hh")
-        when = F.try_to_timestamp(F.concat_ws(" ", get(day), get(clock)), F.lit("d:M:yyyy HH:mm:ss"))
+        day, clock = find(r"Date_?\(dd"), find(r"Time_?\(hh")
+        when = F.try_to_timestamp(F.translate(F.concat_ws(" ", get(day), get(clock)), "-", ":"), F.lit("d:M:yyyy HH:mm:ss"))
         coords = {}
         for c, key, pattern in (("longitude", "long", r"(Site_)?Longitude"), ("latitude", "lat", r"(Site_)?Latitude"), ("altitude", "elev", r"(Site_)?Elevation")):
             coords[c] = F.lit(place[key]) if key in place else value(find(pattern)) if find(pattern) is not None else F.lit(None).cast("double")
         taken = {day, clock} | {find(p) for p in (r"(Site_)?Longitude", r"(Site_)?Latitude", r"(Site_)?Elevation")} | {i for i, n in enumerate(names) if re.match(r"AERONET_Site|Data_Quality|Last_Processing|Last_Date", n, re.I)}
-        return raw.select(*[v.alias(c) for c, v in coords.items()], std_time(when).alias("time"), *[value(i).alias(re.sub(r"[^\w-]", "_", n)) for i, n in enumerate(names) if n and i not in taken])
+        return raw.select(*[v.alias(c) for c, v in coords.items()], std_time(when).alias("time"), *[value(i).alias(n) for i, n in enumerate(names) if n and i not in taken])
 
 
 class CsvPoints(Product):
@@ -168,8 +178,9 @@ def read_one(spark: SparkSession, paths: str | Iterable[str], name: str, **kw) -
     return df
 
 
-def variables(spark: SparkSession, paths: str | Iterable[str], *, product: str | None = None) -> list[str]:
+def variables(spark: SparkSession, paths: str | Iterable[str], *, product: str | None = None, type: str | None = None) -> list[str]:
+    """Names of the variables, of one Spark type if asked. A column with dimensions of its own (an array, map or struct) is none."""
     found = _paths(paths)
     df = find_product(spark, found[0], product).scan(spark, found)
     coords = coordinates(df)
-    return [c for c in df.columns if c not in coords]
+    return [c for c, t in df.dtypes if c not in coords and not t.startswith(("array", "map", "struct")) and (type is None or t == type)]

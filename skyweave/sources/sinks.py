@@ -41,6 +41,30 @@ def save_grid(df: DataFrame, axes: list[Axis], path: str, *, overwrite: bool = F
     save(df.sparkSession.createDataFrame(rows, "axis string, i int, point double, lo double, hi double"), f"{path}/axes", overwrite=overwrite)
 
 
+def axes_of(spark, path: str) -> list[Axis] | None:
+    """The axes of a grid, or None where there are none: a table of points, or another file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/axes")
+    return read_axes(spark, path) if "*" not in path and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else None
+
+
+def warn_of_space(df: DataFrame, path: str) -> str | None:
+    """A warning if what the table is made from is larger than what the path's file system has left, else None."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    need = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    left = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(hadoop.getParent()).getRemaining()
+    return f"about {human_size(need)} to write, {human_size(left)} left" if need > left else None
+
+
+def human_size(n: float) -> str:
+    for unit in ("bytes", "kB", "MB", "GB", "TB"):
+        if n < 1000:
+            return f"{n:.4g} {unit}"
+        n /= 1000
+    return f"{n:.4g} PB"
+
+
 def read_axes(spark, path: str) -> list[Axis]:
     """The axes that save_grid() wrote: they are small by nature."""
     out: dict[str, list] = {}

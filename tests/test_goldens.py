@@ -337,8 +337,8 @@ def test_decode(spark):
     assert got(decode.fill(decode.no_nan(x), -999.0)) == [N, 1, 5, N] and got(decode.valid_range(decode.no_nan(x), 0, 4)) == [N, 1, N, N]
     assert got(decode.scale_cf(x, 2, 1))[1:3] == [3, 11] and got(decode.scale_modis(x, 2, 1))[1:3] == [0, 8] and got(decode.scale_caliop(x, 2, 1))[1] == 1.5 and got(decode.scale_cloudsat(x, 2, 1))[2] == 2
     assert got(decode.missing_where(x, "=>", 5))[1:3] == [1, N] and decode.parse_range("0.0...1.5") == (0, 1.5)
-    track = spark.createDataFrame([(0, 0.0), (1, 10.0)], "i int, lat double")
-    assert [r.lat for r in decode.densify_track(track, "i", ["lat"]).orderBy("i", "sub").collect()] == [-4, -2, 0, 2, 4, 6, 8, 10, 12, 14]
+    track = spark.createDataFrame([(0, 0.0), (1, 10.0)], "i int, lat double").withColumn("granule", F.lit(1))
+    assert [r.lat for r in decode.densify_track(track, "i", ["lat"], 5, ["granule"]).orderBy("i", "sub").collect()] == [-4, -2, 0, 2, 4, 6, 8, 10, 12, 14]
 
 
 def test_units_names_geo(spark):

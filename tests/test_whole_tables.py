@@ -24,15 +24,15 @@ def test_neighbour_counts_of_every_event(spark):
     near = np.triu(distances(lat, lon) <= 403.3, 1)
     want = {int(i): int(n) for i, n in zip(ids, near.sum(1)) if n}
     assert any(i % 10 for i in want)
-    assert {r.a: r.n for r in cat.QUERIES["neighbour_counts_all"](spark, SF).collect()} == want
+    assert {r.a: r.n for r in cat.QUERIES["neighbour_counts"](spark, SF).collect()} == want
 
 
 def test_every_event_is_a_sample(spark):
-    """Of each query of stations: a row an event. Two of them by brute force."""
+    """Of each query of samples: a row an event. Two of them by brute force."""
     ids, lat, lon = places(spark)
-    names = [n for n in cat.QUERIES if f"{n}_all" in cat.QUERIES and n != "neighbour_counts"]
-    assert len(names) == 16 and {f"{n}_all" for n in names} <= set(cat.SQL)
-    got = {n: {r.sample_id: r for r in cat.QUERIES[f"{n}_all"](spark, SF).collect()} for n in names}
+    names = [n for n in cat.QUERIES if n.startswith(("box_", "nn_", "lin_")) and not n.endswith(("onto_grid", "grid_to_grid"))]
+    assert len(names) == 16
+    got = {n: {r.sample_id: r for r in cat.QUERIES[n](spark, SF).collect()} for n in names}
     assert all(set(rows) == set(ids.tolist()) for rows in got.values())
     v = cat.points(spark, SF).select("event_id", "v_m").toPandas().sort_values("event_id").v_m.to_numpy(float)
     far, there = distances(lat, lon), ~np.isnan(v)
@@ -46,7 +46,7 @@ def test_every_event_is_a_sample(spark):
 def test_nearest_of_each_variable(spark):
     """A variable that is missing near a sample is found farther out; one without any value stays NULL."""
     p = cat.points(spark, SF).selectExpr("event_id", "latitude", "longitude", "v", "CASE WHEN event_id % 250 = 0 THEN w END AS u", "CAST(NULL AS double) AS none")
-    samples = cat.stations(cat.points(spark, SF)).union(cat.every_event(cat.points(spark, SF)).where("sample_id in (1, 77, 333, 901)"))
+    samples = cat.samples(cat.points(spark, SF)).where("sample_id in (1, 77, 333, 500, 901)")
     ids, lat, lon = places(spark)
     far, rows = distances(lat, lon), p.toPandas().sort_values("event_id")
     for r in co.nearest(samples, p, ["v", "u", "none"], row_id="event_id").collect():
@@ -55,3 +55,28 @@ def test_nearest_of_each_variable(spark):
             x = rows[c].to_numpy(float)
             assert r[c] == x[np.where(np.isnan(x), np.inf, d).argmin()]
         assert r.none is None
+
+
+def test_col_peak_as_brute_force(spark):
+    """The greatest value of the not-a-knot spline through each row of cells: as one system for all coefficients of its cubics."""
+    g = cat.grid(spark, SF).toPandas().sort_values("longitude_i")
+    got = {r.latitude_i: r.v for r in cat.QUERIES["col_peak"](spark, SF).collect()}
+    assert len(got) == 18
+    for lat, rows in g.groupby("latitude_i"):
+        y = rows.v.dropna().to_numpy(float)
+        n = len(y)
+        if n < 4:
+            continue
+        a, b, k = np.zeros((4 * (n - 1), 4 * (n - 1))), np.zeros(4 * (n - 1)), 0
+        power = lambda x, d: [np.prod([p - j for j in range(d)]) * x ** (p - d) if p >= d else 0.0 for p in range(4)]
+        for i in range(n - 1):
+            for x, v in ((0.0, y[i]), (1.0, y[i + 1])):
+                a[k, 4 * i : 4 * i + 4], b[k], k = power(x, 0), v, k + 1
+        for i in range(n - 2):
+            for d in (1, 2) + ((3,) if i in (0, n - 3) else ()):
+                a[k, 4 * i : 4 * i + 4] = power(1.0, d)
+                a[k, 4 * i + 4 : 4 * i + 8] = [-x for x in power(0.0, d)]
+                k += 1
+        c = np.linalg.lstsq(a, b, rcond=None)[0].reshape(n - 1, 4)
+        want = max((np.array([u**p for p in range(4)]) @ c[i]) for i in range(n - 1) for u in np.linspace(0, 1, 101))
+        assert abs(got[lat] - want) < 1e-6
