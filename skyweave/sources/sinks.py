@@ -48,13 +48,13 @@ def axes_of(spark, path: str) -> list[Axis] | None:
 
 
 def warn_of_space(df: DataFrame, path: str) -> str | None:
-    """A warning if what the table is made from is larger than what the path's file system has left, else None."""
+    """A warning if what the table is made from is larger than what the path's file system has left; None if not, or if its size is unknown."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     need = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     left = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(hadoop.getParent()).getRemaining()
-    return f"about {human_size(need)} to write, {human_size(left)} left" if need > left else None
+    return f"about {human_size(need)} to write, {human_size(left)} left" if left < need < 1 << 62 else None
 
 
 def human_size(n: float) -> str:
