@@ -134,7 +134,8 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 40
                 seq[own], off[own] = slots[k, 2] + rank[own] - lowest[k], slots[k, 3]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "local", "length")), pa.array(seq), pa.array(off)], names=["part", "local", "length", "sequence_id", "offset"])
 
-    keys = pieces.select("part", "length", "local").join(first.select("part", "length", "before"), ["part", "length"])
+    # first has a row for each part and length, which grows with the corpus: both sides are shuffled, by keys that the next join has too.
+    keys = pieces.select("part", "length", "local").join(first.select("part", "length", "before").hint("merge"), ["part", "length"])
     placed = keys.select("part", "local", "length", (F.col("before") + F.col("local")).alias("rank")).mapInArrow(place, "part int, local bigint, length bigint, sequence_id bigint, offset bigint")
     return pieces.join(placed, ["part", "length", "local"]).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 
