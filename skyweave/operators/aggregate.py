@@ -51,8 +51,10 @@ def aggregate(df: DataFrame, variables: list[str], how: str = "moments", grid: d
     outs = kernels.output_names(how, variables)
     renamed = {o: f"aggregated_{o}" for o in outs if o in df.columns and o in (coords or [])}
     binned = df.withColumn("cell", cell_number(axes, index)).where("cell IS NOT NULL") if axes else df.withColumn("cell", F.lit(0).cast("long"))
-    cols = kernels.data_only(how, variables, user_kernels)
-    agg = binned.groupBy("cell").agg(*cols)
+    if how == "median" and how not in (user_kernels or {}):
+        agg = kernels.medians(binned, ["cell"], variables)
+    else:
+        agg = binned.groupBy("cell").agg(*kernels.data_only(how, variables, user_kernels))
     if dense:
         out = spine(df.sparkSession, axes).join(agg, "cell", "left") if axes else df.sparkSession.range(1).select(F.col("id").alias("cell")).join(agg, "cell", "left")
     else:
@@ -102,4 +104,6 @@ def collapse(df: DataFrame, variables: list[str], dims: list[str], collapsed: li
         else:
             cols += kernels.data_only(how, [v], user_kernels)
     cols += [F.avg(c).alias(c) for c in aux]
+    if how == "median" and keep and not aux and how not in (user_kernels or {}):
+        return kernels.medians(df, keep, variables)
     return df.groupBy(*keep).agg(*cols) if keep else df.agg(*cols)

@@ -184,16 +184,19 @@ def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: st
     """The horizontally nearest present value of each variable for each sample, however far, by rings: samples that lack one within a
     radius try a larger one, until each variable that has any value is found. Each ring's finds are written, so that none is made twice."""
     sample, data = fix_longitudes(sample, data)
-    data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables)).select("latitude", "longitude", *variables, *([row_id] if row_id else []))
+    # Of rows at one place only the first counts, so data from a few stations are a few rows.
+    rid = F.col(row_id) if row_id else F.lit(0)
+    first = [c for v in variables for c in (F.min_by(v, F.when(F.col(v).isNotNull(), rid)).alias(v), F.min(F.when(F.col(v).isNotNull(), rid)).alias(f"_r_{v}"))]
+    data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables)).groupBy("latitude", "longitude").agg(*first)
     side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
     todo, found, *counts = side.select(key, "latitude", "longitude"), None, *data.agg(F.count("*"), *[F.count(v) for v in variables]).first()
     n, present = counts[0], [v for v, k in zip(variables, counts[1:]) if k]
     radius = 2 * EARTH_RADIUS * math.sqrt(4 / max(n, 1))
-    order = lambda: F.struct(haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), F.col(row_id) if row_id else F.lit(0))
+    order = lambda v: F.struct(haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), F.col(f"_r_{v}"))
     while n:
         last = radius >= math.pi * EARTH_RADIUS
         near = pairs(todo, data, h_sep=math.pi * EARTH_RADIUS * 1.01 if last else radius)
-        got = near.groupBy(F.col(f"s_{key}").alias(key)).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), order())).alias(v) for v in variables])
+        got = near.groupBy(F.col(f"s_{key}").alias(key)).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), order(v))).alias(v) for v in variables])
         # A larger radius holds the rows of a smaller one too, so a sample's last round has all its values.
         done, _ = save(got if last else got.dropna(subset=present))
         found = done if found is None else found.unionByName(done)

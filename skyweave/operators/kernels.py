@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ClassNotFoundError
+from ..scratch import save
 
 
 def _moments(v: str) -> list[Column]:
@@ -79,6 +80,26 @@ DATA_ONLY: dict[str, Callable[[str], list[Column]]] = {
     "hmean": lambda v: [_hmean(v)],
     "RMS": lambda v: [F.sqrt(F.avg(F.col(v) * F.col(v))).alias(v)],
 }
+def medians(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+    """The exact median of each variable for each combination of keys, without a group in one task.
+
+    Values are counted; the counts are written in ranges of (keys, value), and running counts within a range are added to the totals of
+    the key's earlier ranges, of which there are as many rows as ranges and keys. The median is where they pass the middle.
+    """
+    out, parts = df.select(*keys).distinct(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for v in variables:
+        n = df.select(*keys, F.col(v).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+        n, _ = save(n.repartitionByRange(parts, *keys, "_v").withColumn("_b", F.spark_partition_id()))
+        totals = n.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
+        own, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"), F.sum("_t").over(own).alias("_all"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+        n = n.join(totals, [*keys, "_b"]).withColumn("_upto", upto)
+        middle = lambda extra: F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + extra) / 2), F.col("_v")))
+        out = out.join(n.groupBy(*keys).agg(((middle(1) + middle(2)) / 2).alias(v)), keys, "left")
+    return out
+
+
 #: Kernels of the nearest point, by what is nearest.
 NEAREST = {"nn_horizontal": "h", "nn_h": "h", "nn_altitude": "a", "nn_a": "a", "nn_pressure": "p", "nn_p": "p", "nn_time": "t", "nn_t": "t"}
 
