@@ -165,7 +165,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_share: float =
     """doc_id, item_id, share, first_word, end_word: whole documents that hold test items, exact or edited.
 
     share is the Smith-Waterman score (match 2, mismatch and gap -1) over the item's best possible; rows have least_share
-    or more. Null and empty texts and items give no row; repeated doc_ids and items give a row each; other columns are ignored.
+    or more. Null and empty texts and items give no row; null or repeated doc_ids and repeated items give a row each; very long texts are
+    searched whole, round their seeds; other columns are ignored.
     """
     schema = "doc_id bigint, item_id bigint, share double, first_word bigint, end_word bigint, item_words bigint"
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

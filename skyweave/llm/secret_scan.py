@@ -25,7 +25,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that a worker remembers at most, some 250 bytes each.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 250_000
 KINDS = ("assign", "access", "hex", "crf")
 
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
@@ -82,11 +82,11 @@ def shape(word: str) -> tuple[str, ...]:
     return tuple(f)
 
 
-def text_features(words: list[str]) -> tuple[str, ...]:
-    """Features of the whole text: its length and how many of its words assign."""
-    n = len(words)
-    signs = sum(w in ("=", ":", ":=") or w.endswith("=") for w in words)
-    return (f"words{min(n.bit_length(), 14)}", f"signs{min(signs, 4)}")
+def text_features(text: str) -> tuple[str, ...]:
+    """Features of the whole file: its length, how often it assigns, its share of code's punctuation, the length of its lines."""
+    n = len(text) + 1
+    code = sum(map(text.count, "{}();<>"))
+    return (f"size{min(n.bit_length() // 2, 9)}", f"signs{min(text.count('=').bit_length(), 4)}", f"code{min(100 * code // n, 4)}", f"lines{min((n // (text.count(chr(10)) + 1)).bit_length() // 2, 5)}")
 
 
 class Field:
@@ -112,8 +112,8 @@ class Field:
             self.by_shape[f] = np.array([sum((self.weights.get(f"{where}:{x}", zero) for x in f), zero) for where in ("own", "prev", "next")])
         return self.by_shape[f]
 
-    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Per text the score of each word and tag, without moves."""
+    def scores(self, texts: list[list[str]], whole: list[str]) -> list[np.ndarray]:
+        """Per text, given as words and as a whole, the score of each word and tag, without moves."""
         if len(self.at) > REMEMBERED_WORDS:
             self.forget()
         new = list(set().union(*texts) - self.at.keys())
@@ -124,18 +124,19 @@ class Field:
             self.rows[i] = self._of_shape(shape(w))
             self.at[w] = i
         out, zero = [], np.zeros(3)
-        for ws in texts:
+        for ws, text in zip(texts, whole):
             r = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))]
             e = r[:, 0].copy()
             e[1:] += r[:-1, 1]
             e[:-1] += r[1:, 2]
-            out.append(e + sum((self.weights.get(f"text:{x}", zero) for x in text_features(ws)), zero))
+            out.append(e + sum((self.weights.get(f"text:{x}", zero) for x in text_features(text)), zero))
         return out
 
-    def tag(self, texts: list[list[str]]) -> list[np.ndarray | None]:
-        """The best path of each text; None: O throughout. Viterbi runs over texts of like length together."""
+    def tag(self, texts: list[list[str]], whole: list[str] | None = None) -> list[np.ndarray | None]:
+        """The best path of each text; None: O throughout. Viterbi runs over texts of like length together. whole: the texts themselves,
+        by default their words with blanks between."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        scores = self.scores(texts)
+        scores = self.scores(texts, whole or [" ".join(ws) for ws in texts])
         todo = sorted((i for i, e in enumerate(scores) if len(e) and (e[:, 0] - e[:, 1:].max(1)).min() <= self.sure), key=lambda i: len(scores[i]))
         for k in range(0, len(todo), 64):
             some = todo[k : k + 64]
@@ -164,7 +165,7 @@ class Field:
         """The base spans and those that the field adds beside them: the secret-like part of each tagged run of words."""
         words = [t.split() for t in texts]
         out = []
-        for text, ws, own, tags in zip(texts, words, base, self.tag(words)):
+        for text, ws, own, tags in zip(texts, words, base, self.tag(words, texts)):
             found = list(own)
             if tags is not None and tags.any():
                 runs, prev = [], 0
@@ -204,17 +205,23 @@ def _chosen(places: np.ndarray, most: int) -> list[int]:
 
 def windows_of(text: str, reach: int, tagged: int, plain: int) -> list[tuple[list[str], list[int], list[str]]]:
     """Words, tags and the whole text's features of windows round at most `tagged` tagged words, `plain` untagged ones with digits and
-    one in the middle."""
+    one in the middle. The first are there twice, the second time without the two words before the secret, so that its shape is
+    learned beside its surroundings."""
     words, tags = label(text)
-    extra = list(text_features(words))
+    extra = list(text_features(text))
     digits = np.array([i for i, w in enumerate(words) if not tags[i] and any(map(str.isdigit, w))], np.int64)
     marks = _chosen(np.flatnonzero(tags), tagged) + _chosen(digits, plain) + [len(words) // 2] * bool(words)
-    return [(words[max(0, k - reach) : k + reach], tags[max(0, k - reach) : k + reach].tolist(), extra) for k in marks]
+    out = [(words[max(0, k - reach) : k + reach], tags[max(0, k - reach) : k + reach].tolist(), extra) for k in marks]
+    for k in marks:
+        if tags[k] == 1:
+            keep = [*range(max(0, k - reach), max(0, k - 2)), *range(k, min(len(words), k + reach))]
+            out.append(([words[i] for i in keep], [int(tags[i]) for i in keep], extra))
+    return out
 
 
 def fit(docs: DataFrame, *, sample_docs: int = 300, reach: int = 25, tagged: int = 20, plain: int = 4, rounds: int = 80) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Train the field on windows round the base patterns' finds, and round other words with digits, in a bounded sample of labelled
-    rows: the sample_docs texts with and as many without a keyword, those of smallest hash, and of each whole text at most tagged + plain
+    rows: the sample_docs texts with and as many without a keyword, those of smallest hash, and of each whole text at most 2 * tagged + plain
     + 1 windows of 2 * reach words, by a hash of their places. Empty table: all O."""
     t = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     low = F.lower("text")

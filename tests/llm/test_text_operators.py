@@ -85,6 +85,17 @@ def _counts(rows):
     return n, sum(n.values())
 
 
+def test_contaminated_long_and_repeated_rows(spark, make):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").first()
+    long = "lorem ipsum dolor " * 20_000 + item.text + " sit amet" * 5_000
+    rows = [(1, long), (2, item.text), (2, item.text), (None, item.text), (3, "lorem ipsum " * 30_000)]
+    bench = spark.createDataFrame([(item.item_id, item.text)], "item_id bigint, text string")
+    got = decontam.contaminated(make(rows), bench).collect()
+    assert Counter(r.doc_id for r in got) == {1: 1, 2: 2, None: 1} and all(r.share == 1 for r in got)
+    assert {r.first_word for r in got if r.doc_id == 1} == {60_000}
+    assert [r.doc_id for r in decontam.clean(make(rows), bench).collect()] == [3]
+
+
 def test_contaminated_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contaminated(make([(1, "a b c")]), none).count() == 0
@@ -151,11 +162,11 @@ def test_base_spans_as_written(text):
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
-    names = [f"own:{x}" for x in ("prose", "mixed", "plain", "len1", "len2", "quoted", "hex")] + ["prev:mixed", "next:prose", "text:words3"]
+    names = [f"own:{x}" for x in ("prose", "mixed", "plain", "len1", "len2", "quoted", "hex")] + ["prev:mixed", "next:prose", "text:size2"]
     for _ in range(20):
         field = secret_scan.Field({n: rng.normal(size=3) for n in names}, rng.normal(size=(3, 3)))
         texts = [["ab", '"x1"', "word", "deadbeef01deadbeef01"][: rng.integers(1, 5)] for _ in range(5)]
-        for words, e, path in zip(texts, field.scores(texts), field.tag(texts)):
+        for words, e, path in zip(texts, field.scores(texts, [" ".join(x) for x in texts]), field.tag(texts)):
             total = lambda p, e=e: sum(e[i, x] for i, x in enumerate(p)) + sum(field.moves[a, b] for a, b in itertools.pairwise(p))
             best = max(map(total, itertools.product(range(3), repeat=len(words))))
             assert math.isclose(total(path if path is not None else [0] * len(words)), best, abs_tol=1e-9)
@@ -170,7 +181,7 @@ def test_passed_over_texts_have_no_better_path():
         n = int(rng.integers(1, 5))
         e = np.zeros((n, 3))
         e[:, 0] = field.sure + rng.choice([1e-6, 1e-6, -0.5], n)
-        field.scores = lambda texts, e=e: [e]
+        field.scores = lambda texts, whole, e=e: [e]
         path = field.tag([["x"] * n])[0]
         total = lambda p, e=e, m=moves: sum(e[i, x] for i, x in enumerate(p)) + sum(m[a, b] for a, b in itertools.pairwise(p))
         best = max(map(total, itertools.product(range(3), repeat=n)))
@@ -205,6 +216,26 @@ def test_scan_and_redact(spark, make, odd):
     assert secret_scan.scan(make([]), model).count() == 0
 
 
+def test_field_adds_secrets_that_the_patterns_miss(spark):
+    """Values under names that no pattern knows, put into texts without any; and what it adds to these texts themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    field, rng = secret_scan.Field(*secret_scan.fit(docs.where("doc_id % 2 = 0"))), np.random.default_rng(2)
+    clean = [r.text for r in docs.where("doc_id % 2 = 1 AND text IS NOT NULL").limit(500).collect() if not secret_scan.base_spans(r.text)]
+    letters = np.array([*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+    forms, found, wrong, texts, places = ("auth = {}", 'private_key = "{}"', "access = {}", "passphrase := {}"), 0, 0, [], []
+    for i, t in enumerate(clean):
+        words, value = t.split()[:300], "".join(rng.choice(letters, rng.integers(20, 40)))
+        k = int(rng.integers(len(words) + 1))
+        texts.append(" ".join([*words[:k], forms[i % 4].format(value), *words[k:]]))
+        places.append((texts[-1].index(value), texts[-1].index(value) + len(value)))
+    for (a, b), spans in zip(places, field.spans(texts, [secret_scan.base_spans(t) for t in texts])):
+        added = [(s, e) for s, kind, e, _ in spans if kind == 3]
+        found += any(s < b and e > a for s, e in added)
+        wrong += sum(not (s < b and e > a) for s, e in added)
+    assert found >= 0.7 * len(texts) and wrong <= 0.02 * len(texts)
+    assert sum(map(bool, field.spans(clean, [[] for _ in clean]))) <= 0.01 * len(clean)
+
+
 def test_op7_digest(spark):
     out = {r.doc_id: r for r in secret_scan.op7_secret_scan(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -287,7 +318,7 @@ def test_language_held_out(spark, make, odd):
     train = make([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "und der hund", None), (4, None, "en")])
     model = langid.fit(train, PIECES)
     got = {(r.doc_id, r.lang_pred) for r in langid.predict(odd, model, PIECES).collect()}
-    assert {(1, "und"), (2, "und"), (3, "und")} <= got and len(got) >= 9
+    assert {(1, "und"), (2, "und"), (3, "und")} <= got and len(got) >= 9 and None in {d for d, _ in got}
     assert langid.predict(odd, langid.fit(make([]), PIECES), PIECES).where("lang_pred <> 'und' OR score <> 0").count() == 0
     kept = langid.predict(odd, model, PIECES, least_score=0.5)
     assert kept.columns == odd.columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
@@ -297,7 +328,7 @@ def test_language_held_out(spark, make, odd):
 # language model
 
 
-def slow_scores(rows, k2=300, k3=10):
+def slow_scores(rows, k2=1000, k3=10):
     docs = [(d, ["\n"] + [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\n"]) for d, t in rows]
     train = [ws for d, ws in docs if ngram_lm.held_out(d) is False]
     c1, c2, c3 = Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in itertools.pairwise(ws)), Counter(p for ws in train for p in zip(ws, ws[1:], ws[2:]))
