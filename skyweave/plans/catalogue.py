@@ -17,7 +17,7 @@ from ..operators import aggregate as ag
 from ..operators import collocate as co
 from ..operators import evaluate as ev
 from ..operators import interpolate as ip
-from ..operators import maths, stats
+from ..operators import maths, plotdata, stats
 from ..operators.grid import Axis, spine
 from ..operators.subset import subset
 
@@ -272,7 +272,7 @@ def box_query(name: str, kernel: str, variable: str, test: str, **separations) -
     test = test.format(**sep)
     if kernel.startswith("nn"):
         far = sep[kernel[3]]
-        body = f"m AS (SELECT s.sample_id, d.{variable}, row_number() OVER (PARTITION BY s.sample_id ORDER BY {far}, d.event_id) AS k FROM samples s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {variable} FROM m WHERE k = 1)"
+        body = f"g AS (SELECT s.sample_id, arg_min(d.{variable}, ROW({far}, d.event_id)) AS {variable} FROM samples s JOIN points d ON d.{variable} IS NOT NULL AND {test} GROUP BY s.sample_id)"
     else:
         cols = KERNEL_SQL[kernel].format(v=variable)
         body = f"m AS (SELECT s.sample_id, d.{variable} FROM samples s JOIN points d ON d.{variable} IS NOT NULL AND {test}), g AS (SELECT sample_id, {cols} FROM m GROUP BY sample_id)"
@@ -297,7 +297,7 @@ box_query("nn_p", "nn_p", "v", "{h} <= 1003.3", h_sep=1003.3)
 box_query("nn_t", "nn_t", "v_m", "{h} <= 1003.3", h_sep=1003.3)
 
 
-@query(f"{SAMPLES}, m AS (SELECT s.sample_id, d.v_m AS v, row_number() OVER (PARTITION BY s.sample_id ORDER BY {HAVERSINE}, d.event_id) AS k FROM samples s CROSS JOIN points d WHERE d.v_m IS NOT NULL) SELECT sample_id, round(v, 8) AS v FROM m WHERE k = 1")
+@query(f"{SAMPLES} SELECT sample_id, round(arg_min(d.v_m, ROW({HAVERSINE}, d.event_id)), 8) AS v FROM samples s CROSS JOIN points d WHERE d.v_m IS NOT NULL GROUP BY sample_id")
 def nn_horizontal_only(spark, d):
     p = points(spark, d)
     return co.nearest(samples(p), p.select("event_id", *COORDS, F.col("v_m").alias("v")), ["v"], row_id="event_id").select("sample_id", "v")
@@ -315,6 +315,34 @@ def neighbour_counts(spark, d):
     return co.neighbour_pairs(points(spark, d), 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
 
 
+def along_query(name: str, kernel: str, column: str, far: str) -> None:
+    """The nearest in one coordinate, without a separation; SQL looks at one row for each of the data's values."""
+
+    def run(spark, d):
+        p = points(spark, d)
+        return co.box(samples(p), p.select("event_id", *COORDS, "v_m"), ["v_m"], kernel, row_id="event_id").select("sample_id", "v_m")
+
+    run.__name__ = name
+    query(f"{SAMPLES}, d AS (SELECT {column}, min(event_id) AS e, arg_min(v_m, event_id) AS v FROM points WHERE v_m IS NOT NULL GROUP BY {column}), q AS (SELECT s.{column} AS x, arg_min(d.v, ROW({far}, d.e)) AS v FROM (SELECT DISTINCT {column} FROM samples) s CROSS JOIN d GROUP BY s.{column}) SELECT sample_id, round(v, 8) AS v_m FROM samples JOIN q ON q.x = samples.{column}")(run)
+
+
+along_query("nn_a_any", "nn_a", "altitude", "abs(d.altitude - s.altitude)")
+along_query("nn_p_any", "nn_p", "air_pressure", "greatest(d.air_pressure / s.air_pressure, s.air_pressure / d.air_pressure)")
+along_query("nn_t_any", "nn_t", "time", "abs(d.time - s.time)")
+
+
+@query(f"{SAMPLES}, m AS (SELECT s.sample_id, d.event_id AS row_id, {HAVERSINE} AS distance FROM samples s JOIN points d ON {HAVERSINE} <= 403.3) SELECT sample_id, row_id, round(distance, 8) AS distance FROM m")
+def distance_matrix(spark, d):
+    p = points(spark, d)
+    return co.within(samples(p), p.withColumnRenamed("event_id", "row_id"), 403.3)
+
+
+@query(f"{SAMPLES}, m AS (SELECT s.sample_id, d.event_id AS row_id, {HAVERSINE} AS distance FROM samples s JOIN points d ON {HAVERSINE} <= 703.3), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY distance, row_id)::INTEGER AS rank FROM m) SELECT sample_id, rank, row_id, round(distance, 8) AS distance FROM k WHERE rank <= 3")
+def nearest_three(spark, d):
+    p = points(spark, d)
+    return co.nearest_k(samples(p), p.withColumnRenamed("event_id", "row_id"), 3, h_sep=703.3)
+
+
 UNEVEN = [(-80.0, -35.0), (-35.0, -5.0), (-5.0, 10.0), (20.0, 65.0)]
 
 
@@ -477,6 +505,32 @@ def taylor(spark, d):
     return stats.taylor(points(spark, d), ["v", "w", "v_m"])
 
 
+@query(f"{GRID} SELECT x AS x_i, y AS y_i, round(-170.0::DOUBLE + 20 * x, 8) AS x, round(-85.0::DOUBLE + 10 * y, 8) AS y, round(v, 8) AS v FROM (SELECT y, x, v FROM grid UNION ALL SELECT y, 18 AS x, v FROM grid WHERE x = 0)")
+def plot_mesh(spark, d):
+    return plotdata.mesh(grid(spark, d), "v", [GRID_AXES[1], GRID_AXES[0]]).select("x_i", "y_i", "x", "y", "v")
+
+
+@query("SELECT k::INTEGER AS level, round(a + (b - a) * k / 6, 8) AS v FROM (SELECT min(v) AS a, max(v) AS b FROM points), generate_series(0, 6) AS g(k)")
+def plot_levels(spark, d):
+    return plotdata.contour_levels(points(spark, d), "v")
+
+
+@query("SELECT round(time - 135140, 6) AS time_1970, round(v_m, 8) AS v FROM points WHERE v_m IS NOT NULL")
+def plot_scatter(spark, d):
+    return plotdata.points(points(spark, d), "v_m").select(F.col("x").alias("time_1970"), "v")
+
+
+@query("p AS (SELECT altitude AS x, v_m AS y FROM points WHERE v_m IS NOT NULL) SELECT round(least(min(x), min(y)), 8) AS x, round(least(min(x), min(y)), 8) AS y FROM p UNION ALL SELECT round(greatest(max(x), max(y)), 8), round(greatest(max(x), max(y)), 8) FROM p")
+def plot_diagonal(spark, d):
+    return plotdata.comparative_scatter(points(spark, d), "altitude", "v_m")[1]
+
+
+@query("SELECT event_id, v_m IS NOT DISTINCT FROM (CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN v END) AS same FROM points")
+def equal_missing(spark, d):
+    other = F.when((F.col("event_id") % 7 != 0) & (F.col("event_id") % 11 != 0), F.col("v"))
+    return points(spark, d).select("event_id", decode.equal_including_missing(F.col("v_m"), other).alias("same"))
+
+
 @query("SELECT event_id, round(greatest(500 / air_pressure, air_pressure / 500), 8) AS ratio, round(-latitude, 8) AS lat, round((longitude + 180) + 180 - 360 * floor(((longitude + 180) + 180) / 360) - 180, 8) AS lon FROM points")
 def point_separations(spark, d):
     lat, lon = geo.antipode(F.col("latitude"), F.col("longitude"))

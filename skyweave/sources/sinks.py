@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,12 @@ def save_grid(df: DataFrame, axes: list[Axis], path: str, *, overwrite: bool = F
 
 def axes_of(spark, path: str) -> list[Axis] | None:
     """The axes of a grid, or None where there are none: a table of points, or another file."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/axes")
-    return read_axes(spark, path) if "*" not in path and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else None
+    try:
+        return None if "*" in path else read_axes(spark, path)
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def warn_of_space(df: DataFrame, path: str) -> str | None:
