@@ -239,6 +239,16 @@ def run(command: str, a: argparse.Namespace, spark: SparkSession) -> int:
         else:
             save(out.df.drop("sample_id", *names), output, overwrite=a.overwrite)
         return 0
+    files = parse_group(a.data)[2] if command in ("subset", "collapse") else []
+    if len(files) == 1 and axes_of(spark, files[0]):
+        data, options = _dataset(spark, a.data), parse_group(a.data)[3]
+        if command == "subset":
+            out = data.subset(**parse_limits(a.limits))
+            require_rows(out.df)
+        else:
+            out = data.collapsed(*[find_coordinate(data.df, d) for d in a.dims.split(",")], how=options.get("kernel", "moments"))
+        out.save_data(output, overwrite=a.overwrite)
+        return 0
     if command != "eval":
         df, names, options = _load(spark, a.data)
     if command == "subset":

@@ -216,6 +216,12 @@ def test_command_line_more(spark, tmp_path, capsys):
     assert go("col", f"rain:{tmp_path}/p.csv", f"{tmp_path}/g:bin,kernel=max", "-o", f"{tmp_path}/bin") == 0
     assert sorted(r.rain for r in spark.read.parquet(f"{tmp_path}/bin/cells").collect()) == [3, 6, 9, 12, 15]
     assert go("col", f"v:{tmp_path}/g", f"{tmp_path}/p.csv:lin,kernel=max", "-o", f"{tmp_path}/no") == 1
+    both = ag.aggregate(pts_5x3(spark), ["v"], "mean", {"y": (-12.5, 12.5, 5), "x": (-7.5, 7.5, 5)})
+    sinks.save_grid(both, [Axis.regular("latitude", -12.5, 12.5, 5), Axis.regular("longitude", -7.5, 7.5, 5)], f"{tmp_path}/yx")
+    assert go("collapse", f"v:{tmp_path}/yx:kernel=max", "x", "-o", f"{tmp_path}/col") == 0
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/col/cells").collect()) == [3, 6, 9, 12, 15]
+    assert go("subset", f"v:{tmp_path}/yx", "y=[-1,1]", "-o", f"{tmp_path}/sub") == 0 and go("plot", f"v:{tmp_path}/yx", "--type", "heatmap", "-o", f"{tmp_path}/hm") == 0
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/sub/cells").collect()) == [7, 8, 9] and spark.read.parquet(f"{tmp_path}/hm/mesh").count() == 15
     assert go("eval", f"rain:{tmp_path}/p.csv", f"wind:{tmp_path}/q.csv", "wind - rain", "mm", "-o", f"d:{tmp_path}/ev") == 0
     assert sorted(r.d for r in spark.read.parquet(f"{tmp_path}/ev").collect()) == list(range(1, 16))
     assert go("plot", f"rain:{tmp_path}/p.csv", f"wind:{tmp_path}/q.csv", "--type", "comparativescatter", "-o", f"{tmp_path}/fig") == 0
