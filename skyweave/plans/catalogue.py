@@ -72,9 +72,9 @@ def r(*names: str, table: str = "") -> str:
 # scans and decoding
 
 
-@query(f"SELECT event_id, {r(*COORDS, 'v', 'w', 'v_m')} FROM points")
+@query(f"SELECT event_id, {r(*COORDS, 'v', 'w', 'v_m', 'v_0')} FROM points")
 def scan_points(spark, d):
-    return decode.ingest(points(spark, d), COORDS, ["v", "w", "v_m"])
+    return decode.ingest(points(spark, d), COORDS, ["v", "w", "v_m", "v_0"])
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <> 13 AND l_quantity BETWEEN 2 AND 49 THEN l_quantity * 0.5 + 3 END, 8) AS cf, round(CASE WHEN l_quantity <> 13 THEN (l_quantity - 3) * 0.5 END, 8) AS modis, round(CASE WHEN l_quantity > 5 THEN (l_quantity - 3) / 4 END, 8) AS cloudsat, round(l_quantity / 4 + 3, 8) AS caliop FROM lineitem")
