@@ -95,6 +95,17 @@ class Additive:
         return out
 
 
+def _best(near: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n greatest of each row, the first of equal ones."""
+    if near.shape[1] <= n:
+        return np.broadcast_to(np.arange(near.shape[1]), near.shape)
+    least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
+    above, equal = near > least, near == least
+    # As many of those at the limit, from the left, as the ones above it leave room for.
+    keep = above | equal & (np.cumsum(equal, axis=1) <= n - above.sum(1, keepdims=True))
+    return np.nonzero(keep)[1].reshape(len(near), n)
+
+
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id and vector (array of double) of the rows that take part: not null, not empty, no null or non-finite component, not zero."""
     v = F.col(column).cast("array<double>")
@@ -138,11 +149,11 @@ def build(vectors: DataFrame, *, books: int = 8, words: int = 128, sample_rows:
     return save(rows.mapInArrow(encode, "vec_id bigint, vector array<double>, codes binary, norm double"))[0], codebooks
 
 
-def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: int = 5, rerank: int = 64, block: int = 8192) -> DataFrame:
+def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: int = 5, rerank: int = 512, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller vec_id, its own vec_id left out.
 
-    queries: vec_id, vector. They are taken in blocks of about `block`, each broadcast, met by every part of the index, written and
-    released before the next; a part ranks exactly the `rerank` best by look-up of each chunk of its rows and passes on k a query.
+    queries: vec_id, vector. They are taken in blocks of about `block` (by default 16 MB), each broadcast, met by every part of the index,
+    written and released before the next; a part ranks exactly the `rerank` best by look-up of each chunk of its rows and passes on k a query.
     Repeated vec_ids are candidates each.
     """
     spark, path, books = index.sparkSession, workdir(index.sparkSession), index.sparkSession.sparkContext.broadcast(codebooks)
@@ -150,6 +161,7 @@ def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: in
     if not codebooks.size:
         return spark.createDataFrame([], result)
     ids = queries.select("vec_id", "vector")
+    block = block or max(1, (16 << 20) // (8 * codebooks.shape[2]))
     blocks = max(1, -(-ids.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for i in range(blocks):
@@ -169,12 +181,11 @@ def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, *, k: in
                     codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(part), -1)
                     norm = part.column("norm").to_numpy()
                     new_id, new = [], []
-                    for j in range(0, len(qid), 512):
-                        some = slice(j, j + 512)
+                    for j in range(0, len(qid), 128):
+                        some = slice(j, j + 128)
                         near = model.products(q[some], codes) / np.maximum(norm, 1e-9).astype(np.float32)
                         near[qid[some, None] == vid] = -np.inf
-                        # Equal products stand in order of vec_id.
-                        top = np.argsort(-near, axis=1, kind="stable")[:, :rerank]
+                        top = _best(near, rerank)
                         exact = (q[some, None, :] * v[top]).sum(2)
                         exact[qid[some, None] == vid[top]] = -np.inf
                         order = np.lexsort((vid[top], -exact), axis=1)[:, :k]

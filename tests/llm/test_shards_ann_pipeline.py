@@ -98,6 +98,15 @@ def test_search_odd_vectors(spark):
     assert ann.search(index, books, index.select("vec_id", "vector")).count() == 0
 
 
+def test_best_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 7, 20):
+        near = rng.integers(0, 4, (30, 12)).astype(np.float32)
+        near[0] = -np.inf
+        want = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :n], axis=1)
+        assert np.array_equal(ann._best(near, n), want)
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
