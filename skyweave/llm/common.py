@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..scratch import save, workdir
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that save() wrote, through Hadoop's file system, so that any store works."""
+    """Remove a table that save() wrote, through Hadoop's file system, so that any store works. Without a JVM at hand (Spark Connect) it
+    is left to whoever empties the folder."""
+    if getattr(spark, "_jvm", None) is None:
+        return
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -52,9 +55,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage: soon
+    after this, or, without a JVM at hand (Spark Connect), at its next collection."""
     gc.collect()
-    spark._jvm.System.gc()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()
 
 
 def smallest_hashes(df: DataFrame, n: int, salt: str, key: str = "doc_id", total: int | None = None) -> DataFrame:
