@@ -31,7 +31,7 @@ BLOCK = "block bigint, doc_ids binary, has_id binary, sizes binary, vocab binary
 SENT = "kind int, bucket bigint, sender bigint, keys binary, ties binary, counts binary, senders binary, extra binary"
 ANSWERED = "kind int, bucket bigint, sender bigint, answer binary"
 #: The most ranges that one sender's records are cut into.
-FANOUT = 256
+FANOUT = 512
 
 
 def squeeze(a) -> bytes:

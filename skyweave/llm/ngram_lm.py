@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, save, table
-from .exchange import SENT, Block, Ranges, Records, answered, block_table, each, hashes, received, spread, squeeze, with_answers
+from .exchange import FANOUT, SENT, Block, Ranges, Records, answered, block_table, each, hashes, received, spread, squeeze, with_answers
 from .repeats import mix
 from .trie import Trie
 
@@ -34,11 +34,11 @@ def held_out(doc_id: int | None) -> bool | None:
 
 
 def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and where each value stands among them; only the distinct ones are sorted."""
+    """Sorted distinct values, and where each value stands among them, in 32 bits; only the distinct ones are sorted."""
     codes, values = pd.factorize(a)
     order = np.argsort(values)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return values[order], place[codes]
 
 
@@ -46,10 +46,10 @@ class Grams:
     """The distinct n-grams of a block: (parent, word) sorted, the place of each token's, a hash of each, and the order of the hashes."""
 
     def __init__(self, parent: np.ndarray, parent_hash: np.ndarray, word: np.ndarray, word_hash: np.ndarray):
-        found, self.of = _distinct(parent * len(word_hash) + word)
-        self.parent, self.word = np.divmod(found, len(word_hash))
+        found, self.of = _distinct(parent.astype(np.int64) * len(word_hash) + word)
+        self.parent, self.word = (found // len(word_hash)).astype(np.int32), (found % len(word_hash)).astype(np.int32)
         self.hash = mix(parent_hash[self.parent] * np.uint64(0x9E3779B97F4A7C15) + mix(word_hash[self.word]))
-        self.order = np.argsort(self.hash)
+        self.order = np.argsort(self.hash).astype(np.int32)
 
     def records(self, counts: np.ndarray, some: np.ndarray | None = None) -> Records:
         order = self.order if some is None else self.order[some[self.order]]
@@ -89,7 +89,7 @@ class Tokens:
         """The trigrams that other blocks may hold too: both their bigrams are in others. Counts of the rest are those here."""
         elsewhere = self.pairs.received(pairs) & np.uint64(1) == 1
         at = np.flatnonzero(self.later)
-        second = np.zeros(len(self.triples.hash), np.int64)
+        second = np.zeros(len(self.triples.hash), np.int32)
         second[self.triples.of] = self.pairs.of[at]
         return elsewhere[self.triples.parent] & elsewhere[second]
 
@@ -100,7 +100,7 @@ def _solve(kind: int, r: Records) -> tuple[np.ndarray, bytes | None]:
     return 2 * r.counts + (r.senders > 1), summary
 
 
-def score(docs: DataFrame, *, prior: tuple[float, float] = (300.0, 10.0), block_bytes: int = 16 << 20, fanout: int = 256) -> DataFrame:
+def score(docs: DataFrame, *, prior: tuple[float, float] = (1000.0, 10.0), block_bytes: int = 8 << 20, fanout: int = FANOUT) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), over whole texts.
 
     prior: k2 and k3. Null and empty texts: the end alone. Repeated doc_ids: each row is scored, and counted. Null doc_id: scored, not
@@ -144,20 +144,21 @@ def score(docs: DataFrame, *, prior: tuple[float, float] = (300.0, 10.0), block_
         c3 = np.where(some, count(t.triples.received(received(row, TRIPLE, "<u8"), some)), t.counts(TRIPLE))
         p1 = (c1 + 1) / (total + distinct + 1)
         p2 = (c2 + k2 * p1[t.pairs.word]) / (c1[t.pairs.parent] + k2)
-        second = np.zeros(len(c3), np.int64)
+        second = np.zeros(len(c3), np.int32)
         at = np.flatnonzero(t.later)
         second[t.triples.of] = t.pairs.of[at]
         p3 = (c3 + k3 * p2[second]) / (c2[t.triples.parent] + k3)
         # Only n-grams that were learned are in the trie; others back off.
         two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
         place = np.cumsum(c2 > 0) - 1
-        trie = Trie(np.log10(p1), np.log10(k2 / (c1 + k2)), (t.pairs.parent[two], t.pairs.word[two], np.log10(p2[two]), np.log10(k3 / (c2[two] + k3))), (place[t.triples.parent[three]], t.triples.word[three], np.log10(p3[three]), np.zeros(0)))
-        cut = lambda n: (slice(k, k + 500_000) for k in range(0, n, 500_000))
-        by_triple = np.concatenate([np.zeros(0), *(trie.log10(t.pairs.parent[t.triples.parent[k]], t.pairs.word[t.triples.parent[k]], t.triples.word[k]) for k in cut(len(c3)))])
+        trie = Trie(np.log10(p1), np.log10(k2 / (c1 + k2)), (t.pairs.parent[two], t.pairs.word[two].astype(np.int64), np.log10(p2[two]), np.log10(k3 / (c2[two] + k3))), (place[t.triples.parent[three]], t.triples.word[three].astype(np.int64), np.log10(p3[three]), np.zeros(0)))
+        cut = lambda n: (slice(k, k + 500_000) for k in range(0, n, 250_000))
+        words = lambda *x: (a.astype(np.int64) for a in x)
+        by_triple = np.concatenate([np.zeros(0), *(trie.log10(*words(t.pairs.parent[t.triples.parent[k]], t.pairs.word[t.triples.parent[k]], t.triples.word[k])) for k in cut(len(c3)))])
         found = np.empty(len(t.word))
         found[at] = by_triple[t.triples.of]
         opening = t.pairs.of[t.starts]
-        found[t.starts] = trie.log10(t.pairs.parent[opening], t.pairs.word[opening])
+        found[t.starts] = trie.log10(*words(t.pairs.parent[opening], t.pairs.word[opening]))
         over, n = lambda x: np.add.reduceat(x, t.starts), len(t.ids)
         yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(t.held, pa.bool_()), pa.array(t.sizes), pa.array(over((c1 > 0)[t.word].astype(np.int64))), pa.array([total] * n, pa.int64()), pa.array(over(np.log10(p1)[t.word])), pa.array(over(found))], names=[x.split()[0] for x in schema.split(", ")])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import release, save, table
-from .exchange import SENT, Block, Ranges, Records, answered, block_table, each, received, with_answers
+from .exchange import FANOUT, SENT, Block, Ranges, Records, answered, block_table, each, received, with_answers
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -85,7 +85,7 @@ def extensions(groups: np.ndarray, after: np.ndarray, before: np.ndarray, counts
     return out
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = 50, k: int = 25, block_bytes: int = 16 << 20, hot: int = 20_000, fanout: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, min_words: int = 50, k: int = 25, block_bytes: int = 16 << 20, hot: int = 20_000, fanout: int = FANOUT) -> DataFrame:
     """doc_id, start_word, end_word, n_words, copies: the parts of whole texts covered by stretches of min_words words that occur
     more than once, in other documents or in the same; copies is the greatest number of occurrences of a stretch in the span.
 
