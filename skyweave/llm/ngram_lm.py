@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import release, save, table
 from .exchange import FANOUT, SENT, Block, Ranges, Records, answered, block_table, each, hashes, received, spread, squeeze, with_answers
 from .repeats import mix
-from .trie import Trie
+from .trie import Trie, restore
 
 #: Stands for the end of a document; no word has white space.
 END = b"\n"
@@ -100,6 +100,11 @@ def _solve(kind: int, r: Records) -> tuple[np.ndarray, bytes | None]:
     return 2 * r.counts + (r.senders > 1), summary
 
 
+def _in_parts(fn, n: int, size: int = 250_000) -> list[np.ndarray]:
+    """fn's arrays over slices of 0 .. n, joined."""
+    return [np.concatenate(x) for x in zip(*(fn(slice(k, k + size)) for k in range(0, max(n, 1), size)))]
+
+
 def score(docs: DataFrame, *, prior: tuple[float, float] = (1000.0, 10.0), block_bytes: int = 8 << 20, fanout: int = FANOUT) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), over whole texts.
 
@@ -152,13 +157,11 @@ def score(docs: DataFrame, *, prior: tuple[float, float] = (1000.0, 10.0), block
         two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
         place = np.cumsum(c2 > 0) - 1
         trie = Trie(np.log10(p1), np.log10(k2 / (c1 + k2)), (t.pairs.parent[two], t.pairs.word[two].astype(np.int64), np.log10(p2[two]), np.log10(k3 / (c2[two] + k3))), (place[t.triples.parent[three]], t.triples.word[three].astype(np.int64), np.log10(p3[three]), np.zeros(0)))
-        cut = lambda n: (slice(k, k + 500_000) for k in range(0, n, 250_000))
-        words = lambda *x: (a.astype(np.int64) for a in x)
-        by_triple = np.concatenate([np.zeros(0), *(trie.log10(*words(t.pairs.parent[t.triples.parent[k]], t.pairs.word[t.triples.parent[k]], t.triples.word[k])) for k in cut(len(c3)))])
+        by_pair, found_pair = _in_parts(lambda k: trie.log10(0, t.pairs.parent[k].astype(np.int64), t.pairs.word[k].astype(np.int64), restore(trie.unigram[t.pairs.word[k]])), len(c2))
+        by_triple, _ = _in_parts(lambda k: trie.log10(1, found_pair[t.triples.parent[k]], t.triples.word[k].astype(np.int64), by_pair[second[k]]), len(c3))
         found = np.empty(len(t.word))
         found[at] = by_triple[t.triples.of]
-        opening = t.pairs.of[t.starts]
-        found[t.starts] = trie.log10(*words(t.pairs.parent[opening], t.pairs.word[opening]))
+        found[t.starts] = by_pair[t.pairs.of[t.starts]]
         over, n = lambda x: np.add.reduceat(x, t.starts), len(t.ids)
         yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(t.held, pa.bool_()), pa.array(t.sizes), pa.array(over((c1 > 0)[t.word].astype(np.int64))), pa.array([total] * n, pa.int64()), pa.array(over(np.log10(p1)[t.word])), pa.array(over(found))], names=[x.split()[0] for x in schema.split(", ")])
 

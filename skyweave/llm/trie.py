@@ -72,21 +72,23 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(self.ones_before, i, 0) - i) << self.low_bits) | self.low[i]
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The index of the first value that is x or more; n where there is none."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first value that is x or more, n where there is none; and whether that value is x."""
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = np.minimum(x >> self.low_bits, self.highs)
         # Elements before the high-th zero have a lower high part; up to the next zero it is equal, and the low bits decide by bisection.
         lo = np.where(high > 0, self._select(self.zeros_before, np.maximum(high - 1, 0), 255) - high + 1, 0)
         hi = np.minimum(self._select(self.zeros_before, high, 255) - high, self.n)
-        lo, low = np.minimum(lo, self.n), x & ((1 << self.low_bits) - 1)
+        lo, low, end = np.minimum(lo, self.n), x & ((1 << self.low_bits) - 1), hi.copy()
         while (todo := np.flatnonzero(lo < hi)).size:
             mid = (lo[todo] + hi[todo]) // 2
             less = self.low[mid] < low[todo]
             lo[todo[less]] = mid[less] + 1
             hi[todo[~less]] = mid[~less]
-        return lo
+        same = lo < end
+        same[same] = self.low[lo[same]] == low[same]
+        return lo, same
 
 
 class Level:
@@ -109,14 +111,17 @@ class Level:
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each entry, -1 where there is none: by successor search within the parent's range."""
         out = np.full(len(parent), -1)
-        own, at = np.unique(parent, return_inverse=True)
+        if not len(parent):
+            return out
+        # Each parent's range is read once; sorted queries have equal parents together.
+        new = np.concatenate([[True], parent[1:] != parent[:-1]])
+        own, at = parent[new], np.cumsum(new) - 1
         lo, hi, base = (x[at] for x in (self.pointers.get(own), self.pointers.get(own + 1), self.bases.get(own)))
         some = np.flatnonzero(lo < hi)
-        at = self.successors.successor(base[some] + word[some])
-        near = (at >= lo[some]) & (at < hi[some])
-        some, at = some[near], at[near]
-        hit = self.successors.get(at) == base[some] + word[some]
-        out[some[hit]] = at[hit]
+        at, same = self.successors.successor(base[some] + word[some])
+        # A word past the parent's last successor would be another parent's.
+        same &= at < hi[some]
+        out[some[same]] = at[same]
         return out
 
 
@@ -131,22 +136,18 @@ class Trie:
             self.levels.append(Level(parents, *level, store))
             parents = len(level[0])
 
-    def place(self, *ngram: np.ndarray) -> np.ndarray:
-        """Where the n-grams stand in the level of their order; -1: nowhere."""
-        if len(ngram) == 1:
-            return ngram[0]
-        at = self.place(*ngram[:-1])
-        some = at >= 0
-        at[some] = self.levels[len(ngram) - 2].find(at[some], ngram[-1][some])
-        return at
-
-    def log10(self, *ngram: np.ndarray) -> np.ndarray:
-        """log10 P(last word | words before it): by successor search, else the context's back-off weight times the same without its first word."""
-        if len(ngram) == 1:
-            return restore(self.unigram[ngram[0]])
-        out, context = self.log10(*ngram[1:]), self.place(*(x.copy() for x in ngram[:-1]))
-        some = np.flatnonzero(context >= 0)
-        level, above = self.levels[len(ngram) - 2], self.levels[len(ngram) - 3].backoff if len(ngram) > 2 else self.backoff
-        at = level.find(context[some], ngram[-1][some])
-        out[some] = np.where(at >= 0, restore(level.p[np.maximum(at, 0)]) if len(level.p) else 0.0, out[some] + restore(above[context[some]]))
-        return out
+    def log10(self, level: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For n-grams of level + 2 words: log10 P(last word | words before it), by successor search in the context's range, else the
+        context's back-off weight times `lower`; and the places found, -1 where there is none.
+
+        context: the place of the words before in the level above (of words: their numbers), -1 if nowhere, which weighs nothing;
+        lower: log10 P of the last word after one word less, as the level above gives it.
+        """
+        known = np.flatnonzero(context >= 0)
+        own, above = self.levels[level], self.levels[level - 1].backoff if level else self.backoff
+        place, out = np.full(len(context), -1), lower.copy()
+        place[known] = at = own.find(context[known], word[known])
+        out[known] += restore(above[context[known]])
+        hit = at >= 0
+        out[known[hit]] = restore(own.p[at[hit]])
+        return out, place

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skyweave.llm import decontam, langid, ngram_lm, repeats, secret_scan
-from skyweave.llm.trie import EliasFano, Mapped, Trie
+from skyweave.llm.trie import EliasFano, Mapped, Trie, restore
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -361,7 +361,8 @@ def test_elias_fano(values, asked):
     v = np.array(sorted(set(values)), np.int64)
     ef = EliasFano(v, 5001, Mapped())
     assert ef.get(np.arange(len(v))).tolist() == v.tolist()
-    assert ef.successor(np.array(asked)).tolist() == np.searchsorted(v, asked).tolist()
+    at, same = ef.successor(np.array(asked))
+    assert at.tolist() == np.searchsorted(v, asked).tolist() and same.tolist() == np.isin(asked, v).tolist()
 
 
 def test_trie_answers():
@@ -374,15 +375,20 @@ def test_trie_answers():
     three = {(*pairs[i].tolist(), w): p for (i, w), p in zip(triples.tolist(), p3)}
 
     def slow(*g):
+        g = tuple(map(int, g))
         if len(g) == 1:
             return u[g[0]]
         if len(g) == 2:
             return p2[two[g]] if g in two else b1[g[0]] + slow(g[1])
         return three[g] if g in three else (b2[two[g[:2]]] if g[:2] in two else 0) + slow(*g[1:])
 
-    for n in (1, 2, 3):
-        grams = np.array([*itertools.product(range(12), repeat=n)])
-        assert np.abs(t.log10(*grams.T) - [slow(*g) for g in grams.tolist()]).max() <= 1.5 / 4096
+    w = np.arange(12)
+    a, b = (x.ravel() for x in np.meshgrid(w, w, indexing="ij"))
+    two_p, place = t.log10(0, a, b, restore(t.unigram[b]))
+    assert np.abs(two_p - [slow(*g) for g in zip(a.tolist(), b.tolist())]).max() <= 1.5 / 4096
+    i, c = (x.ravel() for x in np.meshgrid(np.arange(144), w, indexing="ij"))
+    three_p, _ = t.log10(1, place[i], c, two_p[12 * b[i] + c])
+    assert np.abs(three_p - [slow(a[j], b[j], k) for j, k in zip(i.tolist(), c.tolist())]).max() <= 1.5 / 4096
 
 
 @pytest.mark.parametrize("words", [0, 10, 49])
