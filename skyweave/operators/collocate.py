@@ -19,7 +19,7 @@ from ..errors import InvalidCommandLineOptionError
 from ..functions.geo import EARTH_RADIUS, haversine, pressure_ratio, wrap_longitude, wrap_start
 from ..functions.names import STANDARD
 from ..scratch import save
-from . import kernels
+from . import kernels, tree
 from .grid import Axis, cell_number, spine
 
 
@@ -166,6 +166,8 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
     s = side.select(key, *use)
     if h_sep is a_sep is p_sep is t_sep is None:
         found = s.select(key).crossJoin(F.broadcast(data.agg(*kernels.data_only(kernel, variables, user_kernels))))  # one row
+    elif where is None and own is None and (p_sep is None or p_sep > 1) and (kernel in kernels.FROM_SUMS or kernel in kernels.NEAREST):
+        found = _by_tree(s, data, variables, kernel, key, row_id, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
     else:
         near = pairs(s, data.select(*use, *variables, *([row_id] if row_id else [])), h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict, where=where, salts=salts)
         if kernel in kernels.NEAREST:
@@ -180,34 +182,32 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
     return out.fillna(fill_value, outs) if fill_value is not None else out
 
 
+def _by_tree(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str, key: str, row_id: str | None, limits: tree.Limits) -> DataFrame:
+    """(key, the kernel's columns) of the samples that have data within the limits, by trees of both."""
+    if kernel in kernels.NEAREST:
+        found = None
+        for v in variables:
+            near, _ = tree.nearest_in(sample, data, v, key, row_id, kernels.NEAREST[kernel], limits)
+            own = near.groupBy(key).agg(F.min_by(v, F.struct("_far", "_rid")).alias(v))  # a row for each 64 leaves that a sample met
+            found = own if found is None else found.join(own, key, "full")
+        return found
+    sums = tree.box_sums(sample, data, variables, key, limits, centred=kernel not in ("sum", "RMS"), extremes=kernel in ("min", "max"))
+    return sums.rows.groupBy(key).agg(*tree.merged(variables)).select(key, *[c for v in variables for c in kernels.from_sums(kernel, v, sums.middle[v])])
+
+
 def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: str = "sample_id", row_id: str | None = None, missing_sample: str | None = None) -> DataFrame:
-    """The horizontally nearest present value of each variable for each sample, however far, by rings: samples that lack one within a
-    radius try a larger one, until each variable that has any value is found. Each ring's finds are written, so that none is made twice."""
+    """The horizontally nearest present value of each variable for each sample, however far: samples open those leaves of data alone that no
+    other leaf is nearer than."""
     sample, data = fix_longitudes(sample, data)
-    # Of rows at one place only the first counts, so data from a few stations are a few rows.
-    rid = F.col(row_id) if row_id else F.lit(0)
-    first = [c for v in variables for c in (F.min_by(v, F.when(F.col(v).isNotNull(), rid)).alias(v), F.min(F.when(F.col(v).isNotNull(), rid)).alias(f"_r_{v}"))]
-    data = data.where(" OR ".join(f"`{v}` IS NOT NULL" for v in variables)).groupBy("latitude", "longitude").agg(*first)
     side = sample if missing_sample is None else sample.where(F.col(missing_sample).isNotNull())
-    todo, found, *counts = side.select(key, "latitude", "longitude"), None, *data.agg(F.count("*"), *[F.count(v) for v in variables]).first()
-    n, present = counts[0], [v for v, k in zip(variables, counts[1:]) if k]
-    radius = 2 * EARTH_RADIUS * math.sqrt(4 / max(n, 1))
-    order = lambda v: F.struct(haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), F.col(f"_r_{v}"))
-    while n:
-        last = radius >= math.pi * EARTH_RADIUS
-        near = pairs(todo, data, h_sep=math.pi * EARTH_RADIUS * 1.01 if last else radius)
-        got = near.groupBy(F.col(f"s_{key}").alias(key)).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), order(v))).alias(v) for v in variables])
-        # A larger radius holds the rows of a smaller one too, so a sample's last round has all its values.
-        done, _ = save(got if last else got.dropna(subset=present))
-        found = done if found is None else found.unionByName(done)
-        if last:
-            break
-        todo = todo.join(done.select(key), key, "left_anti")
-        if todo.isEmpty():
-            break
-        radius *= 4
-    base = sample.drop(*[v for v in variables if v in sample.columns])
-    return base.join(found, key, "left") if found is not None else base.withColumns({v: F.lit(None).cast("double") for v in variables})
+    rid = F.col(row_id) if row_id else F.lit(0).cast("long")
+    out = sample.drop(*[v for v in variables if v in sample.columns])
+    for v in variables:
+        # Of rows at one place only the first counts, so data from a few stations are a few rows.
+        first = data.where(F.col(v).isNotNull()).groupBy("latitude", "longitude").agg(F.min_by(v, rid).alias(v), F.min(rid).alias("_first"))
+        near, _ = tree.nearest_in(side, first, v, key, "_first", "h")
+        out = out.join(near.groupBy(key).agg(F.min_by(v, F.struct("_far", "_rid")).alias(v)), key, "left")
+    return out
 
 
 #: How far apart two values of a vertical coordinate or of time are, and its column, by the letter of a nearest kernel.

@@ -104,6 +104,26 @@ def medians(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
 NEAREST = {"nn_horizontal": "h", "nn_h": "h", "nn_altitude": "a", "nn_a": "a", "nn_pressure": "p", "nn_p": "p", "nn_time": "t", "nn_t": "t"}
 
 
+def from_sums(name: str, v: str, middle: float) -> list[Column]:
+    """A kernel's columns from a count, a sum and a sum of squares about `middle`, the least and the greatest value (k_, s_, q_, l_, g_)."""
+    k, s, q = (F.col(f"{c}_{v}") for c in "ksq")
+    mean = F.when(k > 0, s / k + middle).alias(v)
+    spread = F.when(k > 1, F.sqrt(F.greatest(q - s * s / k, F.lit(0.0)) / (k - 1)))
+    return {
+        "mean": lambda: [mean],
+        "stddev": lambda: [spread.alias(v)],
+        "moments": lambda: [mean, spread.alias(f"{v}_std_dev"), F.when(k > 0, k).alias(f"{v}_num_points")],
+        "min": lambda: [F.col(f"l_{v}").alias(v)],
+        "max": lambda: [F.col(f"g_{v}").alias(v)],
+        "sum": lambda: [F.when(k > 0, s + k * middle).alias(v)],
+        "RMS": lambda: [F.when(k > 0, F.sqrt(q / k)).alias(v)],
+    }[name]()
+
+
+#: Kernels that from_sums() makes; sum and RMS are of sums about 0.
+FROM_SUMS = ("mean", "stddev", "moments", "min", "max", "sum", "RMS")
+
+
 def data_only(name: str, variables: list[str], extra: dict | None = None) -> list[Column]:
     """The aggregate columns of a kernel for all variables; extra: users' kernels by name."""
     fn = (extra or {}).get(name) or DATA_ONLY.get(name)

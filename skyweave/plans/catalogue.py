@@ -17,7 +17,7 @@ from ..operators import aggregate as ag
 from ..operators import collocate as co
 from ..operators import evaluate as ev
 from ..operators import interpolate as ip
-from ..operators import maths, plotdata, stats
+from ..operators import maths, plotdata, stats, tree
 from ..operators.grid import Axis, spine
 from ..operators.subset import subset
 
@@ -315,6 +315,16 @@ def neighbour_counts(spark, d):
     return co.neighbour_pairs(points(spark, d), 403.3, "event_id").groupBy("a").agg(F.count("*").alias("n"))
 
 
+RADII = [150.0, 403.3, 1503.3, 6003.3, 12003.3]
+
+
+@query(f"{SAMPLES}, m AS (SELECT {HAVERSINE} AS far FROM samples s CROSS JOIN points d) SELECT r.radius, count(*)::BIGINT AS n FROM m JOIN (VALUES {', '.join(f'({x}::DOUBLE)' for x in RADII)}) AS r(radius) ON m.far <= r.radius GROUP BY r.radius")
+def neighbour_counts_radii(spark, d):
+    """Pairs of events within each of five distances, each event with itself too."""
+    p = points(spark, d)
+    return tree.count_within(p, p, RADII)[0]
+
+
 def along_query(name: str, kernel: str, column: str, far: str) -> None:
     """The nearest in one coordinate, without a separation; SQL looks at one row for each of the data's values."""
 

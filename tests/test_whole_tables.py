@@ -28,10 +28,10 @@ def test_neighbour_counts_of_every_event(spark):
 
 
 def test_every_event_is_a_sample(spark):
-    """Of each query of samples: a row an event. Two of them by brute force."""
+    """Of each query of samples: a row an event. Five of them by brute force."""
     ids, lat, lon = places(spark)
     names = [n for n in cat.QUERIES if n.startswith(("box_", "nn_", "lin_")) and not n.endswith(("onto_grid", "grid_to_grid"))]
-    assert len(names) == 16
+    assert len(names) == 19
     got = {n: {r.sample_id: r for r in cat.QUERIES[n](spark, SF).collect()} for n in names}
     assert all(set(rows) == set(ids.tolist()) for rows in got.values())
     v = cat.points(spark, SF).select("event_id", "v_m").toPandas().sort_values("event_id").v_m.to_numpy(float)
@@ -41,6 +41,12 @@ def test_every_event_is_a_sample(spark):
         mean, nearest = got["box_h_mean"][e].v_m, v[there][far[i][there].argmin()]
         assert abs(mean - near.mean()) < 1e-6 if len(near) else mean is None
         assert abs(got["nn_horizontal_only"][e].v - nearest) < 1e-6
+    p = cat.points(spark, SF).select("event_id", "altitude", "air_pressure", "time").toPandas().sort_values("event_id")
+    for name, column in (("nn_a_any", "altitude"), ("nn_p_any", "air_pressure"), ("nn_t_any", "time")):
+        x = p[column].to_numpy(float)
+        away = np.maximum(x[:, None] / x, x / x[:, None]) if column == "air_pressure" else np.abs(x[:, None] - x)
+        first = np.where(there, away, np.inf).argmin(1)  # events are in order, so the first of equal ones has the least id
+        assert all(abs(got[name][e].v_m - v[j]) < 1e-6 for e, j in zip(ids.tolist(), first))
 
 
 def test_nearest_of_each_variable(spark):
