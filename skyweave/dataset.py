@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import CoordinateNotFoundError, InconsistentDimensionsError, InvalidDataTypeError, InvalidVariableError
 from .functions.geo import wrap_longitude
-from .functions.names import coordinates
+from .functions.names import coordinates, select_variables
 from .functions.time import to_timestamp
 from .operators import aggregate as ag
 from .operators import collocate as co
@@ -21,7 +21,7 @@ from .operators import plotdata
 from .operators import stats as st
 from .operators.grid import Axis
 from .operators.subset import subset, subset_grid
-from .sources import products, sinks
+from .sources import grids, products, sinks
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ class Dataset:
 
 
 def read_data_list(spark: SparkSession, paths, variables, product: str | None = None, aliases: list[str] | None = None) -> Dataset:
-    """Points, or the grid that save_grid() wrote under the path."""
+    """Points, or a grid: that which save_grid() wrote under the path, or the cells of files of a gridded product, merged."""
     found = products._paths(paths)
     if len(found) == 1 and product is None and (axes := sinks.axes_of(spark, found[0])):
         cells = spark.read.parquet(f"{found[0]}/cells")
@@ -174,6 +174,18 @@ def read_data_list(spark: SparkSession, paths, variables, product: str | None =
             cells = cells.withColumnsRenamed(dict(zip(names, aliases)))
         out = aliases or names
         return Dataset(cells.select(*[c for c in cells.columns if c in axis_columns(axes)], *out), tuple(out), tuple(axes))
+    p = products.find_product(spark, found[0], product) if found else None
+    if getattr(p, "gridded", False):
+        cells = p.scan(spark, found)
+        ends = [f"{c}_{e}" for c in coordinates(cells) for e in ("lo", "hi") if f"{c}_{e}" in cells.columns]
+        names = [c for c in select_variables(cells.drop(*ends), [variables] if isinstance(variables, str) else list(variables)).columns if c not in coordinates(cells)]
+        cells = cells.select(*coordinates(cells), *ends, *[F.when(~F.isnan(c), F.col(c)).alias(c, metadata=cells.schema[c].metadata) if dict(cells.dtypes)[c] in ("double", "float") else F.col(c) for c in names])
+        df, axes = grids.grid_of(cells, names)
+        if grids.is_full(axes, df.count()):
+            out = list(aliases or names)
+            if len(out) != len(names):
+                raise ValueError("as many aliases as variables are needed")
+            return Dataset(df.withColumnsRenamed(dict(zip(names, out))), tuple(out), tuple(axes))
     df = products.read(spark, paths, variables, product=product, aliases=aliases)
     return Dataset(df, tuple(c for c in df.columns if c not in coordinates(df)))
 

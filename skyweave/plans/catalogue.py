@@ -20,6 +20,7 @@ from ..operators import interpolate as ip
 from ..operators import maths, plotdata, stats, tree
 from ..operators.grid import Axis, spine
 from ..operators.subset import subset
+from ..sources import grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -367,6 +368,34 @@ def bin_missing_sample(spark, d):
     return co.bin_onto(points(spark, d), ["w"], GRID_AXES, "max", missing_grid=mask).select("latitude_i", "longitude_i", "w")
 
 
+# grids from cells
+
+DEGREES = "cells AS (SELECT -82.5::DOUBLE + 15 * floor((latitude + 90) / 15) AS latitude, -170.0::DOUBLE + 20 * floor((longitude + 180) / 20) AS longitude{more}, avg(v_m) AS v FROM points GROUP BY ALL)"
+NUMBERED = "n AS (SELECT *, (dense_rank() OVER (ORDER BY latitude) - 1)::INTEGER AS latitude_i, (dense_rank() OVER (ORDER BY longitude) - 1)::INTEGER AS longitude_i{more} FROM cells)"
+
+
+def degrees(p: DataFrame, *more) -> DataFrame:
+    """Means of the events by 15 x 20 degrees, as a file of cells holds them: with the values of their coordinates."""
+    lat, lon = F.lit(-82.5) + 15 * F.floor((F.col("latitude") + 90) / 15), F.lit(-170.0) + 20 * F.floor((F.col("longitude") + 180) / 20)
+    return p.groupBy(lat.alias("latitude"), lon.alias("longitude"), *more).agg(F.avg("v_m").alias("v"))
+
+
+@query(f"{DEGREES.format(more='')}, {NUMBERED.format(more='')} SELECT (latitude_i * (SELECT count(DISTINCT longitude) FROM cells) + longitude_i)::BIGINT AS cell, latitude_i, round(latitude - 7.5, 8) AS latitude_lo, longitude_i, round(longitude + 10, 8) AS longitude_hi, round(v, 8) AS v FROM n")
+def grid_from_points(spark, d):
+    """A grid whose axes are found from its cells."""
+    out, _ = grids.grid_of(degrees(points(spark, d)), ["v"])
+    return out.select("cell", "latitude_i", "latitude_lo", "longitude_i", "longitude_hi", "v")
+
+
+@query(f"{DEGREES.format(more=', 154863.5::DOUBLE + 7.5 * least(greatest(floor((time - 154863) / 7.5), 0), 3) AS time')}, {NUMBERED.format(more=', (dense_rank() OVER (ORDER BY time) - 1)::INTEGER AS time_i')}, m AS (SELECT time_i, longitude_i, avg(v) AS v FROM n GROUP BY ALL) SELECT time_i, longitude_i, round(v, 8) AS v FROM m")
+def grid_merge_files(spark, d):
+    """Four files, each with one time of its own, as one grid with an axis of times; then its mean over latitudes."""
+    p, k = points(spark, d), F.least(F.greatest(F.floor((F.col("time") - 154863) / 7.5), F.lit(0)), F.lit(3))
+    files = [degrees(p.where(k == i)).withColumn("time", F.lit(154863.5 + 7.5 * i)) for i in range(4)]
+    out, _ = grids.merge(files, ["v"])
+    return ag.collapse(out, ["v"], ["latitude_i", "longitude_i", "time_i"], ["latitude_i"], "mean").select("time_i", "longitude_i", "v")
+
+
 # interpolation from a grid of means of the events, with some cells missing
 
 IP_AXES = [Axis.of_points("latitude", [-90.0 + 15 * i for i in range(13)]), Axis.of_points("longitude", [-180.0 + 30 * i for i in range(12)], cyclic=True)]

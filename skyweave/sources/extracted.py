@@ -76,6 +76,8 @@ class Extracted(Product):
     decoded: Callable[[Column, dict[str, str]], Column] = staticmethod(decode_cf)
     #: Which index of a coordinate's array holds it.
     coordinate_index = 0
+    #: Whether rows are cells of a grid.
+    gridded = False
 
     def attributes(self, spark, path: str) -> Attributes:
         out: Attributes = {}
@@ -111,6 +113,12 @@ class Extracted(Product):
                 x = self.decoded((F.try_element_at(x, F.lit(self.coordinate_index + 1)) if types[name].startswith("array") else x).cast("double"), a.get(name, {}))
                 found[c] = self.time(x, a, name) if c == "time" else x
                 used.add(name)
+                # Bounds are an array of two for each value of the coordinate, under the name that it gives.
+                if self.gridded and (b := a.get(name, {}).get("bounds")) in types:
+                    for i, end in enumerate(("lo", "hi")):
+                        x = self.decoded(F.try_element_at(F.col(f"`{b}`"), F.lit(i + 1)).cast("double"), a.get(name, {}))
+                        found[f"{c}_{end}"] = self.time(x, a, name) if c == "time" else x
+                    used.add(b)
         found |= self.more(df, a)
         if "latitude" not in found or "longitude" not in found:
             raise FileFormatError(f"{path}: no latitude and longitude among its datasets")
@@ -158,6 +166,7 @@ class ModisL2(Extracted):
 class ModisL3(Extracted):
     """A daily, 8-daily or monthly grid; its time is the middle of the range in the file's metadata."""
 
+    gridded = True
     name, signatures = "MODIS_L3", (r".*(MYD08_D3|MOD08_D3|MYD08_M3|MOD08_M3|MOD08_E3).*\.hdf",)
     coords = {"longitude": ("XDim",), "latitude": ("YDim",)}
     decoded = staticmethod(decode_modis)
@@ -232,6 +241,8 @@ def coverage_time(text: str) -> float:
 class CciL3(Extracted):
     """A grid whose time is the middle of its coverage."""
 
+    gridded = True
+
     def more(self, df, a):
         first, last = (coverage_time(a.get("", {})[f"time_coverage_{k}"]) for k in ("start", "end"))
         return {"time": F.lit((first + last) / 2), "time_lo": F.lit(first), "time_hi": F.lit(last)}
@@ -273,6 +284,8 @@ class NcarRaf(Extracted):
 class NetcdfGridded(Extracted):
     """Any other grid. Altitude comes from geopotential or its height, if there is no other; air pressure in hPa or Pa as stored."""
 
+    gridded = True
+
     name, signatures, priority = "NetCDF_Gridded", (r".*\.nc",), 1
 
     def more(self, df, a):
