@@ -20,6 +20,8 @@ from .common import kept, slices, table
 
 _RUN = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: Sums below may have lost what lies out of a double's range; such words are scored with scales.
+LEAST_SUM = 1e-250
 #: Words up to this length are scored in groups; longer ones with scaling, one at a time.
 GROUPED = 40
 #: Words that a worker remembers at most, some 150 bytes and 8 a language each.
@@ -84,7 +86,11 @@ class Lattice:
             for k in range(0, len(at), 20_000):
                 some = at[k : k + 20_000]
                 if n <= GROUPED:
-                    out[some] = np.log(self.forward(self.ids([words[i] for i in some]), p)[:, n])
+                    total = self.forward(self.ids([words[i] for i in some]), p)[:, n]
+                    low = (total < LEAST_SUM).any(1)
+                    out[some] = np.log(np.where(low[:, None], 1.0, total))
+                    for i in np.array(some)[low].tolist():
+                        out[i] = self._long(words[i], p)
                 else:
                     for i in some:
                         out[i] = self._long(words[i], p)

@@ -24,6 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Words that Viterbi runs over at a time.
+BATCH_WORDS = 1 << 18
 #: Words that a worker remembers at most, some 250 bytes each.
 REMEMBERED_WORDS = 250_000
 KINDS = ("assign", "access", "hex", "crf")
@@ -125,10 +127,10 @@ class Field:
             self.at[w] = i
         out, zero = [], np.zeros(3)
         for ws, text in zip(texts, whole):
-            r = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))]
-            e = r[:, 0].copy()
-            e[1:] += r[:-1, 1]
-            e[:-1] += r[1:, 2]
+            at = np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))
+            e = self.rows[at, 0]
+            e[1:] += self.rows[at[:-1], 1]
+            e[:-1] += self.rows[at[1:], 2]
             out.append(e + sum((self.weights.get(f"text:{x}", zero) for x in text_features(text)), zero))
         return out
 
@@ -138,8 +140,12 @@ class Field:
         out: list[np.ndarray | None] = [None] * len(texts)
         scores = self.scores(texts, whole or [" ".join(ws) for ws in texts])
         todo = sorted((i for i, e in enumerate(scores) if len(e) and (e[:, 0] - e[:, 1:].max(1)).min() <= self.sure), key=lambda i: len(scores[i]))
-        for k in range(0, len(todo), 64):
-            some = todo[k : k + 64]
+        while todo:
+            # As many as are BATCH_WORDS words in all, padding too; a longer text is alone.
+            size = 1
+            while size < min(len(todo), 64) and (size + 1) * len(scores[todo[size]]) <= BATCH_WORDS:
+                size += 1
+            some, todo = todo[:size], todo[size:]
             n = np.array([len(scores[i]) for i in some])
             # Shorter texts are padded in front with words that score 0 for O and cannot be another.
             e = np.full((len(some), n.max(), 3), -1e9)

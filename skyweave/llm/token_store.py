@@ -91,7 +91,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2,
             nonlocal block, start, held, size
             n, frames = [x[1] for x in held], [x[2] for x in held]
             ids = [x[0] for x in held]
-            row = (part, block, ids[0], ids[-1], start, ids, n, [0, *accumulate(map(len, frames))], b"".join(frames), key)
+            # Null ids come first and are in no range.
+            row = (part, block, next((d for d in ids if d is not None), None), ids[-1], start, ids, n, [0, *accumulate(map(len, frames))], b"".join(frames), key)
             block, start, held, size = block + 1, start + sum(n), [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _types)], names=_names)
 

@@ -39,6 +39,8 @@ def test_store_round_trip(spark, odd):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     assert sorted(map(tuple, token_store.read_document(spark, path, 4))) == sorted(tuple([*whole(r.text), 2]) for r in odd.collect() if r.doc_id == 4)
     assert token_store.read_document(spark, path, 77) == []
+    # In a block that begins with a null id.
+    assert token_store.read_document(spark, path, -9) == [[*whole("a\x1cb\x0bc,.d"), 2]]
 
 
 def test_store_of_an_empty_table(spark, make):

@@ -394,3 +394,32 @@ def test_trie_answers():
 @pytest.mark.parametrize("words", [0, 10, 49])
 def test_short_texts_have_no_suffix(words):
     assert len(repeats.grams(np.arange(words, dtype=np.uint64), 50)) == 0
+
+
+def test_scores_of_words_out_of_range():
+    """39 letters that no piece has, with probabilities of a large sample: the sum is no double, the score is a number."""
+    lattice = langid.Lattice(langid.vocabulary(PIECES))
+    size = lattice.unknown + 1
+    p = np.vstack([np.full((size, 2), [1e-10, 2e-10]), np.zeros((1, 2))])
+    word = langid.START + "\u3042\u4e9c" * 19
+    got = lattice.log_likelihood([word, langid.START + "short"], p)
+    assert np.isfinite(got).all() and np.allclose(got[0], lattice._long(word, p)) and np.allclose(got[1], lattice._long(langid.START + "short", p))
+    assert np.log(lattice.forward(lattice.ids([word]), p)[:, len(word)]).min() == -np.inf
+    out = langid.Predictor(PIECES, ["de", "fr"], p).predict(["\u3042\u4e9c" * 19])
+    assert out[0][0] in ("de", "fr") and 0 <= out[0][1] <= 1
+
+
+def test_viterbi_of_a_long_text_beside_short_ones():
+    """Memory grows with the words, not with the longest text times the number of texts; paths are those of each text alone."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    field = secret_scan.Field({f"own:{x}": rng.normal(0, 3, 3) for x in secret_scan.shape("ab12") + secret_scan.shape("word")}, rng.normal(0, 1, (3, 3)))
+    field.sure = 1e9
+    texts = [[("ab12", "word", "Xy")[j] for j in rng.integers(0, 3, n)] for n in [*rng.integers(1, 40, 63).tolist(), 100_000]]
+    alone = [field.tag([t])[0] for t in texts]
+    tracemalloc.start()
+    got = field.tag(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, alone)) and peak < 60e6
