@@ -2,18 +2,22 @@
 
 Each kept term of a language is one row, whose vector holds a count for each source that uses it, ordered by the source's place among
 the language's sources; sources that don't use it are its zeros and are not stored. Higher-order functions turn counts into
-probabilities and emit the contribution of each pair of sources that both use the term; sums are partial before they move. What a
-pair owes to terms that one of its sources lacks depends on a count and on a source alone, so it comes from the number of terms
-of each count, and what it owes to terms that both lack is one number. Thus a term costs the square of the sources that use it, not
-of all sources.
+probabilities and emit a row for each pair of sources that both use the term, with what both ways contribute; sums are partial before
+they move. What a pair owes to terms that one of its sources lacks depends on a count and on a source alone, so it comes from the
+number of terms of each count, and what it owes to terms that both lack is one number. Thus a term costs the square of the sources
+that use it, not of all sources.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,19 +26,50 @@ MOST_BROADCAST = 100_000
 #: Terms shown of a group, by the contract.
 TOP = 200
 
+#: What bytes of UTF-8 become: A-Z lower case, all other ASCII but a-z a space.
+LETTERS = bytes(c if c >= 0x80 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
+COUNTS = "lang string, source string, term string, n bigint, df bigint"
+
+
+def terms(text: bytes, stretch: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The runs of letters of a text in UTF-8, of which only A-Z are lower-cased and all that is not ASCII is a letter; long texts in parts."""
+    text, at = text.translate(LETTERS), 0
+    while at < len(text):
+        end = text.find(b" ", at + stretch)
+        yield text[at : end if end >= 0 else len(text)].split()
+        at = end if end >= 0 else len(text)
+
+
+def term_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(lang, source, term, n, df): occurrences and rows of documents, null lang, source and text being ''. Tasks send their counts of
+    `most` terms at a time, which are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
 
-def terms(text: Column) -> Column:
-    """The runs of letters, of which only A-Z are lower-cased; all that is not ASCII is a letter."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+        def out() -> pa.RecordBatch:
+            rows = [(*g, t, k, df[t]) for g, (n, df) in held.items() for t, k in n.items()]
+            held.clear()
+            cols = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["lang", "source", "term", "n", "df"])
 
+        for b in slices(batches, 100):
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                n, df = held.setdefault((lang, source), (Counter(), Counter()))
+                before, seen = len(n), set()
+                for some in terms(text.as_py()):
+                    n.update(some)
+                    seen.update(some)
+                df.update(seen)
+                size += len(n) - before
+                if size >= most:
+                    yield out()
+                    size = 0
+        yield out()
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences and rows of documents, null lang, source and text being ''."""
-    own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    own = own.select("lang", "source", terms(F.col("text")).alias("ts"))
-    # An occurrence, and once a document the term itself, are rows of one explode, so that a document's terms need no grouping of their own.
-    marks = F.concat(F.transform("ts", lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"))), F.transform(F.array_distinct("ts"), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"))))
-    return own.select("lang", "source", F.explode(marks).alias("m")).groupBy("lang", "source", F.col("m.t").alias("term")).agg(F.sum("m.n").alias("n"), F.sum(1 - F.col("m.n")).alias("df"))
+    own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return own.mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -89,10 +124,12 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int | None = TOP) -> DataFr
     # Terms that both sources use.
     p = F.transform("v", lambda e: F.struct(e["i"].alias("i"), _p(e["n"], at(F.col("g"), e["i"])["total"], F.col("kept_terms")).alias("p"), at(F.col("p0"), e["i"]).alias("z")))
     both = kept.join(by_lang, "lang").select("lang", p.alias("v")).select("lang", F.explode("v").alias("a"), "v")
-    a = F.col("a")
-    more = lambda b: F.struct(b["i"].alias("j"), (_f(a["p"], b["p"]) - _f(a["p"], b["z"]) - _f(a["z"], b["p"]) + _f(a["z"], b["z"])).alias("f"))
-    both = both.select("lang", F.col("a.i").alias("i"), F.explode(F.transform(F.filter("v", lambda b: b["i"] != a["i"]), more)).alias("x"))
-    parts = [both.select("lang", "i", F.col("x.j").alias("j"), F.col("x.f").alias("f"))]
+    both = both.select("lang", "a", F.explode(F.filter("v", lambda b: b["i"] > F.col("a.i"))).alias("b"))
+    both = both.select("lang", F.col("a.i").alias("i"), F.col("b.i").alias("j"), *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in "pz"])
+    more = lambda x, y: F.sum(_f(F.col(f"p_{x}"), F.col(f"p_{y}")) - _f(F.col(f"p_{x}"), F.col(f"z_{y}")) - _f(F.col(f"z_{x}"), F.col(f"p_{y}")) + _f(F.col(f"z_{x}"), F.col(f"z_{y}")))
+    both = both.groupBy("lang", "i", "j").agg(more("a", "b").alias("there"), more("b", "a").alias("back"))
+    both = both.select("lang", F.explode(F.array(F.struct("i", "j", F.col("there").alias("f")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("f")))).alias("x"))
+    parts = [both.select("lang", "x.i", "x.j", "x.f")]
 
     # Terms of a source, as if the other lacked them all.
     one = by_count.join(by_lang, "lang").select("lang", "i", "m", "p0", _p(F.col("n"), at(F.col("g"), F.col("i"))["total"], F.col("kept_terms")).alias("p"))
