@@ -6,7 +6,9 @@ with two Parquet tables,
 * values: one row a point or cell, one column a dataset, as stored; a dataset with further dimensions is an array
 * attributes: (variable, key, value) as text; the file's own attributes have the variable ''
 
-A product says which datasets are coordinates and how stored values and times are decoded. Each file is decoded by its own attributes.
+A product says which datasets are coordinates and how stored values and times are decoded. Each file is decoded by its own attributes:
+all files' attributes are read at once, files whose attributes matter alike are one scan, and what a file says of itself as a whole, as
+the time of a daily grid, is joined to its rows. So the jobs of a read grow with the kinds of files, not with their number.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import calendar
 import datetime as dt
 import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ CALIOP_FILLS = {"Float_32": -9999.0, "Int_16": -9999.0, "Int_32": -9999.0, "UInt
 #: The suffixes that choose an index of an EarthCARE dataset's further dimension.
 EARTHCARE_SUFFIXES = ("_CLASSNUM_", "_AEROSOL_COMPONENTSNUM_", "_BANDNUM_", "_BACKGROUNDNUM_")
 GRAVITY = 9.80665
+#: Attributes that decoding may use. Others, as titles and histories, tell no two kinds of files apart.
+USED = ("_fillvalue", "fillvalue", "missing_value", "missing", "missop", "valid_min", "valid_max", "valid_range", "scale_factor", "add_offset", "factor", "offset", "format", "units", "long_name", "standard_name", "bounds", "length", "dimension")
 TAI_START = dt.datetime(1993, 1, 1)
 
 
@@ -80,16 +85,26 @@ class Extracted(Product):
     gridded = False
 
     def attributes(self, spark, path: str) -> Attributes:
-        out: Attributes = {}
-        for r in spark.read.parquet(f"{path}/attributes").collect():  # a file's metadata
-            out.setdefault(r.variable, {})[r.key] = r.value
+        return next(iter(self.all_attributes(spark, [path]).values()), {})
+
+    def all_attributes(self, spark, paths: list[str]) -> dict[str, Attributes]:
+        """By folder, in one job: the attributes that decoding uses, and files' own."""
+        table = spark.read.schema("variable string, key string, value string").parquet(*[f"{p}/attributes" for p in paths])
+        table = table.select("*", F.regexp_replace("_metadata.file_path", "/attributes/[^/]*$", "").alias("folder"))
+        out: dict[str, Attributes] = {}
+        for r in table.where(F.lower("key").isin(*USED) | (F.coalesce("variable", F.lit("")) == "")).collect():  # files' metadata
+            out.setdefault(r.folder, {}).setdefault(r.variable or "", {})[r.key] = r.value
         return out
 
     def time(self, v: Column, a: Attributes, name: str) -> Column:
         return cf_time(v, a.get(name, {})["units"]) if "since" in a.get(name, {}).get("units", "") else v
 
     def more(self, df: DataFrame, a: Attributes) -> dict[str, Column]:
-        """Coordinates that are made, not read."""
+        """Coordinates that are made, not read. Of a file's own attributes it sees none: see whole()."""
+        return {}
+
+    def whole(self, own: dict[str, str]) -> dict[str, float]:
+        """Coordinates that hold for a whole file, from its own attributes."""
         return {}
 
     def chosen(self, names: list[str], a: Attributes) -> list[str]:
@@ -97,14 +112,35 @@ class Extracted(Product):
         return names
 
     def scan(self, spark, paths):
+        every = self.all_attributes(spark, paths)
+        # Folders without attributes are not among those: their files have none.
+        plain = lambda p: re.sub(r"^\w+:/*", "/", p).rstrip("/")
+        seen = {plain(unquote(f)) for f in every}
+        bare = [p for p in paths if "*" not in p and plain(p) not in seen and not any(f.endswith("/" + p.rstrip("/")) for f in seen)]
+        kinds: dict[tuple, list[str]] = {}
+        for folder, a in every.items():
+            rest = tuple(sorted((v, k, x) for v, own in a.items() if v for k, x in own.items()))
+            kinds.setdefault((rest, tuple(sorted(self.whole(a.get("", {}))))), []).append(folder)
         out = None
-        for p in paths:
-            one = self.file(spark, p)
+        for (rest, names), folders in kinds.items():
+            a: Attributes = {}
+            for v, k, x in rest:
+                a.setdefault(v, {})[k] = x
+            df = spark.read.option("mergeSchema", len(folders) > 1).parquet(*[f"{unquote(f)}/values" for f in folders])
+            if names:
+                # A row a file, beside many of its values.
+                rows = [(f, *[self.whole(every[f].get("", {}))[n] for n in names]) for f in folders]
+                file = spark.createDataFrame(rows, "_folder string, " + ", ".join(f"`_w_{n}` double" for n in names))
+                df = df.withColumn("_folder", F.regexp_replace("_metadata.file_path", "/values/[^/]*$", "")).join(F.broadcast(file), "_folder").drop("_folder")
+            one = self.cells(df, a, {n: F.col(f"_w_{n}") for n in names})
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        for p in bare:
+            one = self.cells(spark.read.parquet(f"{p}/values"), {}, {})
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         return out
 
-    def file(self, spark, path: str) -> DataFrame:
-        a, df = self.attributes(spark, path), spark.read.parquet(f"{path}/values")
+    def cells(self, df: DataFrame, a: Attributes, whole: dict[str, Column]) -> DataFrame:
+        """Decoded rows of files that share the attributes `a`; whole: what holds for a file, as columns of df named _w_<coordinate>."""
         types, found, used = dict(df.dtypes), {}, set()
         for c, names in self.coords.items():
             name = next((n for n in names if n in types), None)
@@ -119,9 +155,10 @@ class Extracted(Product):
                         x = self.decoded(F.try_element_at(F.col(f"`{b}`"), F.lit(i + 1)).cast("double"), a.get(name, {}))
                         found[f"{c}_{end}"] = self.time(x, a, name) if c == "time" else x
                     used.add(b)
-        found |= self.more(df, a)
+        found |= self.more(df, a) | whole
+        used |= {f"_w_{c}" for c in whole}
         if "latitude" not in found or "longitude" not in found:
-            raise FileFormatError(f"{path}: no latitude and longitude among its datasets")
+            raise FileFormatError(f"no latitude and longitude among the datasets {df.columns}")
         variables = []
         for n in self.chosen([n for n in df.columns if n not in used], a):
             variables += self.variable(n, F.col(f"`{n}`"), types[n], a.get(n, {}), df)
@@ -171,11 +208,9 @@ class ModisL3(Extracted):
     coords = {"longitude": ("XDim",), "latitude": ("YDim",)}
     decoded = staticmethod(decode_modis)
 
-    def more(self, df, a):
-        own, ends = a.get("", {}), []
-        for k in ("BEGINNING", "ENDING"):
-            ends.append(to_days(parse_datetime(f"{own[f'RANGE{k}DATE']} {own[f'RANGE{k}TIME']}".split(".")[0]).min()))
-        return {"time": F.lit(ends[0] + (ends[1] - ends[0]) / 2)}
+    def whole(self, own):
+        ends = [to_days(parse_datetime(f"{own[f'RANGE{k}DATE']} {own[f'RANGE{k}TIME']}".split(".")[0]).min()) for k in ("BEGINNING", "ENDING")]
+        return {"time": ends[0] + (ends[1] - ends[0]) / 2}
 
 
 class Caliop(Extracted):
@@ -243,9 +278,9 @@ class CciL3(Extracted):
 
     gridded = True
 
-    def more(self, df, a):
-        first, last = (coverage_time(a.get("", {})[f"time_coverage_{k}"]) for k in ("start", "end"))
-        return {"time": F.lit((first + last) / 2), "time_lo": F.lit(first), "time_hi": F.lit(last)}
+    def whole(self, own):
+        first, last = (coverage_time(own[f"time_coverage_{k}"]) for k in ("start", "end"))
+        return {"time": (first + last) / 2, "time_lo": first, "time_hi": last}
 
 
 @register
@@ -260,7 +295,7 @@ class AerosolCciL3(CciL3):
 
 @register
 class NcarRaf(Extracted):
-    """Flights, ships and fixed stations. The file's attributes name the coordinates or, for a station, hold them."""
+    """Flights, ships and fixed stations: coordinates are datasets of usual names or, for a station, the file's own attributes."""
 
     name, signatures, priority = "NCAR_NetCDF_RAF", (r".*\.nc",), 20
     coords = {"longitude": ("LONC", "LON", "longitude", "Longitude", "lon"), "latitude": ("LATC", "LAT", "latitude", "Latitude", "lat"), "altitude": ("GGALT", "ALT", "altitude", "Altitude"), "air_pressure": ("PSXC", "PSX", "pressure", "air_pressure"), "time": ("Time", "time")}
@@ -272,11 +307,11 @@ class NcarRaf(Extracted):
             return [f"{path}: {type(x).__name__}"]
         return [] if "GASSP_Version" in own or "RAF" in own.get("Conventions", "") else [f"{path}: neither GASSP_Version nor a RAF convention"]
 
-    def more(self, df, a):
-        own, out = a.get("", {}), {}
+    def whole(self, own):
+        out = {}
         for c, key in (("latitude", "Station_Lat"), ("longitude", "Station_Lon"), ("altitude", "Station_Altitude")):
             if m := re.match(r"\s*([-+]?[\d.]+)\s*([NSEW]?)", own.get(key, "")):
-                out[c] = F.lit(float(m[1]) * (-1 if m[2] in ("S", "W") and m[2] else 1))
+                out[c] = float(m[1]) * (-1 if m[2] in ("S", "W") else 1)
         return out
 
 

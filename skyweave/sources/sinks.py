@@ -30,7 +30,7 @@ def save(df: DataFrame, path: str, *, overwrite: bool = False, partition_by: lis
 
 
 def save_points(df: DataFrame, path: str, *, cell: float = 10.0, overwrite: bool = False) -> None:
-    """Points laid out by coarse cells of latitude and longitude, so that subsets read few files."""
+    """Points laid out by coarse cells of latitude and longitude (lat_cell, lon_cell); filters on these columns read few files."""
     keyed = df.withColumns({"lat_cell": F.floor(F.col("latitude") / cell).cast("int"), "lon_cell": F.floor(F.col("longitude") / cell).cast("int")})
     save(keyed.repartition("lat_cell", "lon_cell"), path, overwrite=overwrite, partition_by=["lat_cell", "lon_cell"])
 
