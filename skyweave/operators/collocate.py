@@ -191,7 +191,7 @@ def _by_tree(sample: DataFrame, data: DataFrame, variables: list[str], kernel: s
             own = near.groupBy(key).agg(F.min_by(v, F.struct("_far", "_rid")).alias(v))  # a row for each 64 leaves that a sample met
             found = own if found is None else found.join(own, key, "full")
         return found
-    sums = tree.box_sums(sample, data, variables, key, limits, centred=kernel not in ("sum", "RMS"), extremes=kernel in ("min", "max"))
+    sums = tree.box_sums(sample, data, variables, key, limits, centred=kernel not in ("mean", "sum", "RMS"), extremes=kernel in ("min", "max"))
     return sums.rows.groupBy(key).agg(*tree.merged(variables)).select(key, *[c for v in variables for c in kernels.from_sums(kernel, v, sums.middle[v])])
 
 
