@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import fnmatch
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +159,9 @@ class Dataset:
         return out.set_index("time") if time_index and "time" in out else out
 
     def save_data(self, path: str, overwrite: bool = False) -> None:
+        """Written as Parquet; with a warning first where the space may not do."""
+        if (why := sinks.warn_of_space(self.df, path)) is not None:
+            warnings.warn(why, ResourceWarning, stacklevel=2)
         df = sinks.annotate(self.df, {v: {"history": self.history} for v in self.variables if v in self.df.columns})
         sinks.save_grid(df, list(self.axes), path, overwrite=overwrite) if self.gridded else sinks.save(df, path, overwrite=overwrite)
 

@@ -53,12 +53,18 @@ def axes_of(spark, path: str) -> list[Axis] | None:
 
 
 def warn_of_space(df: DataFrame, path: str) -> str | None:
-    """A warning if what the table is made from is larger than what the path's file system has left; None if not, or if its size is unknown."""
+    """A warning if what the table is made from is larger than what the path's file system has left; None if not, or if its size is unknown,
+    as without a JVM at hand (Spark Connect)."""
     spark = df.sparkSession
+    if getattr(spark, "_jvm", None) is None:
+        return None
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     need = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    left = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(hadoop.getParent()).getRemaining()
+    files, folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.getParent()
+    while folder is not None and not files.exists(folder):
+        folder = folder.getParent()
+    left = (files.getStatus(folder) if folder is not None else files.getStatus()).getRemaining()
     return f"about {human_size(need)} to write, {human_size(left)} left" if left < need < 1 << 62 else None
 
 

@@ -107,3 +107,14 @@ def test_unlike_coordinates(spark):
         grids.merge([a, b], ["v"])
     with pytest.raises(InconsistentDimensionsError):
         grids.grid_of(a, ["v"])
+
+
+def test_space_is_looked_at_before_a_write(spark, tmp_path, monkeypatch):
+    from skyweave.sources import sinks
+
+    d = read_data_list(spark, netcdf(spark, tmp_path / "w.nc", 1), "rain", "NetCDF_Gridded")
+    assert sinks.warn_of_space(d.df, f"{tmp_path}/new/folder/out") is None
+    monkeypatch.setattr(sinks, "warn_of_space", lambda df, path: "about 9 TB to write, 1 GB left")
+    with pytest.warns(ResourceWarning, match="9 TB"):
+        d.save_data(f"{tmp_path}/out")
+    assert read_data_list(spark, f"{tmp_path}/out", "rain").gridded
