@@ -20,7 +20,7 @@ from ..functions.geo import EARTH_RADIUS, haversine, pressure_ratio, wrap_longit
 from ..functions.names import STANDARD
 from ..scratch import save
 from . import kernels, tree
-from .grid import Axis, cell_number, spine
+from .grid import Axis, cell_number, locate, spine
 
 
 def fix_longitudes(sample: DataFrame, *others: DataFrame) -> list[DataFrame]:
@@ -257,7 +257,10 @@ def bin_onto(data: DataFrame, variables: list[str], axes: list[Axis], kernel: st
         a = next(a for a in used if a.name == "longitude")
         data = data.withColumn("longitude", wrap_longitude(F.col("longitude"), a.lo[0] if a.hi[-1] > wrap_start(a.lo[0]) + 360 or a.lo[0] < -180 else wrap_start(a.lo[0])))
     cells = spine(data.sparkSession, used)
-    binned = data.withColumn("cell", cell_number(used, {a.name: a.index(F.col(a.name)) for a in used})).where("cell IS NOT NULL")
+    binned, found = data, {a.name: f"_at_{a.name}" for a in used}
+    for a in used:
+        binned = locate(binned, a, found[a.name])
+    binned = binned.withColumn("cell", cell_number(used, {n: F.col(c) for n, c in found.items()})).where("cell IS NOT NULL").drop(*found.values())
     if kernel in kernels.NEAREST:
         by = kernels.NEAREST[kernel]
         centre = cells.select("cell", *[F.col(a.name).alias(f"s_{a.name}") for a in used])

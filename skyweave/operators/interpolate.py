@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_longitude
-from .grid import Axis, search, spine, value_at
+from .grid import Axis, rank_in, spine
 
 
 def _wrapped(a: Axis) -> Axis:
@@ -14,79 +17,84 @@ def _wrapped(a: Axis) -> Axis:
     return Axis(a.name, (*a.points, a.points[0] + 360.0), (*a.lo, a.lo[0] + 360.0), (*a.hi, a.hi[0] + 360.0), cyclic=True) if a.cyclic else a
 
 
-def lower_index(a: Axis, x: Column) -> Column:
-    """The lower index of the interval of x, clamped to the axis; a point at an index belongs to the interval before it, if there is one."""
-    p, n = a.points, len(a.points)
+def _interval(df: DataFrame, a: Axis, x: str, i: str, u: str) -> DataFrame:
+    """df with i, the lower index of the interval of column x, clamped to the axis, and u, how far x is between its ends; a point at an
+    index belongs to the interval before it, if there is one."""
+    p, n, X = a.points, len(a.points), F.col(x)
     if n == 1:
-        return F.when(x.isNotNull(), F.lit(0))
+        return df.withColumns({i: F.when(X.isNotNull(), F.lit(0)), u: F.when(X.isNotNull(), F.lit(0.0))})
     step = (p[-1] - p[0]) / (n - 1)
-    if all(p[0] + i * step == v for i, v in enumerate(p)):
+    if all(p[0] + k * step == v for k, v in enumerate(p)):
         s, d = F.lit(p[0]), F.lit(step)
-        k = F.ceil((x - s) / d).cast("int") - 1
+        df = df.withColumn(i, F.least(F.greatest(F.ceil((X - s) / d).cast("int") - 1, F.lit(0)), F.lit(n - 2)))
+        df = df.withColumns({"_a": s + F.col(i) * d, "_b": s + (F.col(i) + 1) * d})
     else:
-        k = search(p, x, right=False) - 1
-    return F.least(F.greatest(k, F.lit(0)), F.lit(n - 2))
-
-
-def _corners(samples: DataFrame, axes: list[Axis], how: str, extrapolate: bool) -> DataFrame:
-    """samples repeated for each corner: <axis>_i, the corner's index, and _w, its weight. Points outside have none unless extrapolated."""
-    out = samples
-    inside, parts = F.lit(True), []
-    for a in map(_wrapped, axes):
-        x = F.col(a.name)
-        if a.cyclic:
-            x = wrap_longitude(x, a.points[0])
-        out = out.withColumn(f"_x_{a.name}", x)
-    for a in map(_wrapped, axes):
-        # Columns of their own, so that each is computed once.
-        x, n = F.col(f"_x_{a.name}"), len(a.points)
-        out = out.withColumn(f"_i_{a.name}", lower_index(a, x))
-        i = F.col(f"_i_{a.name}")
-        lo, hi = value_at(a.points, i), value_at(a.points, i + 1) if n > 1 else None
-        out = out.withColumn(f"_u_{a.name}", (x - lo) / (hi - lo) if n > 1 else F.lit(0.0))
-        u = F.col(f"_u_{a.name}")
-        if not extrapolate:
-            inside = inside & (x >= a.points[0]) & (x <= a.points[-1])
-        at = (lambda k, m=n - 1: (k % m).cast("int")) if a.cyclic else lambda k: k.cast("int")
+        df = rank_in(df, p[:-1], x, i, right=False, carry={"_a": p[:-1], "_b": p[1:]})
+        df = df.withColumn(i, F.greatest(F.col(i) - 1, F.lit(0)))
+    return df.withColumn(u, (X - F.col("_a")) / (F.col("_b") - F.col("_a"))).drop("_a", "_b")
+
+
+def bundles(grid: DataFrame, variables: list[str], axes: list[Axis], extra_dims: list[str] = ()) -> DataFrame:
+    """One row for each interval of the axes and value of extra_dims: _i_<axis>, its lower index, and for each variable the array of its
+    2^d corners, the first axis varying slowest. The grid's cells are what is repeated and grouped, never samples."""
+    both = [a for a in axes if len(a) > 1]
+    out = grid.select(*[f"{a.name}_i" for a in axes], *extra_dims, *variables)
+    corner = F.lit(0)
+    for a in axes:
+        i, n = F.col(f"{a.name}_i"), len(a)
         if n == 1:
-            parts.append((a.name, F.array(F.struct(at(i).alias("i"), F.lit(1.0).alias("w")))))
-        elif how == "nn":
-            parts.append((a.name, F.array(F.struct(F.when(u <= 0.5, at(i)).otherwise(at(i + 1)).alias("i"), F.lit(1.0).alias("w")))))
-        else:
-            parts.append((a.name, F.array(F.struct(at(i).alias("i"), (1 - u).alias("w")), F.struct(at(i + 1).alias("i"), u.alias("w")))))
-    out = out.where(inside & F.expr(" AND ".join(f"`_x_{a.name}` IS NOT NULL" for a in axes)))
-    for name, arr in parts:
-        out = out.withColumn(f"_c_{name}", arr)
-    weight = F.lit(1.0)
-    for name, _ in parts:
-        out = out.withColumn(f"_c_{name}", F.explode(f"_c_{name}"))
-        weight = weight * F.col(f"_c_{name}.w")
-    out = out.withColumn("_w", weight)
-    for name, _ in parts:
-        out = out.withColumn(f"{name}_i", F.col(f"_c_{name}.i"))
-    return out.drop(*[f"_c_{n}" for n, _ in parts], *[f"_{k}_{n}" for n, _ in parts for k in "xiu"])
+            out = out.withColumn(f"_i_{a.name}", i.cast("int"))
+            continue
+        # A cell is the lower corner of its own interval and the upper one of that before.
+        out = out.withColumn(f"_k_{a.name}", F.explode(F.array(F.lit(0), F.lit(1))))
+        k = F.col(f"_k_{a.name}")
+        out = out.withColumn(f"_i_{a.name}", (F.pmod(i - k, F.lit(n)) if a.cyclic else i - k).cast("int"))
+        corner = corner * 2 + k
+    out = out.withColumn("_corner", corner)
+    arrays = [F.array(*[F.max(F.when(F.col("_corner") == c, F.col(v))) for c in range(2 ** len(both))]).alias(f"_v_{v}") for v in variables]
+    return out.groupBy(*[f"_i_{a.name}" for a in axes], *extra_dims).agg(*arrays)
 
 
 def onto_points(samples: DataFrame, grid: DataFrame, variables: list[str], axes: list[Axis], how: str = "lin", *, key: str = "sample_id", extrapolate: bool = False, extra_dims: list[str] = (), missing_sample: str | None = None) -> DataFrame:
     """A grid's variables at sample points: `lin` or `nn`. Every sample is returned, with NULL outside the grid.
 
     grid: long form with <axis>_i and the variables; every axis must be a column of samples. A NULL corner makes the result NULL even
-    with weight 0. extra_dims: further dimensions of grid, kept as columns. Longitude of a cyclic axis wraps.
+    with weight 0. extra_dims: further dimensions of grid, kept as columns. Longitude of a cyclic axis wraps. Samples meet the grid in one
+    equi-join on the numbers of intervals (lin) or of the nearest cells (nn), and are not grouped; so key, a column that names a sample,
+    need not be unique.
     """
     lacking = [a.name for a in axes if a.name not in samples.columns]
     if lacking:
         raise ValueError(f"samples lack {lacking}; every dimension of the grid must be matched")
     if how not in ("lin", "nn"):
         raise ValueError(f"how is lin or nn, not {how!r}")
-    side = samples if missing_sample is None else samples.where(F.col(missing_sample).isNotNull())
-    corners = _corners(side.select(key, *[a.name for a in axes]), axes, how, extrapolate)
-    ids = [f"{a.name}_i" for a in axes]
-    need = 1
+    out = samples.drop(*[v for v in variables if v in samples.columns], *extra_dims)
+    kept, inside = out.columns, F.lit(True) if missing_sample is None else F.col(missing_sample).isNotNull()
     for a in axes:
-        need *= 1 if how == "nn" or len(a) == 1 else 2
-    met = corners.select(key, "_w", *ids).join(grid.select(*ids, *extra_dims, *variables), ids)
-    found = met.groupBy(key, *extra_dims).agg(*[F.when(F.count(v) == need, F.sum(F.col("_w") * F.col(v))).alias(v) for v in variables])
-    return samples.drop(*[v for v in variables if v in samples.columns]).join(found, key, "left")
+        x, w = F.col(a.name).cast("double"), _wrapped(a)
+        out = out.withColumn(f"_x_{a.name}", wrap_longitude(x, w.points[0]) if a.cyclic else x)
+        out = _interval(out, w, f"_x_{a.name}", f"_i_{a.name}", f"_u_{a.name}")
+        x = F.col(f"_x_{a.name}")
+        inside = inside & (x.isNotNull() if extrapolate else (x >= w.points[0]) & (x <= w.points[-1]))
+    ids, several = [f"_i_{a.name}" for a in axes], [a for a in axes if len(a) > 1]
+    if how == "nn":
+        for a in several:
+            i = F.col(f"_i_{a.name}") + (~(F.col(f"_u_{a.name}") <= 0.5)).cast("int")
+            out = out.withColumn(f"_i_{a.name}", i % len(a) if a.cyclic else i)
+        cells = grid.select(*[F.col(f"{a.name}_i").cast("int").alias(f"_i_{a.name}") for a in axes], *extra_dims, *[F.col(v).alias(f"_v_{v}") for v in variables])
+    else:
+        cells = bundles(grid, variables, axes, extra_dims)
+    # Samples outside have no interval, and stay as a left join's unmatched rows.
+    out = out.withColumns({i: F.when(inside, F.col(i)) for i in ids}).join(cells, ids, "left")
+    if how == "nn" or not several:
+        found = [(F.col(f"_v_{v}") if how == "nn" else F.col(f"_v_{v}")[0]).alias(v) for v in variables]
+    else:
+        weights = [F.lit(1.0)]
+        for a in several:
+            u = F.col(f"_u_{a.name}")
+            weights = [w * x for w in weights for x in (1 - u, u)]
+        found = [reduce(add, [w * F.col(f"_v_{v}")[c] for c, w in enumerate(weights)]).alias(v) for v in variables]
+    return out.select(*kept, *extra_dims, *found)
 
 
 def onto_grid(grid: DataFrame, variables: list[str], axes: list[Axis], target: list[Axis], how: str = "lin", *, extrapolate: bool = False, extra_dims: list[str] = (), missing_grid: DataFrame | None = None) -> DataFrame:
