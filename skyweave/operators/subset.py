@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NoDataInSubsetError
-from ..functions.geo import parse_polygon, polygon_box, polygon_contains, wrap_longitude
+from ..functions.geo import parse_polygon, polygon_box, wrap_longitude
 from ..functions.names import find_coordinate
 from ..functions.time import PartialDateTime, limit_days
+from .polygon import mark_inside
 
 
 def _limits(x) -> tuple:
@@ -60,9 +61,11 @@ def subset(df: DataFrame, shape: str | None = None, where: Column | None = None,
             test = test & (F.col(column) <= hi)
     if shape is not None:
         rings = parse_polygon(shape)
-        x, y = F.col(find_coordinate(df, "longitude")), F.col(find_coordinate(df, "latitude"))
+        x, y = find_coordinate(df, "longitude"), find_coordinate(df, "latitude")
         x1, y1, x2, y2 = polygon_box(rings)
-        test = test & x.between(x1, x2) & y.between(y1, y2) & polygon_contains(rings, x, y)
+        # The box is tested first, where a scan may use it.
+        out = mark_inside(out.where(test & F.col(x).between(x1, x2) & F.col(y).between(y1, y2)), rings, x, y, "_inside")
+        out, test = out.where("_inside").drop("_inside"), F.lit(True)
     if where is not None:
         test = test & where
     return out.where(test)
@@ -96,8 +99,8 @@ def subset_grid(df: DataFrame, variables: list[str], shape: str | None = None, *
     out = out.where(test)
     if shape is not None:
         rings = parse_polygon(shape)
-        inside = polygon_contains(rings, F.col("longitude"), F.col("latitude"))
-        out = out.withColumns({v: F.when(inside, F.col(v)) for v in variables})
+        out = mark_inside(out, rings, "longitude", "latitude", "_inside")
+        out = out.withColumns({v: F.when(F.col("_inside"), F.col(v)) for v in variables}).drop("_inside")
     return out
 
 
