@@ -140,6 +140,21 @@ def subset_shape(spark, d):
     return subset(points(spark, d), shape=POLYGON).select("event_id", "latitude", "longitude", "v")
 
 
+#: A coast of 2 x 2000 edges: two zigzag lines, joined at their ends.
+COAST = [*((-120.0 + 240.0 * k / 2000, 40.0 + k * 7919 % 23) for k in range(2001)), *((-120.0 + 240.0 * k / 2000, -35.0 - k * 7907 % 19) for k in range(2000, -1, -1)), (-120.0, 40.0)]
+COAST_SQL = """ring AS (SELECT k, -120.0::DOUBLE + 240.0::DOUBLE * k / 2000 AS x, 40.0::DOUBLE + k * 7919 % 23 AS y FROM generate_series(0, 2000) AS g(k)
+ UNION ALL SELECT 4001 - k, -120.0::DOUBLE + 240.0::DOUBLE * k / 2000, -35.0::DOUBLE - k * 7907 % 19 FROM generate_series(0, 2000) AS g(k) UNION ALL SELECT 4002, -120.0::DOUBLE, 40.0::DOUBLE),
+ edges AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ring a JOIN ring b ON b.k = a.k + 1),
+ odd AS (SELECT event_id FROM points JOIN edges ON latitude >= least(y1, y2) AND latitude < greatest(y1, y2) AND longitude < x1 + (latitude - y1) * ((x2 - x1) / (y2 - y1)) GROUP BY event_id HAVING count(*) % 2 = 1),
+ edge AS (SELECT DISTINCT event_id FROM points JOIN edges ON longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2) AND (longitude - x1) * (y2 - y1) = (latitude - y1) * (x2 - x1))"""
+
+
+@query(f"{COAST_SQL} SELECT event_id, {r('latitude', 'longitude', 'v')} FROM points WHERE event_id IN (FROM odd) AND event_id NOT IN (FROM edge)")
+def subset_shape_coast(spark, d):
+    wkt = "POLYGON ((" + ", ".join(f"{x!r} {y!r}" for x, y in COAST) + "))"
+    return subset(points(spark, d), shape=wkt).select("event_id", "latitude", "longitude", "v")
+
+
 @query(f"SELECT event_id, {r('latitude', 'altitude', 'air_pressure', 'v')} FROM points WHERE abs(latitude) + abs(longitude) < 55 AND altitude BETWEEN 1000 AND 9000 AND air_pressure >= 200 AND v > 20")
 def subset_multi(spark, d):
     return subset(points(spark, d), shape=POLYGON, z=(1000, 9000), p=(200, None), where=F.col("v") > 20).select("event_id", "latitude", "altitude", "air_pressure", "v")
@@ -362,6 +377,19 @@ def bin_onto_grid(spark, d):
     return co.bin_onto(points(spark, d), ["v_m"], [Axis.bounded("latitude", UNEVEN)]).select("latitude_i", "v_m", "v_m_std_dev", "v_m_num_points")
 
 
+#: 200,000 cells whose steps grow with their number, a part of each step in none.
+LONG_AXIS = 200_000
+
+
+@query(f"""cells AS (SELECT (k - 1)::INTEGER AS latitude_i, (k * k) / 268435456.0::DOUBLE - 90 AS lo, (k * k + k) / 268435456.0::DOUBLE - 90 AS hi FROM generate_series(1, {LONG_AXIS}) AS g(k)),
+ held AS (SELECT c.latitude_i, p.v, p.latitude < c.hi AS inside FROM points p ASOF JOIN cells c ON p.latitude >= c.lo), g AS (SELECT latitude_i, sum(v) AS v FROM held WHERE inside GROUP BY latitude_i)
+ SELECT latitude_i, round(lo, 8) AS latitude_lo, round(v, 8) AS v FROM cells LEFT JOIN g USING (latitude_i)""")
+def bin_long_axis(spark, d):
+    """Bins of a long axis of uneven cells with gaps."""
+    cells = [(k * k / 2.0**28 - 90, (k * k + k) / 2.0**28 - 90) for k in range(1, LONG_AXIS + 1)]
+    return co.bin_onto(points(spark, d), ["v"], [Axis.bounded("latitude", cells)], "sum").select("latitude_i", "latitude_lo", "v")
+
+
 @query(f"{GRID}, b AS (SELECT floor((latitude + 90) / 10)::INTEGER AS y, floor((longitude + 180) / 20)::INTEGER AS x, max(w) AS w FROM points GROUP BY ALL) SELECT grid.y AS latitude_i, grid.x AS longitude_i, round(CASE WHEN (grid.y + grid.x) % 3 <> 0 THEN w END, 8) AS w FROM grid LEFT JOIN b ON b.y = grid.y AND b.x = grid.x")
 def bin_missing_sample(spark, d):
     mask = spine(spark, GRID_AXES).select("cell", ((F.col("latitude_i") + F.col("longitude_i")) % 3 == 0).alias("missing"))
