@@ -93,6 +93,42 @@ def densify_track(df: DataFrame, order: str, columns: list[str], times: int, gro
     return out
 
 
+def densify_swath(df: DataFrame, row: str, column: str, columns: list[str], times: int, group: list[str], lines: int = 64) -> DataFrame:
+    """`times` by `times` points from each of a swath, linear along and across it and centred on the points that are there.
+
+    row, column: whole numbers that place a point in its swath; group: keys of swaths. Adds sub_row and sub_column (0 .. times - 1).
+    Points beyond the outermost centres, or beside a place without a point, are NULL, as nothing lies between. times is odd. A swath is
+    cut into ranges of `lines` scan lines, and each passes its first and last line to its neighbours; so any length is several tasks.
+    """
+    if times < 1 or times % 2 == 0:
+        raise ValueError("an odd number of points is needed")
+    r, at = F.col(row), F.floor(F.col(row) / lines)
+    foot = F.pmod(r, F.lit(lines))
+    ranges = F.array_compact(F.array(at, F.when(foot == 0, at - 1), F.when(foot == lines - 1, at + 1)))
+    out = df.withColumn("_range", F.explode(ranges)).repartition(*group, "_range")
+    across = Window.partitionBy(*group, "_range", row).orderBy(column)
+    along = Window.partitionBy(*group, "_range", column).orderBy(row)
+    half = times // 2
+
+    def between(x: Column, before: Column, after: Column) -> Column:
+        """The values of sub-points from one value to its neighbours' sides."""
+        ways = [x + (x - before) * (F.lit(k) / times) if k < 0 else x if k == 0 else x + (after - x) * (F.lit(k) / times) for k in range(-half, half + 1)]
+        return F.array(*ways)
+
+    def beside(c: str, n: int, over, place: str) -> Column:
+        return F.when(F.lag(place, n).over(over) == F.col(place) - n, F.lag(c, n).over(over))
+
+    out = out.withColumns({f"_a_{c}": between(F.col(c), beside(c, 1, across, column), beside(c, -1, across, column)) for c in columns})
+    near = {f"_{k}_{c}": beside(f"_a_{c}", n, along, row) for c in columns for k, n in (("p", 1), ("n", -1))}
+    out = out.withColumns(near).where(F.col("_range") == at)
+    out = out.withColumn("sub_row", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("sub_column", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    share = (F.col("sub_row") - half) / times
+    for c in columns:
+        x, p, n = (F.get(f"_{k}_{c}", F.col("sub_column")) for k in "apn")
+        out = out.withColumn(c, F.when(share < 0, x + (x - p) * share).when(share > 0, x + (n - x) * share).otherwise(x))
+    return out.drop("_range", *[f"_{k}_{c}" for c in columns for k in "apn"])
+
+
 def ingest(df: DataFrame, coords: list[str], variables: list[str]) -> DataFrame:
     """NaN to NULL in coordinates and variables; rows with a missing coordinate go."""
     types = dict(df.dtypes)

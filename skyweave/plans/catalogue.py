@@ -112,6 +112,19 @@ def densify_track(spark, d):
     return decode.densify_track(e, "event_id", ["value"], 5, ["user_id"]).select("user_id", "event_id", "sub", "value")
 
 
+_side = "CASE WHEN {k} < 2 THEN {x} + ({x} - {p}) * (({k} - 2) / 5.0::DOUBLE) WHEN {k} = 2 THEN {x} ELSE {x} + ({n} - {x}) * (({k} - 2) / 5.0::DOUBLE) END"
+
+
+@query(f"""s AS (SELECT event_id // 1000 AS g, event_id % 1000 // 10 AS r, event_id % 10 AS c, event_id, value FROM events),
+ a AS (SELECT s.g, s.r, s.c, s.event_id, k AS sub_column, {_side.format(k='k', x='s.value', p='p.value', n='n.value')} AS x FROM s LEFT JOIN s p ON p.g = s.g AND p.r = s.r AND p.c = s.c - 1 LEFT JOIN s n ON n.g = s.g AND n.r = s.r AND n.c = s.c + 1, generate_series(0, 4) AS q(k))
+ SELECT a.event_id, j::INTEGER AS sub_row, a.sub_column::INTEGER AS sub_column, round({_side.format(k='j', x='a.x', p='p.x', n='n.x')}, 8) AS value FROM a LEFT JOIN a p ON p.g = a.g AND p.r = a.r - 1 AND p.c = a.c AND p.sub_column = a.sub_column LEFT JOIN a n ON n.g = a.g AND n.r = a.r + 1 AND n.c = a.c AND n.sub_column = a.sub_column, generate_series(0, 4) AS q(j)""")
+def densify_swath(spark, d):
+    """Events as swaths of 100 lines with 10 points each, made five times as dense both ways."""
+    k = F.col("event_id")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value", F.floor(k / 1000).alias("swath"), F.floor(k % 1000 / 10).alias("line"), (k % 10).alias("pixel"))
+    return decode.densify_swath(e, "line", "pixel", ["value"], 5, ["swath"]).select("event_id", "sub_row", "sub_column", "value")
+
+
 @query("SELECT event_id, round(altitude / 1000, 8) AS km, round(air_pressure * 100, 8) AS pa, round(v - 273.15, 8) AS celsius FROM points")
 def convert_units(spark, d):
     return points(spark, d).select("event_id", units.convert(F.col("altitude"), "m", "km").alias("km"), units.convert(F.col("air_pressure"), "hPa", "Pa").alias("pa"), units.convert(F.col("v"), "K", "degC").alias("celsius"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FileFormatError, InvalidVariableError
 from ..functions import decode
-from ..functions.time import cf_time, julian_days, parse_datetime, seconds_since, to_days
+from ..functions.time import UNIT_DAYS, cf_time, julian_days, parse_datetime, seconds_since, to_days
 from .products import Product, register
 
 Attributes = dict[str, dict[str, str]]
@@ -35,7 +35,7 @@ CALIOP_FILLS = {"Float_32": -9999.0, "Int_16": -9999.0, "Int_32": -9999.0, "UInt
 EARTHCARE_SUFFIXES = ("_CLASSNUM_", "_AEROSOL_COMPONENTSNUM_", "_BANDNUM_", "_BACKGROUNDNUM_")
 GRAVITY = 9.80665
 #: Attributes that decoding may use. Others, as titles and histories, tell no two kinds of files apart.
-USED = ("_fillvalue", "fillvalue", "missing_value", "missing", "missop", "valid_min", "valid_max", "valid_range", "scale_factor", "add_offset", "factor", "offset", "format", "units", "long_name", "standard_name", "bounds", "length", "dimension")
+USED = ("_fillvalue", "fillvalue", "missing_value", "missing", "missop", "valid_min", "valid_max", "valid_range", "scale_factor", "add_offset", "factor", "offset", "format", "units", "long_name", "standard_name", "bounds", "length", "dimension", "dimensions")
 TAI_START = dt.datetime(1993, 1, 1)
 
 
@@ -107,6 +107,14 @@ class Extracted(Product):
         """Coordinates that hold for a whole file, from its own attributes."""
         return {}
 
+    def named(self, own: dict[str, str], names: list[str]) -> dict[str, tuple[str, ...]]:
+        """Datasets that hold coordinates, of those that there are, by the file's own attributes."""
+        return self.coords
+
+    def decisive(self, own: dict[str, str]) -> tuple:
+        """What of a file's own attributes named() looks at; files that differ in it are scans of their own."""
+        return ()
+
     def chosen(self, names: list[str], a: Attributes) -> list[str]:
         """Datasets that are variables."""
         return names
@@ -120,9 +128,9 @@ class Extracted(Product):
         kinds: dict[tuple, list[str]] = {}
         for folder, a in every.items():
             rest = tuple(sorted((v, k, x) for v, own in a.items() if v for k, x in own.items()))
-            kinds.setdefault((rest, tuple(sorted(self.whole(a.get("", {}))))), []).append(folder)
+            kinds.setdefault((rest, tuple(sorted(self.whole(a.get("", {})))), self.decisive(a.get("", {}))), []).append(folder)
         out = None
-        for (rest, names), folders in kinds.items():
+        for (rest, names, decisive), folders in kinds.items():
             a: Attributes = {}
             for v, k, x in rest:
                 a.setdefault(v, {})[k] = x
@@ -132,17 +140,18 @@ class Extracted(Product):
                 rows = [(f, *[self.whole(every[f].get("", {}))[n] for n in names]) for f in folders]
                 file = spark.createDataFrame(rows, "_folder string, " + ", ".join(f"`_w_{n}` double" for n in names))
                 df = df.withColumn("_folder", F.regexp_replace("_metadata.file_path", "/values/[^/]*$", "")).join(F.broadcast(file), "_folder").drop("_folder")
-            one = self.cells(df, a, {n: F.col(f"_w_{n}") for n in names})
+            one = self.cells(df, a, {n: F.col(f"_w_{n}") for n in names}, dict(decisive))
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         for p in bare:
-            one = self.cells(spark.read.parquet(f"{p}/values"), {}, {})
+            one = self.cells(spark.read.parquet(f"{p}/values"), {}, {}, {})
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         return out
 
-    def cells(self, df: DataFrame, a: Attributes, whole: dict[str, Column]) -> DataFrame:
-        """Decoded rows of files that share the attributes `a`; whole: what holds for a file, as columns of df named _w_<coordinate>."""
+    def cells(self, df: DataFrame, a: Attributes, whole: dict[str, Column], own: dict[str, str]) -> DataFrame:
+        """Decoded rows of files that share the attributes `a`; whole: what holds for a file, as columns of df named _w_<coordinate>; own:
+        files' own attributes that are decisive."""
         types, found, used = dict(df.dtypes), {}, set()
-        for c, names in self.coords.items():
+        for c, names in self.named(own, df.columns).items():
             name = next((n for n in names if n in types), None)
             if name is not None:
                 x = F.col(f"`{name}`")
@@ -155,10 +164,12 @@ class Extracted(Product):
                         x = self.decoded(F.try_element_at(F.col(f"`{b}`"), F.lit(i + 1)).cast("double"), a.get(name, {}))
                         found[f"{c}_{end}"] = self.time(x, a, name) if c == "time" else x
                     used.add(b)
-        found |= self.more(df, a) | whole
+        found |= self.more(df, a) | {c: x for c, x in whole.items() if not c.startswith("_")}
         used |= {f"_w_{c}" for c in whole}
         if "latitude" not in found or "longitude" not in found:
             raise FileFormatError(f"no latitude and longitude among the datasets {df.columns}")
+        if "_origin" in whole and (units := next((a.get(n, {}).get("units", "") for n in df.columns if n in used and n in self.named(own, df.columns).get("time", ())), "")) and "since" not in units:
+            found["time"] = F.col("_w__origin") + found["time"] * F.lit(UNIT_DAYS[units.split()[0].lower().rstrip("s")])
         variables = []
         for n in self.chosen([n for n in df.columns if n not in used], a):
             variables += self.variable(n, F.col(f"`{n}`"), types[n], a.get(n, {}), df)
@@ -189,15 +200,53 @@ class CloudSat(Extracted):
 
 @register
 class ModisL2(Extracted):
-    """Swaths of 5 km. Datasets of 1 km have points from decode.densify_track, made before extraction."""
+    """Swaths of 5 km. A dataset of 1 km, whose `dimensions` say so, is an array of the 25 values in a point of 5 km, line by line; `_line`
+    and `_pixel` then place the points of 5 km in the swath. It has a row for each value, with places between those of 5 km; outside the
+    outermost of these there is no place, and no row."""
 
     name, signatures = "MODIS_L2", (r".*M[YO]D0[64]_L2.*\.hdf",)
     coords = {"longitude": ("Longitude",), "latitude": ("Latitude",), "time": ("Scan_Start_Time",)}
     decoded = staticmethod(decode_modis)
+    times = 5
 
     def time(self, v, a, name):
         return seconds_since(v, TAI_START)
 
+    def fine(self, a: Attributes, names: list[str]) -> list[str]:
+        return [n for n in names if "1km" in a.get(n, {}).get("dimensions", "")]
+
+    def chosen(self, names, a):
+        return [n for n in names if n not in ("_line", "_pixel", "_file")]
+
+    def cells(self, df, a, whole, own):
+        if not self.fine(a, df.columns):
+            return super().cells(df, a, whole, own)
+        if not {"_line", "_pixel"} <= set(df.columns):
+            raise FileFormatError("datasets of 1 km need _line and _pixel, which place their points")
+        # A file's folder, as it may be several parts.
+        return super().cells(df.withColumn("_file", F.regexp_replace("_metadata.file_path", "/values/[^/]*$", "")), a, whole, own)
+
+    def variable(self, name, v, kind, a, df):
+        if "1km" not in a.get("dimensions", ""):
+            return super().variable(name, v, kind, a, df)
+        place = [F.col(c).alias(c) for c in ("_file", "_line", "_pixel")]
+        meta = {k: a[k] for k in ("units", "long_name", "standard_name") if k in a}
+        values = F.transform(v, lambda x: self.decoded(x.cast("double"), a))
+        return [F.struct(*place, values.alias("values")).alias(name, metadata=meta | {"fine": "1km"})]
+
+    def spread(self, df):
+        fine = [f.name for f in df.schema.fields if (f.metadata or {}).get("fine") == "1km"]
+        if not fine:
+            return df
+        meta = {n: {k: v for k, v in df.schema[n].metadata.items() if k != "fine"} for n in fine}
+        out = df.withColumns({c: F.col(fine[0])[c] for c in ("_file", "_line", "_pixel")})
+        out = decode.densify_swath(out, "_line", "_pixel", ["latitude", "longitude"], self.times, ["_file"])
+        k = F.col("sub_row") * self.times + F.col("sub_column")
+        out = out.withColumns({n: F.get(F.col(n)["values"], k) for n in fine}).drop("_file", "_line", "_pixel", "sub_row", "sub_column")
+        for n, m in meta.items():
+            out = out.withMetadata(n, m)
+        return out
+
 
 @register
 class ModisL3(Extracted):
@@ -295,23 +344,102 @@ class AerosolCciL3(CciL3):
 
 @register
 class NcarRaf(Extracted):
-    """Flights, ships and fixed stations: coordinates are datasets of usual names or, for a station, the file's own attributes."""
+    """Flights, ships and fixed stations. A file's own attributes name its coordinates:
+
+    * Time_Coordinate with Latitude_Coordinate, Longitude_Coordinate and, if heights vary, Vertical_Coordinate (else altitude is 0)
+    * Time_Coordinate with Station_Lat, Station_Lon and, perhaps, Station_Altitude (else 0), which hold for the whole file
+    * Coordinates, the names of longitude, latitude, altitude and time
+
+    Files without any of these have datasets of usual names. Air pressure is PSXC or else PRE. Times whose units have no "since" count
+    from Time_Stamp_Info. A variable may have one dimension beside time (its `dimensions`, the last of which is that): it is an array, and
+    has a row for each of its values, with the dataset of that dimension as a further column.
+    """
 
     name, signatures, priority = "NCAR_NetCDF_RAF", (r".*\.nc",), 20
-    coords = {"longitude": ("LONC", "LON", "longitude", "Longitude", "lon"), "latitude": ("LATC", "LAT", "latitude", "Latitude", "lat"), "altitude": ("GGALT", "ALT", "altitude", "Altitude"), "air_pressure": ("PSXC", "PSX", "pressure", "air_pressure"), "time": ("Time", "time")}
+    coords = {"longitude": ("LONC", "LON", "longitude", "Longitude", "lon"), "latitude": ("LATC", "LAT", "latitude", "Latitude", "lat"), "altitude": ("GGALT", "ALT", "altitude", "Altitude"), "air_pressure": ("PSXC", "PSX", "PRE", "pressure", "air_pressure"), "time": ("Time", "time")}
+    #: Attributes that name one coordinate, and the order of those in Coordinates.
+    naming = {"time": "time_coordinate", "latitude": "latitude_coordinate", "longitude": "longitude_coordinate", "altitude": "vertical_coordinate"}
+    best = ("longitude", "latitude", "altitude", "time")
+    pressures = ("PSXC", "PRE")
 
     def errors(self, spark, path):
         try:
-            own = self.attributes(spark, path).get("", {})
+            own = {k.lower(): v for k, v in self.attributes(spark, path).get("", {}).items()}
         except Exception as x:  # not an extracted file
             return [f"{path}: {type(x).__name__}"]
-        return [] if "GASSP_Version" in own or "RAF" in own.get("Conventions", "") else [f"{path}: neither GASSP_Version nor a RAF convention"]
+        return [] if "gassp_version" in own or "RAF" in own.get("conventions", "") else [f"{path}: neither GASSP_Version nor a RAF convention"]
+
+    def decisive(self, own):
+        low = {k.lower(): v for k, v in own.items()}
+        # That there is a station's place decides, not where it is.
+        return tuple((k, low[k] if k != "station_lat" else "") for k in sorted((*self.naming.values(), "coordinates", "station_lat")) if k in low)
+
+    def named(self, own, names):
+        if "time_coordinate" in own:
+            fixed = "latitude_coordinate" not in own
+            if fixed and "station_lat" not in own:
+                raise InvalidVariableError("no attribute says the latitude: neither Latitude_Coordinate nor Station_Lat")
+            asked = {c: own.get(k) for c, k in self.naming.items() if not fixed or c == "time"}
+            if not fixed and asked["longitude"] is None:
+                raise InvalidVariableError("no attribute Longitude_Coordinate beside that of latitude")
+        elif "coordinates" in own:
+            if len(found := own["coordinates"].split()) != len(self.best):
+                raise InvalidVariableError(f"Coordinates should name {' '.join(self.best)}, not {own['coordinates']!r}")
+            asked = dict(zip(self.best, found))
+        else:
+            return self.coords
+        if lacking := [n for n in asked.values() if n is not None and n not in names]:
+            raise InvalidVariableError(f"no datasets of the coordinates {lacking}")
+        return {c: (n,) for c, n in asked.items() if n is not None} | {"air_pressure": self.pressures}
 
     def whole(self, own):
-        out = {}
-        for c, key in (("latitude", "Station_Lat"), ("longitude", "Station_Lon"), ("altitude", "Station_Altitude")):
-            if m := re.match(r"\s*([-+]?[\d.]+)\s*([NSEW]?)", own.get(key, "")):
-                out[c] = float(m[1]) * (-1 if m[2] in ("S", "W") else 1)
+        own, out = {k.lower(): v for k, v in own.items()}, {}
+        if "latitude_coordinate" not in own and ("time_coordinate" in own or "coordinates" not in own):
+            for c, key in (("latitude", "station_lat"), ("longitude", "station_lon"), ("altitude", "station_altitude")):
+                if m := re.match(r"\s*([-+]?\d*\.?\d+)\s*([NSEW]?)", own.get(key, "")):
+                    out[c] = float(m[1]) * (-1 if m[2] in ("S", "W") else 1)
+                elif c != "altitude" and "station_lat" in own:
+                    raise InvalidVariableError(f"a fixed station, but {key} is {own.get(key)!r}")
+        if "time_coordinate" in own and "vertical_coordinate" not in own:
+            out.setdefault("altitude", 0.0)  # ships, and stations that do not say
+        if "time_stamp_info" in own:
+            out["_origin"] = to_days(parse_datetime(own["time_stamp_info"].strip()).min())
+        return out
+
+    def chosen(self, names, a):
+        held = {x.get("auxiliary") for x in a.values()}
+        return [n for n in names if n not in held]
+
+    def variable(self, name, v, kind, a, df):
+        if not kind.startswith("array") or not a.get("auxiliary"):
+            return super().variable(name, v, kind, a, df)
+        held = F.col(f"`{a['auxiliary']}`")
+        value = lambda x, i: F.struct(F.try_element_at(held, i + 1).cast("double").alias("at"), self.decoded(x.cast("double"), a).alias("value"))
+        return [F.transform(v, value).alias(name, metadata={"auxiliary": a["auxiliary"]} | {k: a[k] for k in ("units", "long_name", "standard_name") if k in a})]
+
+    def cells(self, df, a, whole, own):
+        dims = {n: a.get(n, {}).get("dimensions", "").split() for n, t in df.dtypes if t.startswith("array")}
+        for n, d in dims.items():
+            if len(d) > 2:
+                raise InvalidVariableError(f"{n} has dimensions {d}; one beside time is all that can be read")
+            if len(d) == 2:
+                # The dataset of the dimension's own name, or the first that has it alone.
+                held = next((m for m in (d[1], *df.columns) if dims.get(m) == [d[1]]), None)
+                a = a | {n: a[n] | ({} if held is None else {"auxiliary": held})}
+        return super().cells(df, a, whole, own)
+
+    def spread(self, df):
+        held = {f.name: f.metadata["auxiliary"] for f in df.schema.fields if "auxiliary" in (f.metadata or {})}
+        if len(set(held.values())) > 1:
+            raise InvalidVariableError(f"variables along several dimensions: {held}")
+        if not held:
+            return df
+        first, meta = next(iter(held)), {n: {k: v for k, v in df.schema[n].metadata.items() if k != "auxiliary"} for n in held}
+        out = df.withColumn("_k", F.explode(F.transform(first, lambda _, i: i)))
+        out = out.withColumn(held[first], F.get(first, F.col("_k"))["at"])
+        out = out.withColumns({n: F.get(n, F.col("_k"))["value"] for n in held}).drop("_k")
+        for n, m in meta.items():
+            out = out.withMetadata(n, m)
         return out
 
 

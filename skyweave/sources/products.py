@@ -32,6 +32,10 @@ class Product:
     def scan(self, spark: SparkSession, paths: list[str]) -> DataFrame:
         raise NotImplementedError
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The chosen variables with a row for each point that they have beside the file's own."""
+        return df
+
     def matches(self, path: str) -> bool:
         base = path.rstrip("/").rsplit("/", 1)[-1]
         return any(re.fullmatch(s, base, re.I) for s in self.signatures)
@@ -156,8 +160,9 @@ def read(spark: SparkSession, paths: str | Iterable[str], names: list[str] | str
     found = _paths(paths)
     if not found:
         raise FileFormatError("no files")
-    df = find_product(spark, found[0], product).scan(spark, found)
-    out = select_variables(df, [names] if isinstance(names, str) else list(names), aliases)
+    kind = find_product(spark, found[0], product)
+    df = kind.scan(spark, found)
+    out = kind.spread(select_variables(df, [names] if isinstance(names, str) else list(names), aliases))
     coords = coordinates(out)
     values = [c for c in out.columns if c not in coords]
     present = [c for c in coords if c != "altitude" or not _all_null(df, c)]
