@@ -3,7 +3,8 @@
 Words are runs of letters and digits after lower-casing A-Z and dropping ASCII punctuation. An n-gram of a
 test item is a seed if, from the counts of its words over all documents, chance alone would hardly ever make it;
 so a passage copied into thousands of documents keeps its seeds. A seed in a document aligns the item with the
-words round it. Items are taken in blocks of a bounded number of words, each block broadcast.
+words round it. An item whose seeds a few edits can break is aligned with whole texts that share enough of its words.
+Items are taken in blocks of a bounded number of words, each block broadcast; equal items are one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import kept, slices, table, texts
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Lengths of seeds. Items whose seeds fewer edits than one in so many words can break are aligned with whole texts.
+SEED_WORDS, WORDS_AN_EDIT = (2, 3, 4), 8
 
 
 def words(text: str) -> list[bytes]:
@@ -47,25 +50,36 @@ class Block:
     """A block of items and its seeds; the same object serves all tasks of a worker."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], total: int, least_share: float, rare: float):
-        self.items, self.least_share = items, least_share
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        self.coded = [np.array([self.vocab[w] for w in ws], np.int64) for _, ws in items]
+        self.least_share = least_share
+        same: dict[tuple, list[int]] = {}
+        for i, ws in items:
+            same.setdefault(tuple(ws), []).append(i)
+        self.ids = list(same.values())
+        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for ws in same for w in ws}))}
+        self.coded = [np.array([self.vocab[w] for w in ws], np.int64) for ws in same]
         self.base = len(self.vocab) + 1
         log_p = np.zeros(self.base)
         for w, i in self.vocab.items():
             log_p[i] = np.log10((counts.get(w, 0) + 1) / (total + 1))
-        # A seed's expected number of chance places is at most `rare` a million words.
-        self.keys, self.where = {}, {}
-        for n in (2, 3, 4):
-            found: dict[int, list[tuple[int, int]]] = {}
-            for k, c in enumerate(self.coded):
-                for j in range(len(c) - n + 1):
-                    if log_p[c[j : j + n]].sum() + 6 <= np.log10(rare):
-                        found.setdefault(self._key(c[j : j + n]), []).append((k, j))
-            self.keys[n], self.where[n] = np.array(sorted(found), np.int64), found
-        # Items too short or too plain for a seed are aligned with whole texts.
-        seeded = {k for found in self.where.values() for at in found.values() for k, _ in at}
-        self.whole = {k: np.unique(self.coded[k], return_counts=True) for k in range(len(items)) if k not in seeded}
+        # A seed's expected number of chance places is at most `rare` a million words. Of those that begin at a word the shortest serves.
+        self.where: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in SEED_WORDS}
+        apart = [0] * len(self.coded)
+        for k, c in enumerate(self.coded):
+            ends = []
+            for j in range(len(c)):
+                n = next((n for n in SEED_WORDS if j + n <= len(c) and log_p[c[j : j + n]].sum() + 6 <= np.log10(rare)), None)
+                if n:
+                    self.where[n].setdefault(self._key(c[j : j + n]), []).append((k, j))
+                    ends.append((j + n, j))
+            # As many edits as there are seeds without a word in common break them all; fewer leave one.
+            last = 0
+            for end, j in sorted(ends):
+                if j >= last:
+                    apart[k], last = apart[k] + 1, end
+        self.whole = {k: np.unique(c, return_counts=True) for k, c in enumerate(self.coded) if apart[k] * WORDS_AN_EDIT < len(c)}
+        for n, found in self.where.items():
+            self.where[n] = {g: rest for g, at in found.items() if (rest := [x for x in at if x[0] not in self.whole])}
+        self.keys = {n: np.array(sorted(found), np.int64) for n, found in self.where.items()}
 
     def _key(self, gram) -> int:
         out = 0
@@ -107,7 +121,7 @@ class Block:
                 continue
             score, end = align(self.coded[item], c)
             if score / (MATCH * size) >= self.least_share:
-                out.append((self.items[item][0], score / (MATCH * size), max(0, end - size), end, size))
+                out += [(i, score / (MATCH * size), max(0, end - size), end, size) for i in self.ids[item]]
         for item, at in places.items():
             own, best = self.coded[item], (0, 0, 0)
             pad, size = len(own) // 2 + 4, len(own)
@@ -122,8 +136,8 @@ class Block:
                     best = score, max(lo, lo + end - size), lo + end
             share = best[0] / (MATCH * size)
             if share >= self.least_share:
-                out.append((self.items[item][0], share, best[1], best[2], size))
-        return sorted(out)
+                out += [(i, share, best[1], best[2], size) for i in self.ids[item]]
+        return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -165,7 +179,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_share: float =
     """doc_id, item_id, share, first_word, end_word: whole documents that hold test items, exact or edited.
 
     share is the Smith-Waterman score (match 2, mismatch and gap -1) over the item's best possible; rows have least_share
-    or more. Null and empty texts and items give no row; null or repeated doc_ids and repeated items give a row each; very long texts are
+    or more. A copy with fewer edits than one in eight of the item's words is always found, and of others those that keep one of
+    the item's seeds; items with few seeds are compared with all texts at any number of edits. Null and empty texts and items give no row; null or repeated doc_ids and repeated items give a row each; very long texts are
     searched whole, round their seeds; other columns are ignored.
     """
     schema = "doc_id bigint, item_id bigint, share double, first_word bigint, end_word bigint, item_words bigint"

@@ -85,6 +85,41 @@ def _counts(rows):
     return n, sum(n.values())
 
 
+def test_items_of_common_words_and_one_rare_word(spark, make):
+    """Seeds round the one rare word go with it; the item is aligned with whole texts instead. Equal items are aligned once."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(25)]
+    ws = [common[k] for k in rng.integers(0, 25, 22)]
+    item = [*ws[:11], "quixotic", *ws[11:]]
+    rows = [(i, " ".join(common[k] for k in rng.integers(0, 25, 400))) for i in range(60)]
+    rows += [(100, " ".join(item)), (101, " ".join(["z", *ws[:11], "other", *ws[11:], "z"])), (102, " ".join(ws[:11] + ws[11:]))]
+    block = decontam.Block([(7, [w.encode() for w in item])], *_counts(rows), 0.5, 0.05)
+    assert any(block.where.values()) or block.whole
+    want = {(d, i): s for d, t in rows if (s := slow_share([w.encode() for w in item], decontam.words(t))) >= 0.5 for i in (7, 8)}
+    assert {(101, 7), (102, 8)} <= set(want)
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item).upper())], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.share for r in decontam.contaminated(make(rows), bench).collect()} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_copies_with_few_edits_keep_a_seed(seed):
+    """Fewer edits than one in eight words, wherever they are: substituted, left out or put in."""
+    rng = np.random.default_rng(seed)
+    names = [f"n{i}".encode() for i in range(400)]
+    p = 1 / np.arange(1, 401)
+    draw = lambda n: [names[k] for k in rng.choice(400, n, p=p / p.sum())]
+    text, item = draw(20_000), draw(int(rng.integers(9, 50)))
+    counts = Counter(text)
+    block = decontam.Block([(1, item)], counts, len(text), 0.5, 0.05)
+    copy = list(item)
+    for _ in range((len(item) - 1) // 8):
+        k, how = int(rng.integers(len(copy))), rng.integers(3)
+        copy[k : k + 1] = [[b"odd"], [], [copy[k], b"odd"]][how]
+    found = block.search(b" ".join([*draw(30), *copy, *draw(30)]).decode())
+    assert found and found[0][0] == 1
+
+
 def test_contaminated_long_and_repeated_rows(spark, make):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").first()
     long = "lorem ipsum dolor " * 20_000 + item.text + " sit amet" * 5_000
