@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,27 +118,56 @@ def pairs(sample: DataFrame, data: DataFrame, *, h_sep: float | None = None, a_s
 
 @dataclass(frozen=True)
 class PythonKernel:
-    """fn(sample: dict, matches: pandas.DataFrame, variable) gives a value for each suffix of the output's name, or one value. It is called
-    once a sample; a sample's matches are in one task."""
+    """fn(sample: dict, matches: pandas.DataFrame, variable) gives a value for each suffix of the output's name, or one value. With batch it is
+    fn(samples, data: pandas.DataFrame, near: a row a sample and a column a row of data, variable) and gives an array of a value a sample,
+    or one for each suffix; it is called once for a leaf of samples. A sample's matches are in one task."""
 
-    fn: Callable[[dict, pd.DataFrame, str], object]
+    fn: Callable[..., object]
     suffixes: tuple[str, ...] = ("",)
+    batch: bool = False
 
     def outputs(self, variables: list[str]) -> list[str]:
         return [f"{v}{s}" for v in variables for s in self.suffixes]
 
+    def schema(self, key: str, kind: str, variables: list[str]) -> str:
+        return f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in self.outputs(variables))
+
+    def call(self, samples: pd.DataFrame, data: pd.DataFrame, near: np.ndarray, key: str, variables: list[str]) -> pd.DataFrame:
+        """A row for each sample that is near any data."""
+        met = near.any(1)
+        samples, near = samples[met].reset_index(drop=True), near[met]
+        out = {key: samples[key]}
+        for v in variables:
+            have = data[v].notna().to_numpy()
+            if self.batch:
+                got = self.fn(samples, data, near & have, v)
+            else:
+                rows = [self.fn(r, data[m & have], v) for r, m in zip(samples.to_dict("records"), near)]
+                got = list(zip(*rows)) if len(self.suffixes) > 1 and rows else rows
+            for s, x in zip(self.suffixes, got if len(self.suffixes) > 1 and len(samples) else [got] * len(self.suffixes)):
+                out[f"{v}{s}"] = pd.Series(x, dtype=float)
+        return pd.DataFrame(out)
+
     def apply(self, near: DataFrame, key: str, variables: list[str]) -> DataFrame:
-        names = self.outputs(variables)
+        """Of pairs: a sample's are one group."""
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            sample, row = {c[2:]: pdf[c].iloc[0] for c in pdf.columns if c.startswith("s_")}, [pdf[f"s_{key}"].iloc[0]]
-            for v in variables:
-                got = self.fn(sample, pdf[pdf[v].notna()], v)
-                row += list(got) if len(self.suffixes) > 1 else [got]
-            return pd.DataFrame([row], columns=[key, *names])
+            own = [c for c in pdf.columns if c.startswith("s_")]
+            sample = pdf[own].iloc[:1].rename(columns=lambda c: c[2:])
+            return self.call(sample, pdf.drop(columns=own), np.ones((1, len(pdf)), bool), key, variables)
 
-        kind = near.schema[f"s_{key}"].dataType.simpleString()
-        return near.groupBy(f"s_{key}").applyInPandas(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))
+        return near.groupBy(f"s_{key}").applyInPandas(run, self.schema(key, near.schema[f"s_{key}"].dataType.simpleString(), variables))
+
+
+def _medians(samples: pd.DataFrame, data: pd.DataFrame, near: np.ndarray, v: str) -> np.ndarray:
+    x, out = data[v].to_numpy(float), np.full(len(near), np.nan)
+    for i, m in enumerate(near):
+        if m.any():
+            out[i] = np.median(x[m])
+    return out
+
+
+MEDIAN = PythonKernel(_medians, batch=True)
 
 
 def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str = "moments", *, key: str = "sample_id", row_id: str | None = None, h_sep: float | None = None, a_sep: float | None = None, p_sep: float | None = None, t_sep: float | None = None, missing_sample: str | None = None, fill_value: float | None = None, user_kernels: dict | None = None, strict: bool = False, where: Column | None = None, salts: int = 1) -> DataFrame:
@@ -166,10 +196,17 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
     s = side.select(key, *use)
     if h_sep is a_sep is p_sep is t_sep is None:
         found = s.select(key).crossJoin(F.broadcast(data.agg(*kernels.data_only(kernel, variables, user_kernels))))  # one row
-    elif where is None and own is None and (p_sep is None or p_sep > 1) and (kernel in kernels.FROM_SUMS or kernel in kernels.NEAREST):
+    elif where is None and own is None and (p_sep is None or p_sep > 1) and (kernel in kernels.FROM_SUMS or kernel in ("gmean", "hmean") or kernel in kernels.NEAREST):
         found = _by_tree(s, data, variables, kernel, key, row_id, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
+    elif where is None and (isinstance(own, PythonKernel) or own is None and kernel == "median") and (p_sep is None or p_sep > 1):
+        found = _by_leaf(s, data.select(*use, *variables), variables, own or MEDIAN, key, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
     else:
-        near = pairs(s, data.select(*use, *variables, *([row_id] if row_id else [])), h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict, where=where, salts=salts)
+        theirs = data.select(*dict.fromkeys([*use, *variables, *([row_id] if row_id else [])]))
+        if p_sep is None or p_sep > 1:
+            near = tree.paired(s, theirs, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
+            near = near if where is None else near.where(where)
+        else:
+            near = pairs(s, theirs, h_sep=h_sep, a_sep=a_sep, p_sep=p_sep, t_sep=t_sep, strict=strict, where=where, salts=salts)
         if kernel in kernels.NEAREST:
             far = {"h": lambda: haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")), "a": lambda: F.abs(F.col("altitude") - F.col("s_altitude")), "p": lambda: pressure_ratio(F.col("air_pressure"), F.col("s_air_pressure")), "t": lambda: F.abs(F.col("time") - F.col("s_time"))}[kernels.NEAREST[kernel]]()
             order = F.struct(far, F.col(row_id) if row_id else F.lit(0))
@@ -191,10 +228,25 @@ def _by_tree(sample: DataFrame, data: DataFrame, variables: list[str], kernel: s
             own = near.groupBy(key).agg(F.min_by(v, F.struct("_far", "_rid")).alias(v))  # a row for each 64 leaves that a sample met
             found = own if found is None else found.join(own, key, "full")
         return found
+    if kernel in ("gmean", "hmean"):
+        term = (lambda v: F.when(F.col(v) > 0, F.ln(v))) if kernel == "gmean" else (lambda v: F.try_divide(F.lit(1.0), F.col(v).cast("double")))
+        terms = {f"_t_{v}": term(v) for v in variables}
+        sums = tree.box_sums(sample, data.withColumns(terms), [*variables, *terms], key, limits)
+        near = sums.rows.groupBy(key).agg(*tree.merged([*variables, *terms]))
+        return near.select(key, *[kernels.from_terms(kernel, v, sums.middle[f"_t_{v}"]) for v in variables])
     sums = tree.box_sums(sample, data, variables, key, limits, centred=kernel not in ("mean", "sum", "RMS"), extremes=kernel in ("min", "max"))
     return sums.rows.groupBy(key).agg(*tree.merged(variables)).select(key, *[c for v in variables for c in kernels.from_sums(kernel, v, sums.middle[v])])
 
 
+def _by_leaf(sample: DataFrame, data: DataFrame, variables: list[str], kernel: PythonKernel, key: str, limits: tree.Limits) -> DataFrame:
+    """(key, the kernel's columns): a call a leaf of samples; samples that meet very many leaves are taken one by one, by their pairs."""
+    data = data.withColumns({v: F.col(v).cast("double") for v in variables}) if kernel is MEDIAN else data
+    call = lambda x, y, near: kernel.call(x, y, near, key, variables)
+    rows, rest, _ = tree.by_leaf(sample, data, limits, call, kernel.schema(key, dict(sample.dtypes)[key], variables))
+    many = kernels.medians(rest.withColumnRenamed(f"s_{key}", key), [key], variables) if kernel is MEDIAN else kernel.apply(rest, key, variables)
+    return rows.unionByName(many)
+
+
 def nearest(sample: DataFrame, data: DataFrame, variables: list[str], *, key: str = "sample_id", row_id: str | None = None, missing_sample: str | None = None) -> DataFrame:
     """The horizontally nearest present value of each variable for each sample, however far: samples open those leaves of data alone that no
     other leaf is nearer than."""
@@ -292,24 +344,10 @@ def within(sample: DataFrame, data: DataFrame, h_sep: float, key: str = "sample_
 
 def nearest_k(sample: DataFrame, data: DataFrame, k: int, key: str = "sample_id", row_id: str = "row_id", h_sep: float | None = None) -> DataFrame:
     """key, rank (from 1), row_id, distance of each sample's k nearest data, fewer if there are fewer (within h_sep km, if given); ties to
-    the smaller row_id. Samples with fewer than k within a radius try a larger one; each ring's finds are written."""
-    n, found = data.count(), None
-    furthest = math.pi * EARTH_RADIUS * 1.01 if h_sep is None else h_sep
-    radius, todo = min(furthest, 2 * EARTH_RADIUS * math.sqrt(4 * k / max(n, 1))), sample.select(key, "latitude", "longitude")
+    the smaller row_id, and data without one are left out. Leaves of data that k nearer ones shut out are never opened."""
+    near, _ = tree.nearest_k(sample.where(F.col(key).isNotNull()), data, k, key, row_id, h_sep)
     order = Window.partitionBy(key).orderBy("distance", row_id)
-    while n:
-        got, _ = save(within(todo, data, radius, key, row_id).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", row_id, "distance"))
-        last = radius >= furthest
-        full = got.groupBy(key).count().where(F.col("count") >= k).select(key)
-        done = got if last else got.join(full, key, "left_semi")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            break
-        todo = todo.join(full, key, "left_anti")
-        if todo.isEmpty():
-            break
-        radius = min(radius * 4, furthest)
-    return found if found is not None else within(sample.limit(0), data, 1.0, key, row_id).select(key, F.lit(1).alias("rank"), row_id, "distance")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", row_id, "distance")
 
 
 def neighbour_pairs(points: DataFrame, h_sep: float, key: str) -> DataFrame:

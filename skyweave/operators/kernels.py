@@ -80,6 +80,8 @@ DATA_ONLY: dict[str, Callable[[str], list[Column]]] = {
     "hmean": lambda v: [_hmean(v)],
     "RMS": lambda v: [F.sqrt(F.avg(F.col(v) * F.col(v))).alias(v)],
 }
+
+
 def medians(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
     """The exact median of each variable for each combination of keys, without a group in one task.
 
@@ -120,6 +122,13 @@ def from_sums(name: str, v: str, middle: float) -> list[Column]:
     }[name]()
 
 
+def from_terms(name: str, v: str, middle: float) -> Column:
+    """gmean or hmean from the sums of v (k_, l_) and of its logarithms or reciprocals _t_<v> about `middle`."""
+    k, least, n, s = F.col(f"k_{v}"), F.col(f"l_{v}"), F.col(f"k__t_{v}"), F.col(f"s__t_{v}")
+    some = F.exp(s / n + middle) if name == "gmean" else k / (s + n * middle)
+    return F.when((k > 0) & (least > 0), some).when((k > 0) & (least == 0), F.lit(0.0)).alias(v)
+
+
 #: Kernels that from_sums() makes; sum and RMS are of sums about 0.
 FROM_SUMS = ("mean", "stddev", "moments", "min", "max", "sum", "RMS")
 

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from ..scratch import save
 LEAF_ROWS, FAN_BITS, CODE_BITS = 128, 4, 40
 #: Leaves that meet one leaf in a task at once.
 TOGETHER = 256
+#: The same, where each pair of points becomes a row.
+PAIRED = 16
 #: Rounding of chords and differences; what lies within it of a limit is neither settled nor dropped but opened.
 SLACK = 1e-11
 
@@ -236,9 +239,10 @@ def _tests(limits: Limits) -> tuple[Column, Column]:
 # what leaves do with each other
 
 
-def _columns(t: pa.Table, i: int, names: list[str]) -> dict[str, np.ndarray]:
-    """Row i's arrays; a missing number is NaN."""
-    return {c: t.column(f"at_{c}")[i].values.to_numpy(zero_copy_only=False) for c in names}
+def _columns(t: pa.Table, i: int, names: list[str], carried: list[str] = ()) -> dict:
+    """Row i's arrays; a missing number is NaN. `_carried`: a table of the carried columns, as they are."""
+    out = {c: t.column(f"at_{c}")[i].values.to_numpy(zero_copy_only=False) for c in names}
+    return out | ({"_carried": pa.table({c: t.column(f"at_{c}")[i].values for c in carried})} if carried else {})
 
 
 def haversines(lat1, lon1, lat2, lon2) -> np.ndarray:
@@ -274,19 +278,20 @@ def within(s: dict, d: dict, limits: Limits) -> np.ndarray:
     return out
 
 
-def meet(samples: Tree, data: Tree, edges: DataFrame, own: list[str], theirs: list[str], fn: Callable[[dict, Iterator[dict]], pa.Table], schema: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """fn(a leaf's samples, its leaves of data one after another) for leaf pairs (a, b, *keys); at most TOGETHER leaves of data in one call."""
+def meet(samples: Tree, data: Tree, edges: DataFrame, own: list[str], theirs: list[str], fn: Callable[[dict, Iterator[dict]], pa.Table], schema: str, keys: tuple[str, ...] = (), *, carried: tuple[list[str], list[str]] = ((), ()), together: int | None = None) -> DataFrame:
+    """fn(a leaf's samples, its leaves of data one after another) for leaf pairs (a, b, *keys); at most `together` leaves of data in one
+    call, TOGETHER by default. carried: columns of the samples and of the data that come as Arrow tables."""
     order = Window.partitionBy("a", *keys).orderBy("b")
-    edges, _ = save(edges.withColumn("some", F.floor((F.row_number().over(order) - 1) / TOGETHER)))
+    edges, _ = save(edges.withColumn("some", F.floor((F.row_number().over(order) - 1) / (together or TOGETHER))))
     by = ["a", "some", *keys]
-    at = lambda cols: ["leaf", *[f"at_{c}" for c in cols]]
-    left = edges.select(*by).distinct().join(samples.leaves.select(*at(own)), F.col("a") == F.col("leaf")).drop("leaf")
-    right = edges.select(*[F.col(c).alias(f"of_{c}") for c in by], "b").join(data.leaves.select(*at(theirs)), F.col("b") == F.col("leaf")).drop("leaf", "b")
+    at = lambda cols: ["leaf", *[f"at_{c}" for c in dict.fromkeys(cols)]]
+    left = edges.select(*by).distinct().join(samples.leaves.select(*at([*own, *carried[0]])), F.col("a") == F.col("leaf")).drop("leaf")
+    right = edges.select(*[F.col(c).alias(f"of_{c}") for c in by], "b").join(data.leaves.select(*at([*theirs, *carried[1]])), F.col("b") == F.col("leaf")).drop("leaf", "b")
 
     def run(key, x: pa.Table, y: pa.Table) -> pa.Table:
-        s = _columns(x, 0, own)
+        s = _columns(x, 0, own, carried[0])
         s["_keys"] = dict(zip(by, [k.as_py() for k in key]))
-        return fn(s, (_columns(y, i, theirs) for i in range(len(y))))
+        return fn(s, (_columns(y, i, theirs, carried[1]) for i in range(len(y))))
 
     return left.groupBy(*by).cogroup(right.groupBy(*[f"of_{c}" for c in by])).applyInArrow(run, schema)
 
@@ -424,6 +429,92 @@ def nearest_in(sample: DataFrame, points: DataFrame, variable: str, key: str, ro
     return meet(s, d, edges, [key, *coords, *dims], [*coords, "_v", "_rid", *dims], fn, schema), edges
 
 
+def _open(sample: DataFrame, points: DataFrame, limits: Limits, leaf_rows: int) -> tuple[Tree, Tree, DataFrame, list[str]]:
+    """Trees that hold all columns, the pairs (a, b) of leaves whose points may be within the limits, and the columns that tell."""
+    letters = "".join(d for d in "hapt" if getattr(limits, d) is not None)
+    coords = list(dict.fromkeys(c for x in letters for c in COORDINATES[x]))
+    reach = {d: limits.chord if d in "xyz" else limits.reach(d) for d in limits.dims}
+    s, d = (build(x.withColumns({c: F.col(c).cast("double") for c in coords}), x.columns, letters, reach=reach, leaf_rows=leaf_rows) for x in (sample, points))
+    _, _, edges = descend(s, d, lambda: (_tests(limits)[0], F.lit(False)))
+    return s, d, edges.select("a", "b"), [*coords, *[f"_{x}" for x in s.dims]]
+
+
+def _pair_rows(s: Tree, d: Tree, edges: DataFrame, held: list[str], limits: Limits, names: tuple[list[str], list[str]]) -> DataFrame:
+    kinds = [{f.name[3:]: f.dataType.elementType.simpleString() for f in t.leaves.schema if f.name.startswith("at_")} for t in (s, d)]
+    schema = ", ".join([*[f"`s_{c}` {kinds[0][c]}" for c in names[0]], *[f"`{c}` {kinds[1][c]}" for c in names[1]]])
+
+    def fn(x: dict, leaves: Iterator[dict]) -> pa.Table:
+        out = []
+        for y in leaves:
+            i, j = np.nonzero(within(x, y, limits))
+            a, b = x["_carried"].take(pa.array(i)), y["_carried"].take(pa.array(j))
+            out.append(pa.table({**{f"s_{c}": a.column(c) for c in names[0]}, **{c: b.column(c) for c in names[1]}}))
+        return pa.concat_tables(out)
+
+    return meet(s, d, edges, held, held, fn, schema, carried=names, together=PAIRED)
+
+
+def paired(sample: DataFrame, points: DataFrame, limits: Limits, *, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Sample rows (columns named s_<name>) with the points within the limits; coordinates as doubles."""
+    s, d, edges, held = _open(sample, points, limits, leaf_rows)
+    return _pair_rows(s, d, edges, held, limits, (sample.columns, points.columns))
+
+
+def by_leaf(sample: DataFrame, points: DataFrame, limits: Limits, fn: Callable, schema: str, *, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """fn(samples, data, near) once for each leaf of samples, with all data of the leaves that it meets: pandas frames, and which rows of data are
+    near which samples. Samples of a leaf that meets over TOGETHER leaves are not called; their pairs are returned, as paired() has
+    them. And the pairs of leaves of the first kind."""
+    s, d, edges, held = _open(sample, points, limits, leaf_rows)
+    crowded = edges.groupBy("a").count().where(F.col("count") > TOGETHER).select("a")
+    few, names = edges.join(crowded, "a", "left_anti"), (sample.columns, points.columns)
+
+    def run(x: dict, leaves: Iterator[dict]) -> pa.Table:
+        near, data = [], []
+        for y in leaves:
+            m = within(x, y, limits)
+            some = m.any(0)  # data that are near no sample are not held
+            near.append(m[:, some])
+            data.append(y["_carried"].filter(pa.array(some)))
+        return pa.Table.from_pandas(fn(x["_carried"].to_pandas(), pa.concat_tables(data).to_pandas(), np.concatenate(near, 1)), preserve_index=False)
+
+    return meet(s, d, few, held, held, run, schema, carried=names), _pair_rows(s, d, edges.join(crowded, "a", "left_semi"), held, limits, names), few
+
+
+def nearest_k(sample: DataFrame, points: DataFrame, k: int, key: str, row_id: str, h: float | None = None, *, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(key, row_id, distance) of each sample's k nearest points (within h km, if given), k or more rows a sample; and the pairs of leaves that were
+    opened. Leaves in order of their farthest point hold k points up to a bound; what is wholly beyond it is not opened."""
+    limits, coords = Limits(h=h), list(COORDINATES["h"])
+    text = dict(points.dtypes)[row_id] == "string"
+    own, theirs = sample.select(key, *[F.col(c).cast("double").alias(c) for c in coords]), points.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("string" if text else "long").alias("_rid"), *[F.col(c).cast("double").alias(c) for c in coords])
+    s, d = build(own, own.columns, "h", leaf_rows=leaf_rows), build(theirs, theirs.columns, "h", leaf_rows=leaf_rows)
+
+    def prune(met: DataFrame) -> DataFrame:
+        upto = Window.partitionBy("a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, 0)
+        met = met.withColumn("upto", F.sum("size").over(upto)).withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy("a")))
+        return met.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + SLACK) + SLACK)).drop("near", "far", "size", "upto", "bound")
+
+    _, _, edges = descend(s, d, lambda: (_tests(limits)[0], F.lit(False)), more=lambda: {"near": _chord(False), "far": _chord(True), "size": F.col("d.n")}, prune=prune)
+    edges = edges.select("a", "b")
+
+    def fn(x: dict, leaves: Iterator[dict]) -> pa.Table:
+        best: pd.DataFrame | None = None
+        for y in leaves:
+            dot, n = _products(x, y), len(y["_rid"])
+            # The product tells which are not among the k nearest of the leaf; distances are taken of those that may be.
+            least = -2.0 if n <= k else np.partition(dot, n - k, axis=1)[:, n - k][:, None] - 1e-12
+            i, j = np.nonzero(dot >= least)
+            far = haversines(x["latitude"][i], x["longitude"][i], y["latitude"][j], y["longitude"][j])
+            got = pd.DataFrame({"i": i, "distance": far, "r": y["_rid"][j]})
+            got = (got if h is None else got[got.distance <= h]).sort_values(["i", "distance", "r"])
+            best = got if best is None else pd.concat([best, got]).sort_values(["i", "distance", "r"])
+            best = best.groupby("i").head(k)
+        return pa.table({key: pa.array(x[key][best.i.to_numpy()]), "_rid": pa.array(best.r.tolist(), pa.string() if text else pa.int64()), "distance": pa.array(best.distance.to_numpy(float))})
+
+    dims = [f"_{x}" for x in "xyz"]
+    met = meet(s, d, edges, [key, *coords, *dims], ["_rid", *coords, *dims], fn, f"`{key}` {dict(sample.dtypes)[key]}, _rid {'string' if text else 'bigint'}, distance double")
+    return met.select(key, F.col("_rid").cast(dict(points.dtypes)[row_id]).alias(row_id), "distance"), edges
+
+
 def count_within(left: DataFrame, right: DataFrame, radii: list[float], leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
     """(radius, n): how many pairs of a row of `left` and a row of `right` are within each radius (km). Pairs of nodes that are wholly within
     it count by the product of their sizes. And the pairs of leaves that were opened, (a, b, q), q being the radius' place."""

@@ -1,7 +1,8 @@
 """What users add: kernels, constraints, collocators and, by skyweave.sources.register, products.
 
 * a kernel is a function of a variable's name that gives a list of aggregate Columns; in a collocation of points these may use the
-  sample's coordinates as s_<name>. One that Columns cannot express is a `python_kernel`: it is called once a sample.
+  sample's coordinates as s_<name>. One that Columns cannot express is a `python_kernel`: it is called once a
+  sample, or with batch=True once for a leaf of samples that lie together.
 * a constraint is a function () -> boolean Column over s_<name> of the sample and <name> of the data.
 * a collocator is a function (sample, data, variables, **options) -> DataFrame.
 
@@ -15,7 +16,6 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 from .errors import ClassNotFoundError
@@ -39,11 +39,12 @@ def kernel(name: str):
     return _adder(KERNELS, name)
 
 
-def python_kernel(name: str, suffixes: tuple[str, ...] = ("",)):
-    """Register fn(sample: dict, matches: pandas.DataFrame, variable) -> a value for each suffix, or one value."""
+def python_kernel(name: str, suffixes: tuple[str, ...] = ("",), batch: bool = False):
+    """Register fn(sample: dict, matches: pandas.DataFrame, variable) -> a value for each suffix, or one value; with batch
+    fn(samples, data, near, variable) -> an array of a value a sample, or one for each suffix (see PythonKernel)."""
 
-    def add(fn: Callable[[dict, pd.DataFrame, str], object]):
-        KERNELS[name] = co.PythonKernel(fn, suffixes)
+    def add(fn: Callable[..., object]):
+        KERNELS[name] = co.PythonKernel(fn, suffixes, batch)
         return fn
 
     return add

@@ -120,3 +120,66 @@ def test_counts_of_several_radii(spark):
     assert opened.count() * 100 < sum(int((far <= x).sum()) for x in radii)
     none, _ = tree.count_within(spark.createDataFrame(a, SCHEMA).limit(0), spark.createDataFrame(b, SCHEMA), [5.0])
     assert [tuple(r) for r in none.collect()] == [(5.0, 0)]
+
+
+@pytest.mark.parametrize("together", [3, 256])
+def test_kernels_by_leaf_as_brute_force(spark, monkeypatch, together):
+    """Kernels in Python, of a sample and of a leaf, medians and means of logarithms and reciprocals: leaves that meet few leaves, and ones that meet many."""
+    monkeypatch.setattr(tree, "TOGETHER", together)
+    monkeypatch.setitem(tree.by_leaf.__kwdefaults__, "leaf_rows", 7)
+    a, b = cloud(60, 11, 0.4, 10), cloud(300, 12, 0.5, 40)
+    s, d = spark.createDataFrame(a, SCHEMA).drop("v").withColumnRenamed("id", "sample_id"), spark.createDataFrame(b, SCHEMA)
+    v, lat = np.array([np.nan if r[6] is None else r[6] for r in b], float), np.array([r[1] for r in b])
+    inside = near(a, b, h_sep=2500.0, t_sep=12) & ~np.isnan(v)
+    one = co.PythonKernel(lambda sample, m, c: ((m[c] * (m.latitude - sample["latitude"])).sum(), len(m)), ("", "_n"))
+    batch = co.PythonKernel(lambda x, y, m, c: (np.where(m, y[c].fillna(0).to_numpy() * (y.latitude.to_numpy() - x.latitude.to_numpy()[:, None]), 0.0).sum(1), m.sum(1)), ("", "_n"), batch=True)
+    seen = lambda i: (v[inside[i]] * (lat[inside[i]] - a[i][1])).sum()
+    wants = {"one": lambda x, i: (seen(i), len(x)), "batch": lambda x, i: (seen(i), len(x)), "median": lambda x, i: (np.median(x),), "gmean": lambda x, i: (np.exp(np.log(x).mean()),), "hmean": lambda x, i: (1 / (1 / x).mean(),)}
+    for kernel, want in wants.items():
+        rows = co.box(s, d, ["v"], kernel, h_sep=2500.0, t_sep=12, user_kernels={"one": one, "batch": batch}).collect()
+        assert len(rows) == 60
+        for r in rows:
+            x = v[inside[r.sample_id]]
+            got = [r.v, r.v_n] if kernel in ("one", "batch") else [r.v]
+            if len(x):
+                assert np.allclose(got, want(x, r.sample_id), rtol=1e-9, atol=1e-6), (kernel, r)
+            else:
+                assert got[0] in (None, 0.0)
+    rows, rest, few = tree.by_leaf(s, d, tree.Limits(h=2500.0), lambda x, y, m: __import__("pandas").DataFrame({"n": [len(x)]}), "n bigint")
+    assert rows.count() == few.select("a").distinct().count()  # a call a leaf
+    assert rest.isEmpty() == (together == 256)
+
+
+def test_paired_keeps_types_and_nulls(spark):
+    a, b = cloud(40, 13, 0.5, 5), cloud(200, 14, 0.5, 30)
+    s = spark.createDataFrame(a, SCHEMA).selectExpr("id AS sample_id", "latitude", "longitude", "CASE WHEN id % 3 > 0 THEN 'é' || id END AS name")
+    d = spark.createDataFrame(b, SCHEMA).selectExpr("id", "latitude", "longitude", "CASE WHEN id % 2 > 0 THEN cast(id AS int) END AS odd", "timestamp_seconds(id) AS at", "v")
+    got = tree.paired(s, d, tree.Limits(h=1500.0), leaf_rows=7)
+    assert got.schema["odd"].dataType.simpleString() == "int" and got.schema["at"].dataType.simpleString() == "timestamp"
+    rows, inside = got.selectExpr("s_sample_id", "s_name", "id", "odd", "unix_seconds(at) AS at").collect(), near(a, b, h_sep=1500.0)
+    assert sorted((r.s_sample_id, r.id) for r in rows) == sorted(zip(*(x.tolist() for x in np.nonzero(inside))))
+    assert all(r.at == r.id and r.odd == (r.id if r.id % 2 else None) and r.s_name == (f"é{r.s_sample_id}" if r.s_sample_id % 3 else None) for r in rows)
+    assert tree.paired(s.limit(0), d, tree.Limits(h=1500.0)).count() == 0
+
+
+def test_nearest_k_opens_few_leaves(spark):
+    """Data crowded in one degree, samples everywhere."""
+    a, b = cloud(200, 15), cloud(3000, 16, 0.9, 300)
+    far = distances(a, b)
+    s, d = spark.createDataFrame(a, SCHEMA).withColumnRenamed("id", "sample_id"), spark.createDataFrame(b, SCHEMA).withColumnRenamed("id", "row_id")
+    for h in (None, 1200.0):
+        got = {}
+        for r in co.nearest_k(s, d, 5, h_sep=h).collect():
+            got.setdefault(r.sample_id, []).append((r["rank"], r.row_id, r.distance))
+        for i in range(200):
+            want = sorted((x, j) for j, x in enumerate(far[i]) if h is None or x <= h)[:5]
+            mine = sorted(got.get(i, []))
+            assert [x[0] for x in mine] == list(range(1, len(want) + 1)) and np.allclose([x[2] for x in mine], [x for x, _ in want])
+    assert co.nearest_k(s.limit(0), d, 5).count() == 0 and co.nearest_k(s, d.limit(0), 5).count() == 0
+    # With four times the points on both sides, a leaf of samples opens about as many leaves as before.
+    opened = []
+    for n in (600, 2400):
+        s, d = (spark.createDataFrame(cloud(m, 16), SCHEMA).withColumnRenamed("id", name) for m, name in ((n, "sample_id"), (5 * n, "row_id")))
+        _, edges = tree.nearest_k(s, d, 5, "sample_id", "row_id", leaf_rows=10)
+        opened.append(edges.count() / (n / 10))
+    assert opened[1] < 1.5 * opened[0]
