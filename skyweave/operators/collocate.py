@@ -133,14 +133,14 @@ class PythonKernel:
         return f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in self.outputs(variables))
 
     def call(self, samples: pd.DataFrame, data: pd.DataFrame, near: np.ndarray, key: str, variables: list[str]) -> pd.DataFrame:
-        """A row for each sample that is near any data."""
+        """A row for each sample that is near any data; without one no kernel is called."""
         met = near.any(1)
         samples, near = samples[met].reset_index(drop=True), near[met]
         out = {key: samples[key]}
         for v in variables:
             have = data[v].notna().to_numpy()
             if self.batch:
-                got = self.fn(samples, data, near & have, v)
+                got = self.fn(samples, data, near & have, v) if len(samples) else []
             else:
                 rows = [self.fn(r, data[m & have], v) for r, m in zip(samples.to_dict("records"), near)]
                 got = list(zip(*rows)) if len(self.suffixes) > 1 and rows else rows
@@ -199,7 +199,7 @@ def box(sample: DataFrame, data: DataFrame, variables: list[str], kernel: str =
     elif where is None and own is None and (p_sep is None or p_sep > 1) and (kernel in kernels.FROM_SUMS or kernel in ("gmean", "hmean") or kernel in kernels.NEAREST):
         found = _by_tree(s, data, variables, kernel, key, row_id, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
     elif where is None and (isinstance(own, PythonKernel) or own is None and kernel == "median") and (p_sep is None or p_sep > 1):
-        found = _by_leaf(s, data.select(*use, *variables), variables, own or MEDIAN, key, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
+        found = _by_leaf(s, data.select(*dict.fromkeys([*use, *variables])), variables, own or MEDIAN, key, tree.Limits(h_sep, a_sep, p_sep, t_sep, strict))
     else:
         theirs = data.select(*dict.fromkeys([*use, *variables, *([row_id] if row_id else [])]))
         if p_sep is None or p_sep > 1:
