@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS
+from ..functions.geo import EARTH_RADIUS, haversine
 from ..scratch import save
 
 LEAF_ROWS, FAN_BITS, CODE_BITS = 128, 4, 40
@@ -504,15 +504,15 @@ def nearest_k(sample: DataFrame, points: DataFrame, k: int, key: str, row_id: st
             least = -2.0 if n <= k else np.partition(dot, n - k, axis=1)[:, n - k][:, None] - 1e-12
             i, j = np.nonzero(dot >= least)
             far = haversines(x["latitude"][i], x["longitude"][i], y["latitude"][j], y["longitude"][j])
-            got = pd.DataFrame({"i": i, "distance": far, "r": y["_rid"][j]})
+            got = pd.DataFrame({"i": i, "distance": far, "r": y["_rid"][j], "latitude": y["latitude"][j], "longitude": y["longitude"][j]})
             got = (got if h is None else got[got.distance <= h]).sort_values(["i", "distance", "r"])
             best = got if best is None else pd.concat([best, got]).sort_values(["i", "distance", "r"])
             best = best.groupby("i").head(k)
-        return pa.table({key: pa.array(x[key][best.i.to_numpy()]), "_rid": pa.array(best.r.tolist(), pa.string() if text else pa.int64()), "distance": pa.array(best.distance.to_numpy(float))})
+        return pa.table({key: pa.array(x[key][best.i.to_numpy()]), "_rid": pa.array(best.r.tolist(), pa.string() if text else pa.int64()), **{f"s_{c}": pa.array(x[c][best.i.to_numpy()]) for c in coords}, **{c: pa.array(best[c].to_numpy(float)) for c in coords}})
 
     dims = [f"_{x}" for x in "xyz"]
-    met = meet(s, d, edges, [key, *coords, *dims], ["_rid", *coords, *dims], fn, f"`{key}` {dict(sample.dtypes)[key]}, _rid {'string' if text else 'bigint'}, distance double")
-    return met.select(key, F.col("_rid").cast(dict(points.dtypes)[row_id]).alias(row_id), "distance"), edges
+    met = meet(s, d, edges, [key, *coords, *dims], ["_rid", *coords, *dims], fn, f"`{key}` {dict(sample.dtypes)[key]}, _rid {'string' if text else 'bigint'}, s_latitude double, s_longitude double, latitude double, longitude double")
+    return met.select(key, F.col("_rid").cast(dict(points.dtypes)[row_id]).alias(row_id), haversine(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude")).alias("distance")), edges
 
 
 def count_within(left: DataFrame, right: DataFrame, radii: list[float], leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
