@@ -27,6 +27,11 @@ def _mod(a: Column, b: Column) -> Column:
     return a - b * F.floor(F.try_divide(a, b))
 
 
+def _log(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The logarithm of zero is minus infinity, as in numpy; of less it is NULL."""
+    return lambda a: F.when(a == 0, F.lit(float("-inf"))).otherwise(f(a))
+
+
 def _both(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
     """NULL if either is NULL, as least and greatest skip NULL."""
     return lambda a, b: F.when(a.isNotNull() & b.isNotNull(), f(a, b))
@@ -39,7 +44,7 @@ BINARY = {
 COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 BUILTIN = {"abs": F.abs, "round": lambda a, n=None: F.bround(a, n if n is not None else 0), "int": lambda a: a.cast("long"), "float": lambda a: a.cast("double"), "bool": lambda a: a != 0, "pow": lambda a, b: _safe(F.pow(a, b))}
 NUMPY = {
-    "log": lambda a: F.ln(a), "log10": F.log10, "log2": F.log2, "exp": lambda a: _safe(F.exp(a)), "sqrt": lambda a: _safe(F.sqrt(a)), "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": lambda a: _safe(F.asin(a)), "arccos": lambda a: _safe(F.acos(a)), "arctan": F.atan,
+    "log": _log(F.ln), "log10": _log(F.log10), "log2": _log(F.log2), "exp": lambda a: _safe(F.exp(a)), "sqrt": lambda a: _safe(F.sqrt(a)), "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": lambda a: _safe(F.asin(a)), "arccos": lambda a: _safe(F.acos(a)), "arctan": F.atan,
     "arctan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "hypot": F.hypot, "power": lambda a, b: _safe(F.pow(a, b)), "floor": lambda a: F.floor(a).cast("double"), "ceil": lambda a: F.ceil(a).cast("double"), "sign": F.signum, "abs": F.abs, "absolute": F.abs, "degrees": F.degrees, "radians": F.radians, "square": lambda a: a * a, "rint": F.rint,
     "minimum": _both(F.least), "maximum": _both(F.greatest), "clip": lambda a, lo, hi: F.when(a.isNotNull(), F.least(F.greatest(a, lo), hi)), "isnan": lambda a: F.isnan(a), "nan_to_num": lambda a: F.coalesce(F.nanvl(a.cast("double"), F.lit(0.0)), F.lit(0.0)), "where": lambda c, a, b: F.when(c, a).when(~c, b), "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": BINARY[ast.Div],
 }
