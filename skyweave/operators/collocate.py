@@ -285,10 +285,11 @@ def nearest_along(sample: DataFrame, data: DataFrame, variables: list[str], by:
         both, _ = save(both.repartitionByRange(parts, "x").withColumn("b", F.spark_partition_id()))
         ends = both.where("e IS NOT NULL").groupBy("b").agg(F.max_by("e", "x").alias("last"), F.min_by("e", "x").alias("first"))
         ends = both.select("b").distinct().join(ends, "b", "left")  # a row a range
-        over = Window.orderBy("b")
-        ends = ends.select("b", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-        within = Window.partitionBy("b").orderBy("x")
-        before, after = F.last("e", True).over(within.rangeBetween(Window.unboundedPreceding, 0)), F.first("e", True).over(within.rangeBetween(0, Window.unboundedFollowing))
+        # Frames that grow: one that shrinks is read again for each row.
+        upto = lambda by, *way: F.last(by, True).over(Window.orderBy(*way).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select("b", upto("last", "b").alias("earlier"), upto("first", F.desc("b")).alias("later"))
+        within = Window.partitionBy("b")
+        before, after = (F.last("e", True).over(within.orderBy(way).rangeBetween(Window.unboundedPreceding, 0)) for way in (F.asc("x"), F.desc("x")))
         met = both.withColumns({"before": before, "after": after}).where("e IS NULL").join(F.broadcast(ends), "b")
         ways = [F.coalesce("before", "earlier"), F.coalesce("after", "later")]
         best = F.array_min(F.filter(F.array(*[F.when(w.isNotNull(), F.struct(far(F.col("x"), w["x"]).alias("far"), w["r"].alias("r"), w["v"].alias("v"))) for w in ways]), lambda s: s.isNotNull()))

@@ -17,3 +17,11 @@ def test_logarithm_of_zero_is_minus_infinity(spark):
     df = spark.createDataFrame([(0.0, 2.0), (1.0, 2.0), (-1.0, 2.0), (None, 2.0), (1.0, 0.0)], "v double, w double")
     assert [r.x for r in ev.evaluate(df, "numpy.log(v / w)", "x").collect()] == [float("-inf"), -0.6931471805599453, None, None, None]
     assert [r.x for r in ev.evaluate(df.limit(1), "numpy.log10(v) + numpy.log2(v)", "x").collect()] == [float("-inf")]
+
+
+def test_nearest_along_reads_no_shrinking_frame(spark):
+    rows = spark.createDataFrame([(i, 1.5 * i, float(i)) for i in range(40)], "id bigint, time double, v double")
+    samples = spark.createDataFrame([(i, 1.1 * i) for i in range(50)], "sample_id bigint, time double")
+    got = co.nearest_along(samples, rows, ["v"], "t", row_id="id")
+    assert "unboundedfollowing" not in plan(got).lower()
+    assert all(r.v == min(range(40), key=lambda i: (abs(1.5 * i - r.time), i)) for r in got.collect())
