@@ -48,3 +48,15 @@ def test_a_leaf_of_data_comes_once_to_a_block(spark, monkeypatch):
     rows = tree.meet_in_blocks(*trees, edges, ["latitude"], ["latitude"], fn, "n bigint")
     assert rows.agg({"n": "sum"}).first()[0] == edges.join(trees[1].leaves, edges.b == trees[1].leaves.leaf).agg({"n": "sum"}).first()[0]
     assert rows.count() < 2 * trees[0].size
+
+
+def test_neighbours_are_counted_and_listed_by_trees(spark):
+    """No join on cells, where a cell at a pole is one task, and no pair made to be counted."""
+    a = cloud(300, 23, 0.3, 20)
+    p = spark.createDataFrame(a, SCHEMA)
+    inside = near(a, a, h_sep=1500.0)
+    got = {r.a: r.n for r in co.neighbour_counts(p, 1500.0, "id").collect()}
+    assert got == {i: int(n) for i in range(300) if (n := inside[i, i + 1 :].sum())}
+    listed = co.within(p.withColumnRenamed("id", "sample_id"), p.withColumnRenamed("id", "row_id"), 1500.0)
+    assert "_columns_in" not in plan(listed) and "Generate explode" not in plan(listed)
+    assert {(r.sample_id, r.row_id) for r in listed.collect()} == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(inside)))}
