@@ -75,7 +75,8 @@ def links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> Dat
         held, asked = [held[0].unionByName(held[1]), *held[2:]], [asked[0].unionByName(asked[1]), *asked[2:]]
     p, q = asked[0].alias("p"), held[0].alias("q")
     near = (F.col("p.s") == F.col("q.s")) & (F.col("p.key") == F.col("q.key")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & ((F.col("p.key") < F.col("own")) | (F.col("a") < F.col("b")))
-    return p.join(q, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Spark takes the look-ups for as small as the fingerprints' file and would broadcast them all from the driver: joined by a shuffle.
+    return p.join(q.hint("merge"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link_components(fps: DataFrame, distance: int = 4, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -95,15 +96,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, segments
     distinct, _ = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     pairs, root = link_components(distinct.select("fp"), distance, segments)
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    linked = distinct.join(root.withColumnRenamed("node", "fp"), "fp").join(degree, "fp")
+    # What has a row for each fingerprint is joined by shuffles: the driver would hold several times the size of its file to broadcast it.
+    linked = distinct.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp").join(degree.hint("merge"), "fp")
     classes = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(classes, "root").select("fp", "component_id", "n_links")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    by_fp, _ = save(by_fp.join(distinct.select("fp", "rows"), "fp"))
+    by_fp = distinct.join(linked.hint("merge"), "fp", "left").select("fp", "rows", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_fp, _ = save(by_fp)
     # A fingerprint of many rows would meet in one task. Those with a 500th of all rows are 500 at most, so they are broadcast.
     many = F.col("rows") * 500 >= F.lit(by_fp.agg(F.sum("rows")).first()[0] or 0)
     hot = F.broadcast(by_fp.where(many).drop("rows"))
-    out = fps.join(hot, "fp").unionByName(fps.join(hot.select("fp"), "fp", "left_anti").join(by_fp.where(~many).drop("rows"), "fp"))
+    out = fps.join(hot, "fp").unionByName(fps.join(hot.select("fp"), "fp", "left_anti").join(by_fp.where(~many).drop("rows").hint("merge"), "fp"))
     return out.select("doc_id", "fp", "component_id", "n_links")
 
 
@@ -124,12 +126,12 @@ def representatives(docs: DataFrame, distance: int = 4, words: int = 4, segments
     # The first row of each fingerprint, with the number of rows of that doc_id and text.
     by_fp, _ = save(fps.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("fp").agg(first))
     _, root = link_components(by_fp.select("fp"), distance, segments)
-    by_root = by_fp.join(root.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    by_root = by_fp.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept, _ = save(by_root.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.h").alias("_kept_h"), F.col("first.n").alias("_n")))
 
     def rows(kept: DataFrame) -> DataFrame:
         own = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_h": text_hash})
-        return own.join(kept.drop("_n"), F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")), "left_semi")
+        return own.join(kept.drop("_n").hint("merge"), F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")), "left_semi")
 
     # Only rows that share doc_id and text are compared.
     out, again = rows(kept.where("_n = 1")), kept.where("_n > 1")

@@ -170,6 +170,18 @@ def test_links_are_whole(spark, segments):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_fingerprints_are_not_broadcast(spark, odd):
+    """Only frequent fingerprints go through the driver, whatever size Spark takes the others, or their look-ups, to have."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 * 2**20
+    assert "Broadcast" not in plan(simhash.links(spark.range(1000).selectExpr("xxhash64(id) AS fp")))
+    assert plan(simhash.near_duplicates(odd)).count("BroadcastHashJoin") == 2
+    assert "Broadcast" not in plan(simhash.representatives(odd.where("doc_id <> 4")))
+
+
 def test_near_duplicates_odd_rows(odd, make):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 12 and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
