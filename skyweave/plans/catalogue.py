@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode, geo, units
@@ -50,8 +50,18 @@ def digits(name: str) -> int:
     return 6 if name.startswith("time") or name == "mid" else 8
 
 
+def half_away(x: Column, n: int) -> Column:
+    """x rounded to n digits as the SQL does it, which looks at the product x * 10^n; F.round looks at x's shortest decimal text, which is on the
+    other side of a tie now and then."""
+    y = F.abs(x) * F.lit(10.0**n)
+    whole = F.floor(y).cast("double")
+    near = F.when(y < 2.0**52, F.when(y - whole >= 0.5, whole + 1).otherwise(whole)).otherwise(y) / F.lit(10.0**n)
+    near = F.when(y == float("inf"), F.abs(x)).otherwise(near)
+    return F.when(x < 0, -near).otherwise(near)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select([F.round(c, digits(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select([half_away(F.col(c), digits(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(sql: str | None = None):
