@@ -32,6 +32,8 @@ TOGETHER = 256
 #: How many blocks of sample leaves there are at least, where there are so many leaves; distinct leaves of data that a task has at once for a
 #: block; and how many of these meet one leaf of samples in one step.
 BLOCKS, BLOCK_LEAVES, STEP = 96, 4096, 8
+#: Rows of a run of data in order of one coordinate, and how many rows on from a sample are looked at for one within its limits.
+RUN, AHEAD = 2048, 4096
 #: The same, where each pair of points becomes a row.
 PAIRED = 16
 #: Rounding of chords and differences; what lies within it of a limit is neither settled nor dropped but opened.
@@ -410,6 +412,135 @@ def box_sums(sample: DataFrame, points: DataFrame, variables: list[str], key: st
     return Sums(met.unionByName(rows), middle, pairs)
 
 
+def _runs(rows: DataFrame, order: list[str], size: int, by: str) -> tuple[DataFrame, list]:
+    """Rows in their order, `size` of them a written row with arrays: (part, place, n, lo, hi, gap, at_<column>); lo and hi are of the first column
+    of the order, gap is the least difference of unequal ones (by p: the least ratio less 1), that before the row included. And a row a
+    part: (part, runs, n, lo, hi, gap), in order."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds, names = dict(rows.dtypes), rows.columns
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    first = order[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place, before, rest, held = TaskContext.get().partitionId(), 0, None, [], 0
+
+        def row(t: pa.Table) -> pa.RecordBatch:
+            nonlocal place, before
+            o = t.column(first).to_numpy()
+            line = o if before is None else np.concatenate([[before], o])
+            steps, base = np.diff(line), np.minimum(np.abs(line[1:]), np.abs(line[:-1]))
+            gap = (steps / base if by == "p" else steps)[steps > 0]
+            values = [part, place, len(t), float(o[0]), float(o[-1]), float(gap.min()) if len(gap) else math.inf]
+            arrays = [pa.array([x], k) for x, k in zip(values, [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 3])]
+            arrays += [pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), x.chunk(0) if isinstance(x, pa.ChunkedArray) else x) for x in (t.column(c).combine_chunks() for c in names)]
+            place, before = place + 1, float(o[-1])
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "place", "n", "lo", "hi", "gap", *[f"at_{c}" for c in names]])
+
+        for b in batches:
+            rest.append(b)
+            held += len(b)
+            if held >= size:
+                t = pa.Table.from_batches(rest)
+                while len(t) >= size:
+                    yield row(t.slice(0, size))
+                    t = t.slice(size)
+                rest, held = t.combine_chunks().to_batches() if len(t) else [], len(t)
+        if held:
+            yield row(pa.Table.from_batches(rest))
+
+    runs, _ = save(rows.mapInArrow(pack, ", ".join(["part int, place bigint, n bigint, lo double, hi double, gap double", *[f"`at_{c}` array<{kinds[c]}>" for c in names]])))
+    return runs, runs.groupBy("part").agg(F.count("*").alias("runs"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("gap").alias("gap")).orderBy("part").collect()
+
+
+def nearest_ahead(own: DataFrame, theirs: DataFrame, coords: list[str], variable: str, key: str, by: str, limits: Limits) -> DataFrame:
+    """(key, _far, _rid, variable, done), a row a sample and way: of the data from a sample's own height, pressure or time upwards, and of those
+    below it, the first that is within the limits, in order of that coordinate and of _rid. About as many data are looked at as there are
+    for one within the limits. Not done: none was found in AHEAD rows, or what comes next was not seen and may be as near."""
+    c = COORDINATES[by][0]
+    spark, dims = own.sparkSession, dimensions("h")
+    both = []
+    for df in (own, theirs):
+        df = df.select("*", *[x.alias(f"_{d}") for d, x in dims.items()]).where(" AND ".join(f"`{n}` IS NOT NULL AND NOT isnan(`{n}`)" for n in ["_x", "_y", "_z", c]))
+        both.append(df.where(F.col(c) > 0) if by == "p" else df)
+    n_s, n_d = both[0].count(), both[1].count()
+    if not n_s or not n_d:
+        return both[0].select(key, F.lit(None).cast("double").alias("_far"), F.lit(None).cast(dict(theirs.dtypes)["_rid"]).alias("_rid"), F.lit(None).cast("double").alias(variable), F.lit(True).alias("done"))
+    size = max(16, min(32 * RUN, 32 * RUN * n_s // n_d, max(RUN, n_s // (2 * BLOCKS))))
+    held = [*coords, "_x", "_y", "_z"]
+    schema = f"`{key}` {dict(own.dtypes)[key]}, _far double, _rid {dict(theirs.dtypes)['_rid']}, `{variable}` double, done boolean"
+
+    def way(sign: float) -> DataFrame:
+        s, d = (x.withColumn("_o", F.col(c) * F.lit(sign) + F.lit(0.0)) for x in both)
+        s, _ = _runs(s.select("_o", F.xxhash64(key).alias("_h"), key, *held), ["_o", "_h"], size, by)
+        d, parts = _runs(d.select("_o", "_rid", "_v", *held), ["_o", "_rid"], RUN, by)
+        # A row a part: where its runs begin in the whole order.
+        begin = dict(zip([r.part for r in parts], np.cumsum([0, *[r.runs for r in parts]]).tolist()))
+        total = sum(r.runs for r in parts)
+        ends = [(y.lo - x.hi) / min(abs(x.hi), abs(y.lo)) if by == "p" else y.lo - x.hi for x, y in zip(parts, parts[1:]) if y.lo > x.hi]
+        gap, scale = min([r.gap for r in parts] + ends), 1.0 if by == "p" else max(abs(e) for r in parts for e in (r.lo, r.hi))
+        offset = F.element_at(F.create_map(*[F.lit(x) for kv in begin.items() for x in kv]), F.col("part"))
+        d = d.withColumn("rank", (offset + F.col("place")).cast("long"))
+        tops = F.array(*[F.struct(F.lit(r.hi).alias("hi"), F.lit(r.part).alias("part")) for r in parts])
+        lists = d.groupBy("part").agg(F.sort_array(F.collect_list("hi")).alias("his"))
+        s = s.withColumn("block", (F.shiftleft(F.col("part").cast("long"), 33) + F.col("place"))).drop("part", "place", "n", "gap")
+        # Runs before a sample's place; downwards what is as high as the sample is before it too.
+        short = (lambda hi: hi < F.col("o")) if sign > 0 else (lambda hi: hi <= F.col("o"))
+        at = s.select("block", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("o")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("o")))).alias("e")).select("block", "e.*")
+        at = at.withColumn("part", F.coalesce(F.get(F.filter(tops, lambda t: ~short(t["hi"])), F.lit(0))["part"], F.lit(parts[-1].part)))
+        at = at.join(lists, "part").select("block", "end", (offset + F.size(F.filter("his", short))).cast("long").alias("rank"))
+        at = at.groupBy("block").agg(F.min("rank").alias("from"), F.max("rank").alias("to"))
+        # Samples far apart beside the data get no more than so many runs; those of them that are not done are taken by trees.
+        upto = F.least(F.col("to") + 1 + AHEAD // RUN, F.col("from") + 128, F.lit(total - 1))
+        right = at.where(F.col("from") < total).select(F.col("block").alias("of"), F.explode(F.sequence("from", F.greatest("from", upto))).alias("rank")).join(d.select("rank", *[f"at_{x}" for x in ["_o", "_rid", "_v", *held]]), "rank")
+        left = s.select("block", *[f"at_{x}" for x in ["_o", key, *held]])
+
+        def run(x: pa.Table, y: pa.Table) -> pa.Table:
+            y = y.sort_by("rank")
+            ranks = y.column("rank").to_pylist()
+            last = not ranks or ranks[-1] == total - 1
+            s = _columns(x, 0, ["_o", *held])
+            keys, n = x.column(f"at_{key}")[0].values, len(s["_o"])
+            data = {e: y.column(f"at_{e}").combine_chunks().flatten() for e in ["_o", "_rid", "_v", *held]}
+            d = {e: v.to_numpy(zero_copy_only=False) for e, v in data.items() if e != "_rid"}
+            start = np.searchsorted(d["_o"], s["_o"], "left" if sign > 0 else "right")
+            hit = np.full(n, -1)
+            for i in range(0, n, 256):
+                act = np.arange(i, min(i + 256, n))
+                lo = start[act[0]]
+                while len(act) and lo < len(d["_o"]):
+                    some = {e: v[lo : lo + 512] for e, v in d.items()}
+                    # Samples of which this stretch is wholly before wait.
+                    now = act[start[act] < lo + 512]
+                    if not len(now):
+                        lo = start[act[0]]
+                        continue
+                    near = within({e: v[now] for e, v in s.items()}, some, limits) & (np.arange(lo, lo + len(some["_o"])) >= start[now][:, None])
+                    got = near.any(1)
+                    hit[now[got]] = lo + near[got].argmax(1)
+                    act = act[hit[act] < 0]
+                    lo += 512
+            i = np.flatnonzero(hit >= 0)
+            measure = (lambda p, q: np.maximum(p / q, q / p)) if by == "p" else (lambda p, q: np.abs(q - p))
+            far = np.full(n, np.nan)
+            far[i] = measure(s[c][i], d[c][hit[i]])
+            # Of values further on, by rounding none may be as near: the next one tells, or that all are apart.
+            done = np.full(n, last)
+            after = np.searchsorted(d["_o"], d["_o"][hit[i]], "right")
+            seen = after < len(d["_o"])
+            beyond = np.full(len(i), last or gap > 1e-14 * max(scale, float(np.abs(s[c]).max()) if by != "p" else 1.0))
+            beyond[seen] = measure(s[c][i][seen], d[c][after[seen]]) > far[i][seen]
+            done[i] = beyond
+            index = pa.array(np.where(hit >= 0, hit, 0), mask=hit < 0)
+            return pa.table({key: keys, "_far": pa.array(far, mask=hit < 0), "_rid": data["_rid"].take(index), variable: data["_v"].take(index), "done": pa.array(done)})
+
+        return left.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(run, schema)
+
+    return save(way(1.0).unionByName(way(-1.0)))[0]
+
+
 def nearest_in(sample: DataFrame, points: DataFrame, variable: str, key: str, row_id: str | None, by: str, limits: Limits = Limits(), *, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
     """(key, _far, _rid, variable): of the data that have the variable, within the limits if there are any, the nearest by h, a, p or t for each
     sample (ties: the least row_id), one or more rows a sample; and the pairs of leaves that were opened.
@@ -421,6 +552,13 @@ def nearest_in(sample: DataFrame, points: DataFrame, variable: str, key: str, ro
     rid = F.col(row_id).cast("string" if text else "long") if row_id else F.lit(0).cast("long")
     own, coords, how = _prepared(sample, letters, limits, leaf_rows, key)
     theirs, _, _ = _prepared(points.where(F.col(variable).isNotNull()), letters, limits, leaf_rows, None, _v=F.col(variable).cast("double"), _rid=rid)
+    first = None
+    if by in "apt" and limits.dims == ["x", "y", "z"] and (1 - math.cos(min(limits.h / EARTH_RADIUS, math.pi))) / 2 * AHEAD >= 8:
+        found = nearest_ahead(own, theirs, coords, variable, key, by, limits)
+        first, rest = found.where("_far IS NOT NULL").drop("done"), found.where("NOT done").select(key).distinct()
+        if rest.isEmpty():
+            return first, own.sparkSession.createDataFrame([], "a bigint, b bigint")
+        own = own.join(rest, key, "left_semi")
     s, d = build(own, [key, *coords], letters, **how), build(theirs, [*coords, "_v", "_rid"], letters, **how)
 
     def tests() -> tuple[Column, Column]:
@@ -465,7 +603,8 @@ def nearest_in(sample: DataFrame, points: DataFrame, variable: str, key: str, ro
         i = np.flatnonzero(has)
         return pa.table({key: pa.array(x[key][i]), "_far": pa.array(far[i]), "_rid": pa.array(rid[i].tolist(), pa.string() if text else pa.int64()), variable: pa.array(val[i])})
 
-    return meet_in_blocks(s, d, edges, [key, *coords, *dims], [*coords, "_v", "_rid", *dims], fn, schema), edges
+    met = meet_in_blocks(s, d, edges, [key, *coords, *dims], [*coords, "_v", "_rid", *dims], fn, schema)
+    return (met if first is None else met.unionByName(first)), edges
 
 
 def _open(sample: DataFrame, points: DataFrame, limits: Limits, leaf_rows: int) -> tuple[Tree, Tree, DataFrame, list[str]]:
